@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, secrets, tokens, urls
+from . import langid, mixing, secrets, tokens, topk, urls, warc
 from .common import only, table
 
 
@@ -29,6 +29,16 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = warc.round_trip(table(spark, sf_dir, "pages"))
+    return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def url_rules(spark: SparkSession) -> DataFrame:
     # The listed hosts and paths with their verdicts.
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -46,13 +56,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_mix_sources, op8_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_mix_sources, op4_warc, op6_top_k, op8_url_filter, op10_language_id)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _DRAW = "(('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 ORACLES = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS d FROM p),
+b AS (SELECT *, list_aggregate(list_transform(range(40), lambda i: right('000' || bin(strpos('0123456789abcdef', substr(d, i::INT + 1, 1)) - 1), 4)), 'string_agg', '') AS bits FROM h),
+g AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_reduce(list_transform(range(5), lambda j: substr(bits, (5 * i + j)::INT + 1, 1)::INT), lambda a, x: 2 * a + x) + 1, 1)), 'string_agg', '') AS payload_digest FROM b),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS kept FROM g)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to FROM m""",
+    "op6_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v)::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
     "op3_mix_sources": f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
