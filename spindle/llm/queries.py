@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, secrets, tokens, topk, urls, warc
+from . import decontam, langid, mixing, neardup, secrets, tokens, topk, urls, warc
 from .common import only, table
 
 
@@ -49,6 +49,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), url_rules(spark))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_mix_sources, op4_warc, op6_top_k, op8_url_filter, op9_jaccard_join, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_mix_sources, op4_warc, op6_top_k, op7_decontaminate, op8_url_filter, op9_jaccard_join, op10_language_id)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _DRAW = "(('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
