@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, secrets, tokens, topk, urls, warc
+from . import decontam, langid, lm, mixing, neardup, secrets, tokens, topk, urls, warc
 from .common import only, table
 
 
@@ -34,6 +34,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
@@ -64,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_mix_sources, op4_warc, op6_top_k, op7_decontaminate, op8_url_filter, op9_jaccard_join, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_mix_sources, op4_warc, op5_class_lm, op6_top_k, op7_decontaminate, op8_url_filter, op9_jaccard_join, op10_language_id)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _DRAW = "(('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
