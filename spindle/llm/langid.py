@@ -1,6 +1,6 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
-Each language's dictionary is raw content: the starts of a bounded number of labelled texts. A text is cut into pieces
+Each language's dictionary is raw content: the starts of a bounded number of labelled texts, in lower case. A text is cut into pieces
 of bounded length, every piece is compressed with every dictionary, and the language with the smallest total wins; all
 of the text takes part. Equal totals go to the language with more labelled rows. A text is rejected when the smallest
 total is not enough below the second (a narrow margin), or when it has no letters.
@@ -49,7 +49,7 @@ def learn(labelled: DataFrame) -> list[tuple[str, bytes]]:
     texts: dict[str, list[str]] = {r["lang"]: [] for r in counts}
     for r in sample:
         texts[r["lang"]].append(r["text"])
-    return [(k, "\n".join(v).encode("utf-8", "surrogatepass")) for k, v in texts.items()]
+    return [(k, "\n".join(v).lower().encode("utf-8", "surrogatepass")) for k, v in texts.items()]
 
 
 class Classifier:
@@ -65,7 +65,7 @@ class Classifier:
         """(language, score, rejected). The score is the weight of the winner if 2 ** -(bits) is spread over all languages, tempered."""
         if not text or not self.languages or not LETTER.search(text):
             return "und", 0.0, True
-        data = text.encode("utf-8", "surrogatepass")
+        data = text.lower().encode("utf-8", "surrogatepass")
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         totals = [sum(len(c(p)) for p in pieces) for c in self.compress]
         best = min(range(len(totals)), key=lambda i: (totals[i], i))
