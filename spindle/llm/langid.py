@@ -2,7 +2,7 @@
 
 Each language's dictionary is raw content: the starts of a bounded number of labelled texts, in lower case. A text is cut into pieces
 of bounded length, every piece is compressed with every dictionary, and the language with the smallest total wins; all
-of the text takes part. Equal totals go to the language with more labelled rows. A text is rejected when the smallest
+of the text takes part. For a short text the pieces are what follows from each of its words on. Equal totals go to the language with more labelled rows. A text is rejected when the smallest
 total is not enough below the second (a narrow margin), or when it has no letters.
 
 Bounded sample: ROWS texts a language, CHARS characters of each, at most LANGUAGES languages; the dictionaries are
@@ -27,7 +27,7 @@ from .common import only
 from .texts import with_text_columns
 
 ROWS, CHARS, LANGUAGES = 128, 1500, 1000
-PIECE, LEVEL = 4096, 3
+PIECE, LEVEL, SHORT = 4096, 3, 256
 #: Least difference between the two smallest totals, in bytes and as a part of the second.
 MARGIN_BYTES, MARGIN_PART = 1, 0.002
 LETTER = regex.compile(r"\p{L}")
@@ -66,7 +66,11 @@ class Classifier:
         if not text or not self.languages or not LETTER.search(text):
             return "und", 0.0, True
         data = text.lower().encode("utf-8", "surrogatepass")
-        pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+        if len(data) < SHORT:  # whole bytes are coarse here: add up the text from each of its words on
+            words = data.split()
+            pieces = [b" ".join(words[i:]) for i in range(len(words))]
+        else:
+            pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         totals = [sum(len(c(p)) for p in pieces) for c in self.compress]
         best = min(range(len(totals)), key=lambda i: (totals[i], i))
         second = min((t for i, t in enumerate(totals) if i != best), default=math.inf)
