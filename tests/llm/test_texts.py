@@ -1,0 +1,274 @@
+"""Near-duplicates, decontamination, language-model scores and the pipeline."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spindle.llm import decontam, lm, neardup
+
+
+def documents(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("fp", "bands", "class_id", "block", "item_id", "word", "n")})
+
+
+def plain_set(t):
+    w = re.findall(r"[a-z0-9_\u0080-\U0010ffff]+", (t or "").lower())
+    n = min(5, len(w))
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else None
+
+
+def plain_classes(rows, threshold=0.8):
+    sets = [plain_set(t) for _, t in rows]
+    reps = {}
+    for (i, _), s in zip(rows, sets):
+        if s:
+            reps[s] = min((x for x in (reps.get(s), i) if x is not None), default=None)
+    distinct = list(reps)
+    root = {s: s for s in distinct}
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    links = Counter()
+    for a in range(len(distinct)):
+        for b in range(a):
+            x, y = distinct[a], distinct[b]
+            if len(x & y) >= threshold * len(x | y) - 1e-9:
+                links[x] += 1
+                links[y] += 1
+                root[find(x)] = find(y)
+    least = {}
+    for s in distinct:
+        least[find(s)] = min((x for x in (least.get(find(s)), reps[s]) if x is not None), default=None)
+    n = Counter(s for s in sets if s)
+    return [(i, least[find(s)], links[s], n[s]) if s else (i, i, 0, 1) for (i, _), s in zip(rows, sets)]
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_join_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(11)
+    vocabulary = [f"word{i}" for i in range(400)]
+    rows, n = [], 0
+    for _ in range(25):
+        base = rng.choices(vocabulary, k=rng.choice((30, 60, 120)))
+        for _ in range(rng.choice((1, 2, 3, 12))):
+            t = list(base)
+            for _ in range(rng.choice((0, 0, 1, 1, 2, 4))):
+                t[rng.randrange(len(t))] = rng.choice(vocabulary)
+            rows.append((n, rng.choice((" ", "\n", ", ")).join(t)))
+            n += 1
+    rows += [(n, None), (n + 1, ""), (n + 2, "..."), (n + 3, "two words"), (n + 4, "Two, words!"), (n + 5, "x"), (None, rows[0][1]), (3, rows[3][1]), (n + 6, "long " * 30_000), (n + 7, "long " * 29_000)]
+    got = sorted(map(tuple, neardup.join(documents(spark, rows)).collect()), key=str)
+    assert got == sorted(plain_classes(rows), key=str)
+    assert neardup.join(documents(spark, rows[:1]).limit(0)).count() == 0
+    kept = sorted(((r.doc_id, r.text) for r in neardup.distinct(documents(spark, rows)).collect()), key=str)
+    want = {(c, t) for (i, t), (_, c, _, _) in zip(rows, plain_classes(rows)) if i == c}
+    assert set(kept) == want and len(kept) == len(want)
+
+
+def test_bands():
+    b, r = neardup.choose_bands()
+    assert b * r <= neardup.HASHES and 1 - (1 - 0.8**r) ** b >= neardup.RECALL
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(60)] + [(300, 301), (301, 300)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def edited(rng, text, k):
+    t = list(text)
+    for _ in range(k):
+        p = rng.randrange(len(t))
+        kind = rng.randrange(3)
+        if kind == 0:
+            t[p] = rng.choice("abc")
+        elif kind == 1:
+            del t[p]
+        else:
+            t.insert(p, rng.choice("abc"))
+    return "".join(t)
+
+
+def test_decontamination(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("etaoinshr", k=rng.randrange(2, 9))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(i, say(40).capitalize() + ".") for i in range(30)] + [(98, None), (99, "tiny"), (100, "")]
+    rows, want = [(0, None), (1, ""), (2, "short")], set()
+    for n in range(3, 203):
+        text = say(rng.choice((5, 100, 400)))
+        if n % 2:
+            item, passage = rng.choice(items[:30])
+            passage = edited(rng, passage, rng.randrange(0, int(0.04 * len(passage))))
+            at = rng.randrange(len(text))
+            text = f"{text[:at]}\n{rng.choice((passage, passage.upper(), passage.replace(' ', ' - ')))} {text[at:]}"
+            want.add((n, item))
+        rows.append((n, text))
+    rows.append((500, say(20_000) + " " + items[0][1]))
+    want.add((500, 0))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    df = documents(spark, rows)
+    got = decontam.find(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    texts = dict(rows)
+    for r in got:
+        assert 0 <= r.start < r.end <= len(texts[r.doc_id])
+    assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+    assert decontam.find(df.limit(0), bench).count() == decontam.find(df, bench.limit(0)).count() == 0
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"item number {i} " + hashlib.sha256(str(i).encode()).hexdigest()) for i in range(9)], "item_id long, text string")
+    df = documents(spark, [(r.item_id, "before " + r.text) for r in items.collect()])
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 2)
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find(df, items).collect()) == [(i, i) for i in range(9)]
+
+
+def test_alignment_is_the_edit_distance():
+    rng = random.Random(9)
+    for _ in range(200):
+        w = "".join(rng.choices("abc", k=40))
+        t = edited(rng, w, rng.randrange(5))
+        pre = "".join(rng.choices("abc", k=17))
+        whole = pre + t + "abcab"
+        row = [0] * (len(whole) + 1)
+        for i, x in enumerate(w):
+            new = [i + 1]
+            for j, y in enumerate(whole):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        codes = lambda s: np.array([*map(ord, s)], np.uint32)
+        got = decontam.align(codes(w), codes(whole), 15, 19, 5)
+        if min(row) <= 5:
+            assert got and got[0] == min(row)
+
+
+def test_exchange_gain_is_exact():
+    rng = np.random.default_rng(0)
+    n, k = 30, 5
+    b = rng.integers(0, 20, (n, n)).astype(float)
+    of = np.r_[np.arange(n - 2) % k, k, k + 1]
+
+    def pairs(of):
+        m = np.zeros((k + 2, k + 2))
+        np.add.at(m, (np.repeat(of, n), np.tile(of, n)), b.ravel())
+        return m
+
+    for w in range(n - 2):
+        to = lm.best_class(pairs(of), of[w], np.bincount(of, b[:, w], k + 2), np.bincount(of, b[w], k + 2), b[w, w], k)
+        values = [lm.likelihood(pairs(np.r_[of[:w], c, of[w + 1 :]])) for c in range(k)]
+        assert values[to] == pytest.approx(max(values))
+        of[w] = to
+
+
+def test_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(lm, "FREQUENT", 0.002)
+    rng = random.Random(3)
+    nouns, verbs = [f"n{i}" for i in range(30)], [f"V{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(nouns if j % 2 == 0 else verbs) for j in range(rng.randrange(2, 40)))) for i in range(300)]
+    rows += [(900, None), (901, ""), (902, " \t\n"), (903, "unseen words"), (904, "n1 " * 20_000), (5, rows[5][1]), (None, "n1 v1")]
+    got = lm.score_corpus(documents(spark, rows)).collect()
+    tokens = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [None]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    c = Counter()
+    for i, t in rows:
+        if not held(i):
+            c.update(tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = sorted(((i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 6)) for i, t in rows), key=str)
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == want
+    test = [r for r in got if r.held_out and r.n_tokens > 2]
+    assert sum(r.score for r in test) > sum(r.base_score for r in test)  # the classes know that nouns and verbs alternate
+    assert lm.score_corpus(documents(spark, rows[:1]).limit(0)).count() == 0
+
+
+def test_probabilities_sum_to_one(spark):
+    texts = [(i, t) for i, t in enumerate(["a b a c", "b a", "c c d"])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    counts = lm.word_counts(df)
+    model = lm.learn(df, counts)
+    words = {bytes(r.word): r.n for r in counts.collect()}
+    known = model.dictionary([*words, b"unseen"], np.array([*words.values(), 0]))
+    for first in [*words, b"unseen"]:
+        total = 0.0
+        for w in [*words, b"unseen"]:
+            number, count, kind, emission, base = known
+            a, b = number[first], number[w]
+            total += lm.MIX * model.step[kind[a], kind[b]] * emission[b] + (1 - lm.MIX) * base[b]
+        a = number[first]
+        total += lm.MIX * model.step[kind[a], kind[-1]] * emission[-1] + (1 - lm.MIX) * base[-1]
+        empty = sum(model.step[kind[a], c] for c in range(len(model.step)) if not model.totals[c])
+        assert total == pytest.approx(1 - lm.MIX * empty)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from spindle.llm import langid, mixing, secrets
+
+    rng = random.Random(7)
+    words = {"en": "the of and to in that was for with this".split(), "de": "der die und ein nicht mit sich auf dem von".split()}
+    rows = []
+    for i in range(160):
+        lang = rng.choice(["en", "en", "de"])
+        rows.append((i, " ".join(rng.choice(words[lang]) + str(rng.randrange(99)) for _ in range(rng.randrange(20, 60))), lang, rng.choice("ab"), 0))
+    passage = " ".join(f"bench{i} the" for i in range(12))
+    rows += [(200, rows[3][1], "en", "a", 0), (201, rows[4][1] + " more", "en", "a", 0), (202, rows[5][1] + " " + passage, "en", "b", 0), (203, rows[6][1] + " token=abcdef123456 end " + rows[7][1], "en", None, 0), (204, None, None, None, None), (205, "1234", "en", "a", 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    classifier = langid.Classifier(langid.learn(df.where(~langid.held_out(F.col("doc_id"), 5))))
+    kept = [r for r in rows if not classifier.judge(r[1])[2]]
+    kept = [r for r, c in zip(kept, plain_classes([r[:2] for r in kept])) if c[0] == c[1]]
+    kept = [r for r in kept if passage not in (r[1] or "")]
+    assert {200, 202, 204, 205}.isdisjoint(r[0] for r in kept) and len(kept) > 100
+    texts = {}
+    for r in kept:
+        found = [s for s in secrets.Scanner(secrets.RULES).scan([r[1]])[0]]
+        t = r[1]
+        for a, k, b in reversed(found):
+            t = f"{t[:a]}[{secrets.RULES[k].kind}]{t[b:]}"
+        texts[r[0]] = t
+    assert texts[203].count("[assign]") == 1
+    copies = Counter(r.doc_id for r in got)
+    assert all(r.text == texts[r.doc_id] and r.n_chars == len(r.text) for r in got)
+    size, sizes = {r[0]: len(texts[r[0]].split()) for r in kept}, Counter()
+    for r in kept:
+        sizes[r[3]] += size[r[0]]
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight, capped = dict(zip(order, (5, 2, 1))), set()
+    while True:
+        level = (1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in capped)) / sum(weight[s] for s in order if s not in capped)
+        over = {s for s in order if s not in capped and level * weight[s] > 2 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    for r in kept:
+        rate = min(2.0, level * weight[r[3]] / sizes[r[3]])
+        u = int(hashlib.md5(f"7:{r[0]}".encode()).hexdigest()[:13], 16) / 16**13
+        assert copies[r[0]] == math.floor(rate) + (u < rate - math.floor(rate))
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontaminate", "redact_secrets", "mix_sources"]
