@@ -7,7 +7,7 @@ table in one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import ROUND_HALF_EVEN, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,24 +98,35 @@ def group_key(df: DataFrame, field: str) -> Column:
     return F.lower(text.strip(text.spelled(F.col(field), kind)))
 
 
-def _held_groups(groups: DataFrame, n: int, seed: int) -> DataFrame:
-    return first_k(groups, n, seed, "_group").select("_group", F.lit(True).alias("_held"))
+def held_count(groups: int, fraction: float) -> int:
+    """Groups to hold out: the fraction, halves to even, but one at least and one left."""
+    return min(groups - 1, max(1, int(Decimal(groups * fraction).quantize(Decimal(1), ROUND_HALF_EVEN))))
 
 
-def group_split(df: DataFrame, field: str, fraction: float, seed: int) -> DataFrame:
-    """df with split; groups stay whole. Half of the held-out groups (rounded down, one at least) are test."""
+def hold_rows(df: DataFrame, fraction: float, seed: int, *key: str) -> DataFrame:
+    """df with _held: ceil(n * fraction) rows are."""
+    limit = kth_key(df, order_key(seed, *key), math.ceil(df.count() * fraction))
+    return df.withColumn("_held", order_key(seed, *key) <= F.lit(limit))
+
+
+def hold_groups(df: DataFrame, field: str, count: Callable[[int], int], seed: int) -> DataFrame:
+    """df with _held: true for all rows of count(number of groups) groups."""
+    if field not in df.columns:
+        raise ValueError(f"no group column {field}")
     keyed = df.withColumn("_group", group_key(df, field))
     groups = keyed.select("_group").distinct()
     n = groups.count()
     if n < 2:
         raise ValueError(f"{field} has fewer than two groups")
-    held = min(n - 1, max(1, int(Decimal(n * fraction).quantize(Decimal(1), ROUND_HALF_EVEN))))
-    if held < 2:
-        raise ValueError(f"{field}: validation and test need two groups")
-    out = _held_groups(groups, held, seed)
-    test = _held_groups(out.select("_group"), max(1, held // 2), seed + 1).withColumnRenamed("_held", "_test")
-    marked = keyed.join(out, "_group", "left").join(test, "_group", "left")
-    return marked.withColumn("split", F.when(F.col("_test"), "test").when(F.col("_held"), "validation").otherwise("train")).drop("_group", "_held", "_test")
+    held = first_k(groups, count(n), seed, "_group").withColumn("_held", F.lit(True))
+    return keyed.join(held, "_group", "left").withColumn("_held", F.coalesce("_held", F.lit(False))).drop("_group")
+
+
+def group_split(df: DataFrame, field: str, fraction: float, seed: int) -> DataFrame:
+    """df with split; groups stay whole. Half of the held-out groups (rounded down, one at least) are test."""
+    one = hold_groups(df, field, lambda n: held_count(n, fraction), seed)
+    two = hold_groups(one.where("_held").drop("_held"), field, lambda n: max(1, n // 2), seed + 1)
+    return one.where("not _held").drop("_held").withColumn("split", F.lit("train")).unionByName(two.withColumn("split", F.when(F.col("_held"), "test").otherwise("validation")).drop("_held"))
 
 
 def without_leaks(train: DataFrame, test: DataFrame, field: str) -> DataFrame:
