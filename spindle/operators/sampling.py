@@ -48,6 +48,13 @@ def first_k(df: DataFrame, k: int, seed: int, *key: str) -> DataFrame:
     return df if limit is None else df.where(order_key(seed, *key) <= limit)
 
 
+def slice_k(df: DataFrame, offset: int, k: int, seed: int, *key: str) -> DataFrame:
+    """k rows of the seeded order after the first offset ones."""
+    rows = first_k(df, offset + k, seed, *key)
+    start = kth_key(rows, order_key(seed, *key), offset) if offset else ""
+    return rows.limit(0) if start is None else rows.where(order_key(seed, *key) > start)
+
+
 def first_k_that_fit(df: DataFrame, fits: Column, k: int, seed: int, *key: str) -> tuple[DataFrame, DataFrame]:
     """(the first k fitting rows, those that were passed over before the k-th was found)."""
     limit = kth_key(df.where(fits), order_key(seed, *key), k)

@@ -11,6 +11,7 @@ from .functions import text
 from .operators import analysis, compare, integrity, metrics, prompts, quality, sampling
 from .plans import gates
 from .plans.config import check_task
+from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -499,3 +500,31 @@ def newest_checkpoint(spark, sf_dir):
 @query()
 def file_snapshot(spark, sf_dir):
     return integrity.file_snapshot(spark, f"{sf_dir}/nation.parquet").select("sha256", "rows")
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {_KEY} LIMIT 50 OFFSET 120")
+def shuffled_slice(spark, sf_dir):
+    return sampling.slice_k(table(spark, sf_dir, "documents").select("doc_id"), 120, 50, SEED, "doc_id")
+
+
+@query("SELECT role AS split, text AS prompt, 'turn ' || turn AS response, '{\"conv_id\":' || conv_id || ',\"role\":' || to_json(role)::VARCHAR || '}' AS inputs, CAST(NULL AS VARCHAR) AS fault FROM conversations")
+def prepared_json_round_trip(spark, sf_dir):
+    """Prepared rows written as JSON lines, one folder a split, and read back with their types checked."""
+    c = table(spark, sf_dir, "conversations")
+    path = tables.scratch(spark)
+    tables.write_splits(c.select(F.col("role").alias("split"), F.col("text").alias("prompt"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("response"), F.struct("conv_id", "role").alias("inputs")), path)
+    return tables.prepared(spark, path).select("split", "prompt", "response", "inputs", "fault")
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 25")
+def json_source_scan(spark, sf_dir):
+    """A source that a task names by format and files: JSON lines."""
+    path = tables.scratch(spark)
+    table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").write.json(path)
+    source = {"dataset": "json", "data_files": {"train": path}, "train_split": "train"}
+    return tables.scan(spark, source).where("p_size > 25").select("p_partkey", "p_name", F.col("p_size").cast("int").alias("p_size"))
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_retailprice < 1000")
+def parquet_source_scan(spark, sf_dir):
+    return tables.scan(spark, {"dataset": "parquet", "data_files": f"{sf_dir}/part.parquet"}).where("p_retailprice < 1000").select("p_partkey", "p_brand")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -12,6 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, removed when the driver ends; a local one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spindle-")
+    path = f"{base.rstrip('/')}/spindle-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+
+
 def scan(spark: SparkSession, source: dict, split: str | None = None) -> DataFrame:
     """The table that a task's source names. dataset is a Spark format (parquet, json, csv, orc, text) or a path of Parquet files; there is no download."""
     files = source.get("data_files")
@@ -29,17 +45,20 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, path: str) -> DataFrame:
-    """(file, prompt, response, inputs as JSON text, fault) of prepared JSON lines; fault names a row whose prompt or response is not text.
+    """(file, split, prompt, response, inputs as JSON text, fault) of prepared JSON lines; fault names a row whose prompt or response is not text.
+
+    split is that of the folder (split=...) or null.
 
     Values are looked at as they stand in the JSON, so a number is not taken for text.
     """
     lines = spark.read.text(path).where(~F.regexp_like("value", F.lit(r"^\s*$")))
-    v = lines.select(F.col("_metadata.file_name").alias("file"), "value", F.try_parse_json("value").alias("v"))
+    split = F.col("split") if "split" in lines.columns else F.lit(None).cast("string")
+    v = lines.select(F.col("_metadata.file_name").alias("file"), split.alias("split"), "value", F.try_parse_json("value").alias("v"))
     kind = lambda f: F.schema_of_variant(F.try_variant_get("v", f"$.{f}", "variant"))
     fault = F.when(F.col("v").isNull(), "not JSON")
     for f in ("prompt", "response"):
         fault = fault.when(F.coalesce(kind(f), F.lit("VOID")) != "STRING", f"{f} is not text")
-    return v.select("file", *(F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in ("prompt", "response")), F.to_json(F.try_variant_get("v", "$.inputs", "variant")).alias("inputs"), fault.alias("fault"))
+    return v.select("file", "split", *(F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in ("prompt", "response")), F.to_json(F.try_variant_get("v", "$.inputs", "variant")).alias("inputs"), fault.alias("fault"))
 
 
 def checked(rows: DataFrame) -> DataFrame:
