@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 #: Rows of a lookup table that may be broadcast; larger ones go through a salted shuffle join.
 BROADCAST_ROWS = 200_000
 SALTS = 16
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, removed when the driver ends; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spindle-")
-    path = f"{base.rstrip('/')}/spindle-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to shared storage and reread it: the lineage ends there and survives lost executors."""
     path = scratch(df.sparkSession)

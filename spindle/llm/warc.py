@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lookup_join, materialize, only, scratch
+from ..sources.tables import scratch
+from .common import BROADCAST_ROWS, lookup_join, materialize, only
 
 MAGIC = "WARC/1."
 END = "\r\n\r\n"
