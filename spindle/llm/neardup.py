@@ -249,6 +249,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     least = roots.join(nodes.select(F.col("fp").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("class"))
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), "class").join(links, "fp", "left")
     judged = nodes.select("fp", "rep", "copies").join(linked, "fp", "left").select("fp", F.coalesce("class", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"))
+    judged = materialize(judged)  # so that the last join stands alone in its stage, where a set with many copies can be split
     some = signed.where("fp is not null").select("doc_id", "fp").join(judged, "fp").select("doc_id", "class_id", "n_links", "n_copies")
     none = signed.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return some.unionByName(none)
