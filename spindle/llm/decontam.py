@@ -21,6 +21,7 @@ are ignored (and kept by clean).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -205,7 +206,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-_windows: dict[int, Windows] = {}
+_windows: dict[str, Windows] = {}
 
 
 def _search(held):
@@ -232,7 +233,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, item_id bigint, edits bigint, start bigint, end bigint"
     out = spark.createDataFrame([], schema)
     for n, block in enumerate(_blocks(benchmark)):
-        held = spark.sparkContext.broadcast((hash((n, block[0], len(block))), block))
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
         found = only(docs, "doc_id", "text").mapInArrow(_search(held), schema)
         out = found if n == 0 else out.unionByName(found)
     return out

@@ -5,7 +5,7 @@ of bounded length, every piece is compressed with every dictionary, and the lang
 of the text takes part. For a short text the pieces are what follows from each of its words on. Equal totals go to the language with more labelled rows. A text is rejected when the smallest
 total is not enough below the second (a narrow margin), or when it has no letters.
 
-Bounded sample: ROWS texts a language, CHARS characters of each, at most LANGUAGES languages; the dictionaries are
+Bounded sample: ROWS texts a language, CHARS characters of each, at most LANGUAGES languages, those with most rows; the dictionaries are
 broadcast, ROWS * CHARS * 4 bytes a language at most. Rows are chosen by a hash of their id.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0 and rejected; with no labelled row every
@@ -40,10 +40,8 @@ def held_out(doc_id: Column, folds: int) -> Column:
 def learn(labelled: DataFrame) -> list[tuple[str, bytes]]:
     """(language, dictionary) from labelled(doc_id, text, lang), the language with most rows first."""
     rows = only(labelled, "doc_id", "text", "lang").where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    short = rows.select("lang", F.substring("text", 1, CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    short = rows.where(F.col("lang").isin(*(r["lang"] for r in counts))).select("lang", F.substring("text", 1, CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     sample = short.withColumn("n", nth).where(F.col("n") <= ROWS).orderBy("lang", "n").collect()
     texts: dict[str, list[str]] = {r["lang"]: [] for r in counts}
@@ -79,8 +77,8 @@ class Classifier:
         return self.languages[best], score, gap < MARGIN_BYTES or gap < MARGIN_PART * second
 
 
-def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """docs with lang_pred, score and rejected, learnt from labelled."""
+def identify(docs: DataFrame, labelled: DataFrame, prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score and rejected, learnt from labelled; prefix keeps the new names apart from those of docs."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(learn(labelled))
 
@@ -88,5 +86,6 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
         classifier = Classifier(held.value)
         return lambda texts: list(map(list, zip(*map(classifier.judge, texts)))) if texts else [[], [], []]
 
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    kinds = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
+    fields = [T.StructField(prefix + name, kind) for name, kind in kinds.items()]
     return with_text_columns(docs, fields, start)

@@ -78,6 +78,6 @@ def decide(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
-    """The mixed documents: the columns of docs and copy, from 1 to the times that a document is emitted."""
+    """The mixed documents: the columns of docs and copy, from 1 to the times that a document is emitted (in place of any column copy)."""
     d = decide(docs, seed, **how).where("_copies > 0")
-    return d.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
+    return d.select(*(F.col(f"`{c}`") for c in docs.columns if c != "copy"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))

@@ -237,7 +237,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         rows.append((i, " ".join(rng.choice(words[lang]) + str(rng.randrange(99)) for _ in range(rng.randrange(20, 60))), lang, rng.choice("ab"), 0))
     passage = " ".join(f"bench{i} the" for i in range(12))
     rows += [(200, rows[3][1], "en", "a", 0), (201, rows[4][1] + " more", "en", "a", 0), (202, rows[5][1] + " " + passage, "en", "b", 0), (203, rows[6][1] + " token=abcdef123456 end " + rows[7][1], "en", None, 0), (204, None, None, None, None), (205, "1234", "en", "a", 4)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("score", "copy", "rejected", "fp")}).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     df = spark.read.parquet(f"{tmp_path}/documents.parquet")
