@@ -136,11 +136,11 @@ def prompt_projection(spark, sf_dir):
     return docs.select("doc_id", F.md5(prompts.prompt(docs, task).cast("binary")).alias("prompt_md5"))
 
 
-@query("SELECT p_partkey, 'Write a sentence with: ' || replace(p_name, ' ', ', ') || '.' AS prompt, p_brand AS response, string_split(p_name, ' ') AS concepts FROM part")
+@query("SELECT p_partkey, 'Write a sentence with: ' || replace(p_name, ' ', ', ') || '.' AS prompt, p_brand AS response, replace(p_name, ' ', '|') AS concepts FROM part")
 def join_comma_prompt(spark, sf_dir):
     task = TASK | {"prompt_template": "Write a sentence with: {concepts}.", "input_fields": ["concepts"], "field_transforms": {"concepts": "join_comma"}, "response_field": "p_brand", "response_map": None}
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.split("p_name", " ").alias("concepts"))
-    return prompts.prepare_rows(part, task, "p_partkey").select("p_partkey", "prompt", "response", "inputs.concepts")
+    return prompts.prepare_rows(part, task, "p_partkey").select("p_partkey", "prompt", "response", F.array_join("inputs.concepts", "|").alias("concepts"))
 
 
 @query("SELECT p_partkey, list_aggregate(list_transform(regexp_extract_all(p_name || '''s ' || p_type || '-3rd', '[A-Za-z]+|[^A-Za-z]+'), lambda r: upper(r[1]) || lower(substr(r, 2))), 'string_agg', '') AS titled FROM part")
@@ -339,10 +339,10 @@ def run_settings(spark, sf_dir):
     return compare.with_settings(evaluations(spark, sf_dir), runs).select("run", "model", "accuracy", "method")
 
 
-@query(f"WITH {_EVALUATIONS} SELECT run % 3 AS \"group\", count(*) AS runs, round(avg(accuracy), 9) AS accuracy_mean, round(stddev_samp(accuracy), 9) AS accuracy_std, list(accuracy ORDER BY run) AS accuracy_values FROM e WHERE model = 'trained_run' GROUP BY 1")
+@query(f"WITH {_EVALUATIONS} SELECT run % 3 AS \"group\", count(*) AS runs, round(avg(accuracy), 9) AS accuracy_mean, round(stddev_samp(accuracy), 9) AS accuracy_std, array_to_string(list(accuracy::VARCHAR ORDER BY run), ',') AS accuracy_values FROM e WHERE model = 'trained_run' GROUP BY 1")
 def seed_summary(spark, sf_dir):
     s = compare.seed_summary(evaluations(spark, sf_dir).where("model = 'trained_run'"), "accuracy")
-    return s.withColumns({c: F.round(c, 9) for c in ("accuracy_mean", "accuracy_std")})
+    return s.withColumns({"accuracy_values": F.array_join("accuracy_values", ",")} | {c: F.round(c, 9) for c in ("accuracy_mean", "accuracy_std")})
 
 
 @query(f"""WITH {_EVALUATIONS}, s AS (SELECT run % 3 AS "group", count(*) AS n, count(DISTINCT examples > 400) AS signatures, count(DISTINCT run) AS seeds, count(*) FILTER (model <> 'trained_run') AS base FROM e WHERE run % 3 < 2 OR model = 'trained_run' GROUP BY 1)
