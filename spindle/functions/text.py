@@ -56,14 +56,26 @@ def normalized(c: Column) -> Column:
     return F.array_join(words(c), " ")
 
 
-def json_text(c: Column) -> Column:
-    """A value as JSON, in the brackets of a list of one, which no word can hold."""
-    return F.to_json(F.array(c))
+def _ordered(c: Column, kind: T.DataType | None) -> Column:
+    """A value with the fields of its objects, at any depth, in the order of their names."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*(_ordered(c[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType)):
+        return F.transform(c, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(c)))
+    return c
 
 
-def source_text(inputs: dict[str, Column]) -> Column:
+def json_text(c: Column, kind: T.DataType | None = None) -> Column:
+    """A value as JSON, in the brackets of a list of one, which no word can hold. With its type, object keys are sorted."""
+    return F.to_json(F.array(_ordered(c, kind)), {"ignoreNullFields": "false"})
+
+
+def source_text(inputs: dict[str, Column], kinds: dict[str, T.DataType] | None = None) -> Column:
     """The words of all inputs by field name; each value is JSON text first, so a newline becomes a backslash and an n."""
-    return normalized(F.concat_ws(" ", *(json_text(inputs[k]) for k in sorted(inputs))))
+    return normalized(F.concat_ws(" ", *(json_text(inputs[k], (kinds or {}).get(k)) for k in sorted(inputs))))
 
 
 def matches(c: Column, patterns: dict[str, str]) -> dict[str, Column]:

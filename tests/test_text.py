@@ -79,3 +79,10 @@ def test_strip_property(spark, values):
 def test_joined(spark):
     df = spark.createDataFrame([(["b ", " a", None],), ([],)], T.StructType([T.StructField("c", T.ArrayType(T.StringType()))]))
     assert [r[0] for r in df.select(text.joined(F.col("c"), T.StringType())).collect()] == ["b, a, None", ""]
+
+
+def test_source_text_sorts_nested_keys(spark):
+    df = spark.sql("select named_struct('b', 1, 'a', array(named_struct('z', cast(null as string), 'y', true))) as x, map('k2', 1, 'k1', 2) as m")
+    got = df.select(text.source_text({c: F.col(c) for c in df.columns}, {f.name: f.dataType for f in df.schema})).first()[0]
+    raw = " ".join(json.dumps(v, sort_keys=True) for v in ({"k2": 1, "k1": 2}, {"b": 1, "a": [{"z": None, "y": True}]}))
+    assert got == " ".join(re.findall(r"\w+", raw.lower()))
