@@ -39,6 +39,19 @@ def overlength_gate(task: dict, fractions: Mapping[str, float]) -> None:
         raise ValueError(f"too many rows are over the token limit: {bad}")
 
 
+def sensitive_verdicts(sensitive: DataFrame, fail_on_pii: bool = False, fail_on_secret: bool = True) -> DataFrame:
+    """(split, pii, secrets, status) of (split, type, rows): the totals that the policy looks at, and what it says of each split."""
+    of = lambda personal: F.sum(F.when(F.col("type").isin(*PII) == personal, F.col("rows")).otherwise(0))
+    totals = sensitive.groupBy("split").agg(of(True).alias("pii"), of(False).alias("secrets"))
+    bad = (F.lit(fail_on_pii) & (F.col("pii") > 0)) | (F.lit(fail_on_secret) & (F.col("secrets") > 0))
+    return totals.withColumn("status", F.when(bad, "rejected").otherwise("passed"))
+
+
+def length_verdicts(audit: DataFrame, most: float) -> DataFrame:
+    """length_audit's rows with status: rejected where more than the fraction most is over the limit."""
+    return audit.withColumn("status", F.when(F.col("fraction_over") > most, "rejected").otherwise("passed"))
+
+
 def promotion_faults(task: dict, trained: dict, base: dict, run: str) -> list[str]:
     """What makes two evaluations unfit to decide on a promotion."""
     faults = [] if task.get("promotion") else ["the task has no promotion policy"]

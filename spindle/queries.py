@@ -194,6 +194,12 @@ def sensitive_conversations(spark, sf_dir):
     return quality.sensitive_counts(c.withColumnRenamed("role", "split"), F.col("text"))
 
 
+@query(f"""WITH x AS (SELECT {_SPLIT} AS split, text FROM documents), t AS (SELECT split, sum(rows) FILTER (type IN ('email', 'phone'))::BIGINT AS pii, sum(rows) FILTER (type NOT IN ('email', 'phone'))::BIGINT AS secrets FROM ({_SENSITIVE}) GROUP BY split)
+SELECT split, pii, secrets, CASE WHEN pii > 0 OR secrets > 0 THEN 'rejected' ELSE 'passed' END AS status FROM t""")
+def quality_gate(spark, sf_dir):
+    return gates.sensitive_verdicts(quality.sensitive_counts(texts(spark, sf_dir), F.col("prompt")), fail_on_pii=True)
+
+
 @query(rf"""WITH {_PREPARED}, n AS (SELECT *, regexp_extract_all(prompt, '[^\x20\x09-\x0D]+') AS pt, list_append(regexp_extract_all(response, '[^\x20\x09-\x0D]+'), '</s>') AS rt FROM p)
 SELECT doc_id, (len(pt) + len(rt))::INT AS tokens, len(pt)::INT AS hidden, md5(array_to_string(list_concat(pt, rt), ' ')) AS ids_md5 FROM n WHERE len(pt) + len(rt) <= 400""")
 def encoded_examples(spark, sf_dir):
@@ -456,6 +462,12 @@ def length_audit(spark, sf_dir):
     return analysis.length_audit(rows, TASK["max_length"], "split").withColumn("fraction_over", F.round("fraction_over", 9))
 
 
+@query(f"WITH n AS (SELECT source, {_TOKENS.format('text')} AS length FROM documents) SELECT source, count(*) FILTER (length > 512) AS over_max_length, CASE WHEN count(*) FILTER (length > 512)::DOUBLE / count(*) > 0.25 THEN 'rejected' ELSE 'passed' END AS status FROM n GROUP BY source")
+def length_gate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", F.size(prompts.white_space_tokens(F.col("text"))).alias("length"))
+    return gates.length_verdicts(analysis.length_audit(docs, 512, "source"), 0.25).select("source", "over_max_length", "status")
+
+
 def _token_pairs(spark, sf_dir):
     count = lambda c: F.size(prompts.white_space_tokens(F.col(c)))
     return turn_pairs(spark, sf_dir).select(count("reference").alias("prompt_tokens"), (count("output") + 1).alias("response_tokens"))
