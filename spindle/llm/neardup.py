@@ -259,6 +259,8 @@ def distinct(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each class: that with the class's id. Rows without words, or whose class has no id, all stay."""
     judged = materialize(join(docs, **how))
     gone = judged.where("class_id <> doc_id or (doc_id is null and class_id is not null)").select("doc_id").distinct()
+    gone = materialize(gone)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     again = materialize(judged.where("class_id = doc_id and n_copies > 1").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
