@@ -166,7 +166,7 @@ def _verify(threshold: float):
 
     def cell(rows: list[dict]) -> list[tuple]:
         rows.sort(key=lambda r: r["fp"])
-        links = jaccard_links([np.array(r["shingles"], np.int64) for r in rows], threshold)
+        links = jaccard_links([r["shingles"] for r in rows], threshold)
         bands = np.array([r["bands"][: r["band"]] for r in rows], np.int64).reshape(len(rows), -1)
         for b in bands.T:  # counted in an earlier bucket
             links &= b[:, None] != b
@@ -186,7 +186,10 @@ def _verify(threshold: float):
         """Rows come sorted by cell; one cell is held at a time."""
         key, held, found = None, [], []
         for batch in batches:
-            for r in batch.to_pylist():
+            lists = batch.column("shingles")
+            flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, r in enumerate(batch.drop_columns(["shingles"]).to_pylist()):
+                r["shingles"] = flat[cuts[i] : cuts[i + 1]]  # a view: a long text's set never becomes Python integers
                 k = (r["bucket"], r["low"], r["high"])
                 if k != key:
                     found += cell(held) if len(held) > 1 else []
