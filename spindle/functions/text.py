@@ -78,8 +78,20 @@ def source_text(inputs: dict[str, Column], kinds: dict[str, T.DataType] | None =
     return normalized(F.concat_ws(" ", *(json_text(inputs[k], (kinds or {}).get(k)) for k in sorted(inputs))))
 
 
+#: What every match of a pattern holds; a text without it is not searched further.
+HOLDS = {
+    "email": "@",
+    "phone": r"\p{Nd}",
+    "private_key": "-----BEGIN ",
+    "huggingface_token": "hf_",
+    "github_token": "gh[opusr]_",
+    "aws_access_key": "AKIA",
+    "assigned_secret": "[:=]",
+}
+
+
 def matches(c: Column, patterns: dict[str, str]) -> dict[str, Column]:
-    return {name: F.regexp_like(c, F.lit(p)) for name, p in patterns.items()}
+    return {name: F.regexp_like(c, F.lit(HOLDS[name])) & F.regexp_like(c, F.lit(p)) for name, p in patterns.items()}
 
 
 def literal_word(c: Column, word: Column) -> Column:
