@@ -11,30 +11,37 @@ at most k edits shares at least w - q + 1 - k * q of its q-grams with the text,
    k + 1 neighbouring diagonals lie within one; bands that meet the window's bound are kept;
 3. each kept region is verified by an alignment within the band, the ends in the text free.
 
-The benchmark is taken in blocks of bounded size, each broadcast; texts never are. Items of fewer than q characters
-take no part.
+A text whose hits are too many to hold at once is cut into pieces that overlap by a window's greatest length, and the
+windows into parts, until each piece has HITS hits at most. Neighbouring bands that pass are aligned together.
 
-Defined results: a null or empty text or item has no hits; repeated rows and items are reported each; of several
-regions of one item the one with the fewest edits counts, then the first; an empty table gives no rows; extra columns
-are ignored (and kept by clean).
+The benchmark is indexed in blocks of bounded size. A group of blocks is broadcast, and a worker keeps their indexes, so
+a group takes one scan; a benchmark beyond that (16 million characters) takes another scan for each group. Texts are
+never shuffled or broadcast. Items of fewer than q characters take no part.
+
+Defined results: a null or empty text or item has no hits; every row is judged by its own text, whatever its doc_id, and
+repeated rows are reported each; so are repeated items; of several regions of one item in a text the one with the fewest
+edits counts, then the first; an empty table gives no rows; extra columns are ignored (and kept by clean).
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BROADCAST_ROWS, materialize, only
+from .common import materialize, only
 
 #: q, a window's characters, their step, and edits as a part of the window.
 Q, WINDOW, STEP, EDITS = 10, 128, 64, 0.08
-#: Benchmark characters and items in one broadcast block.
-BLOCK_CHARS, BLOCK_ITEMS = 8_000_000, 50_000
+#: Benchmark characters and items in one block, and blocks in a group, which a worker holds together.
+BLOCK_CHARS, BLOCK_ITEMS, GROUP = 2_000_000, 20_000, 8
+#: Hits held at once, and bands aligned together.
+HITS, RUN = 1_000_000, 256
 _WORD = np.zeros(128, bool)
 _WORD[[*range(48, 58), *range(97, 123), 95]] = True
 B, B2, B4 = (np.uint32(pow(0x9E3779B1, e, 1 << 32)) for e in (1, 2, 4))
@@ -74,10 +81,11 @@ def grams(codes: np.ndarray) -> np.ndarray:
 class Windows:
     """The q-gram index of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, texts: list[str]) -> None:
+        """An item's number is its place in texts."""
         self.item, self.codes, hashes, posts = [], [], [], []
-        for item, text in items:
-            codes, _ = normal(text or "")
+        for item, text in enumerate(texts):
+            codes, _ = normal(text)
             if len(codes) < Q:
                 continue
             last = max(0, len(codes) - WINDOW)
@@ -118,39 +126,61 @@ class Windows:
         k = np.searchsorted(self.gram, g[at])
         ok = self.gram[np.minimum(k, len(self.gram) - 1)] == g[at]
         at, k = at[ok], k[ok]
-        counts = self.cut[k + 1] - self.cut[k]
-        total = int(counts.sum())
-        if not total:
+        passed = [x for x in self._passed(at, k, 0, len(self.codes)) if len(x)]
+        if not passed:
             return []
-        first = np.repeat(self.cut[k] - np.r_[0, np.cumsum(counts)[:-1]], counts)
-        post = self.post[first + np.arange(total)]
-        window, diagonal = post >> 16, np.repeat(at, counts) - (post & 0xFFFF)
-        width = self.edits[window] + 1
-        band = (diagonal + (1 << 20)) // width
-        # Two bands for each diagonal: (b, b + 1) for b and for b - 1.
-        key = np.concatenate([window << 40 | band, window << 40 | (band - 1)])
-        found, n = np.unique(key, return_counts=True)
         out, runs = [], []
-        for x in found[n >= self.least[found >> 40]].tolist():
-            if runs and runs[-1][1] == x - 1 == runs[-1][0]:
+        for x in np.unique(np.concatenate(passed)).tolist():
+            if runs and runs[-1][1] == x - 1 and x - runs[-1][0] < RUN:
                 runs[-1][1] = x  # overlapping bands are aligned together
             else:
                 runs.append([x, x])
+        done = -1
         for x, y in runs:
             w, edits = x >> 40, int(self.edits[x >> 40])
+            if w == done:  # an earlier region of the window has no edit
+                continue
             low = ((x & (1 << 40) - 1) * (edits + 1)) - (1 << 20)
             high = ((y & (1 << 40) - 1) * (edits + 1)) - (1 << 20) + 2 * edits + 1
             r = align(self.codes[w], codes, low, high, edits)
             if r:
                 out.append((self.item[w], r[0], int(places[r[1]]), int(places[r[2] - 1]) + 1))
+                done = w if r[0] == 0 else -1
         return out
 
+    def _passed(self, at: np.ndarray, k: np.ndarray, first: int, last: int) -> Iterator[np.ndarray]:
+        """The keys (window, band) that hold enough hits of the places at with the grams k; of the windows first to last alone."""
+        low, high = self.cut[k], self.cut[k + 1]
+        if (first, last) != (0, len(self.codes)):
+            own, back = np.unique(k, return_inverse=True)
+            edges = [self.cut[i] + np.searchsorted(self.post[self.cut[i] : self.cut[i + 1]], [first << 16, last << 16]) for i in own.tolist()]
+            low, high = np.array(edges).reshape(-1, 2)[back].T
+        counts = high - low
+        total = int(counts.sum())
+        if total > HITS and len(at) > 4 * self.span:  # pieces that overlap by the longest match
+            middle = len(at) // 2
+            upto = int(np.searchsorted(at, at[middle] + self.span, "right"))
+            yield from self._passed(at[:upto], k[:upto], first, last)
+            yield from self._passed(at[middle:], k[middle:], first, last)
+        elif total > HITS and last - first > 1:
+            middle = (first + last) // 2
+            yield from self._passed(at, k, first, middle)
+            yield from self._passed(at, k, middle, last)
+        elif total:
+            post = self.post[np.repeat(low - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(total)]
+            window, diagonal = post >> 16, np.repeat(at, counts) - (post & 0xFFFF)
+            band = (diagonal + (1 << 20)) // (self.edits[window] + 1)
+            # Two bands for each diagonal: (b, b + 1) for b and for b - 1.
+            key = np.concatenate([window << 40 | band, window << 40 | (band - 1)])
+            found, n = np.unique(key, return_counts=True)
+            yield found[n >= self.least[found >> 40]]
+
     def best(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """For each item its best region."""
+        """For each item, by its number, its best region."""
         best: dict[int, tuple[int, int, int]] = {}
         for item, *r in self.find(text) if text else []:
             best[item] = min(best.get(item, (1 << 60, 0, 0)), tuple(r))
-        return [(i, *r) for i, r in best.items()]
+        return [(i, *r) for i, r in sorted(best.items())]
 
 
 def align(w: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
@@ -194,7 +224,7 @@ def align(w: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -> t
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, a bounded block at a time; the driver never holds more than one."""
+    """The items, a bounded block at a time."""
     block, size = [], 0
     for r in only(benchmark, "item_id", "text").where("text is not null").toLocalIterator():
         block.append((r["item_id"], r["text"]))
@@ -206,22 +236,42 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-_windows: dict[str, Windows] = {}
+def _groups(benchmark: DataFrame) -> Iterator[list]:
+    """Broadcasts of up to GROUP blocks, one for each block; the driver holds one block at a time."""
+    share, group = benchmark.sparkSession.sparkContext.broadcast, []
+    for block in _blocks(benchmark):
+        group.append(share((uuid.uuid4().hex, [i for i, _ in block], [t for _, t in block])))
+        if len(group) == GROUP:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
+_windows: OrderedDict[str, tuple[Windows, list[int]]] = OrderedDict()
 
 
-def _search(held):
+def _index(held) -> tuple[Windows, list[int]]:
+    """The index and item ids of a block; a worker keeps those of one group."""
+    key, ids, texts = held.value
+    if key not in _windows:
+        while len(_windows) >= GROUP:
+            _windows.popitem(last=False)
+        _windows[key] = Windows(texts), ids
+    return _windows[key]
+
+
+def _pass(group: list, use: Callable[[pa.RecordBatch, list[tuple]], pa.RecordBatch]):
+    """A mapInArrow function. use gets a batch and the (row, item_id, edits, start, end) found in its column text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, items = held.value
-        if key not in _windows:
-            _windows.clear()
-            _windows[key] = Windows(items)
-        best = _windows[key].best
+        blocks = [_index(held) for held in group]
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            rows = [(n, r) for n, t in enumerate(texts) for r in best(t.as_py())]
-            if rows:
-                cols = [pa.array([r[c] for _, r in rows], pa.int64()) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array([n for n, _ in rows])), *cols], ["doc_id", "item_id", "edits", "start", "end"])
+            found = []
+            for n, text in enumerate(batch.column("text")):
+                text = text.as_py()
+                found += [(n, ids[i], *r) for windows, ids in blocks for i, *r in windows.best(text)]
+            yield use(batch, found)
 
     return run
 
@@ -231,16 +281,37 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id bigint, edits bigint, start bigint, end bigint"
-    out = spark.createDataFrame([], schema)
-    for n, block in enumerate(_blocks(benchmark)):
-        held = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
-        found = only(docs, "doc_id", "text").mapInArrow(_search(held), schema)
-        out = found if n == 0 else out.unionByName(found)
-    return out
+
+    def listed(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        cols = [pa.array([r[c] for r in found], pa.int64()) for c in range(1, 5)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in found], pa.int64())), *cols], ["doc_id", "item_id", "edits", "start", "end"])
+
+    texts, out, last = only(docs, "doc_id", "text"), None, []
+    for group in _groups(benchmark):
+        if last:  # one group's broadcast at a time
+            out = materialize(out)
+            for held in last:
+                held.unpersist()
+        found = texts.mapInArrow(_pass(group, listed), schema)
+        out, last = found if out is None else out.unionByName(found), group
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark passage."""
-    hit = materialize(find(docs, benchmark).select("doc_id").distinct())
-    hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """docs without the rows whose text holds a benchmark passage. Rows pass through; there is no join."""
+    out, last = docs, []
+    arrow = to_arrow_schema(docs.schema)
+
+    def kept(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        clear = np.ones(batch.num_rows, bool)
+        clear[[r[0] for r in found]] = False
+        rows = batch.filter(pa.array(clear))
+        return pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(rows.columns, arrow)], schema=arrow)
+
+    for group in _groups(benchmark):
+        if last:
+            out = materialize(out)
+            for held in last:
+                held.unpersist()
+        out, last = out.mapInArrow(_pass(group, kept), docs.schema), group
+    return out
