@@ -1,14 +1,16 @@
 """Mixing sources to target weights by repetition rates.
 
 One aggregate gives the size of each source. Targets are set by water filling: each source gets its weight's part of
-the wanted total, none more than a multiple of its own size, and what is cut off is shared again by weight. A source's
-rate is target / size; each document is emitted floor(rate) times and once more if a hash of the seed and its id falls
-below the fraction. Rates reach documents by a broadcast of the source table while its counted rows are few, else by a
-salted join, so a source with a third of all rows is no hot task.
+the wanted total, none more than a multiple of its own size, and what is cut off is shared again by weight. The water
+level comes from running sums over the sources in the order in which they fill up: one row for each source, in one task,
+with no loop. A source's rate is target / size; each document is emitted floor(rate) times and once more if a hash of
+the seed, its id and its text falls below the fraction. Rates reach documents by a broadcast of the source table while
+its measured bytes are few, else by a salted join, so a source with a third of all rows is no hot task.
 
 Defined results: a null text has size 0; null is a source of its own, ranked last; a null doc_id hashes as the empty
-string; repeated rows make the same decision each; a source of size 0 has target 0 and its documents are not taken; an
-empty table gives no rows.
+string, as a null text does; rows of equal id and text make the same decision each; a source of size 0 has target 0 and
+its documents are not taken; very long texts are counted whole; an empty table gives no rows; extra columns are kept,
+whatever their names, but for a column copy, which mix replaces.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lookup_join, materialize
+from .common import fresh, lookup_join, materialize
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,54 +32,51 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) from seed and id alone: the same in every rerun and partitioning."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def draw(seed: int, doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) from seed, id and text alone: the same in every rerun and partitioning."""
+    said = [F.coalesce(c.cast("string"), F.lit("")) for c in (doc_id, text)]
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *said).cast("binary"))
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
-def _weighted(sources: DataFrame, weights: Sequence[int]) -> DataFrame:
-    """Sources with a weight by their rank in code-point order. Beyond a bound, ranks come from sorted ranges."""
-    order = (F.col("source").isNull(), F.col("source"))
-    if sources.count() <= BROADCAST_ROWS:
-        ranked = sources.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
-    else:
-        ranges = materialize(sources.repartitionByRange(200, *order).withColumn("range", F.spark_partition_id()))
-        before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-        starts = ranges.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-        within = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
-        ranked = ranges.withColumn("within", within).join(F.broadcast(starts), "range").withColumn("rank", F.col("start") + F.col("within"))
-    return ranked.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).alias("weight"))
-
-
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, source_size, weight, target) from sizes(source, size)."""
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = materialize(_weighted(materialize(totals), weights))
-    cap, level, capped = F.col("source_size") * most, None, -1
-    while True:
-        above = F.lit(False) if level is None else F.lit(level) * F.col("weight") > cap
-        # One row; each turn caps at least one more source, or ends.
-        r = t.agg(F.sum("source_size").alias("all"), F.count_if(above).alias("n"), F.sum(F.when(above, cap)).alias("cut"), F.sum(F.when(~above, F.col("weight"))).alias("w")).first()
-        if r["n"] == capped or not r["w"]:
-            break
-        capped, level = r["n"], (share * (r["all"] or 0) - (r["cut"] or 0)) / r["w"]
-    limit = cap.cast("double")
-    return t.withColumn("target", limit if level is None else F.least(limit, F.lit(float(level)) * F.col("weight")))
-
-
-def decide(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
-    """docs(doc_id, text, source, ...) with _size, _source_size, _target and _copies, the times that a row is emitted."""
-    sized = docs.withColumn("_size", size_of(F.col("text"))).withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    t = targets(sized.select("source", F.col("_size").alias("size")), **how)
-    rates = t.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    joined = lookup_join(sized, rates, "_key").drop("_key")
-    rate = F.coalesce(F.try_divide("_target", "_source_size"), F.lit(0.0))
-    extra = (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("_copies", F.floor(rate) + extra)
+    order = (F.col("source").isNull(), F.col("source"))
+    t = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    nth = F.row_number().over(Window.orderBy(*order)) - 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), (nth % len(weights) + 1).cast("int"))
+    t = t.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap"))
+    # Sources fill up in the order of cap / weight. With the first n full, the others share what is left by weight.
+    fill = Window.orderBy((F.col("cap") / F.col("weight")), *order)
+    upto, whole = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = share * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(upto), F.lit(0))
+    open_weight = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(upto), F.lit(0))
+    t = t.withColumn("level", left / open_weight)
+    # The first source that its level does not fill is where water stands; all before it are full.
+    stands = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), *(c.alias(f"o{i}") for i, c in enumerate(order)), "level"))).over(whole)
+    limit = F.col("cap").cast("double")
+    return t.select("source", "source_size", "weight", F.coalesce(F.least(limit, stands["level"] * F.col("weight")), limit).alias("target"))
+
+
+def decide(docs: DataFrame, names: Sequence[str] = ("size", "source_size", "target", "copies"), seed: int = 7, **how) -> DataFrame:
+    """docs(doc_id, text, source, ...) with four more columns, called names: a row's size, its source's, that one's target, and the times that the row is emitted."""
+    if {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has one of the columns {', '.join(names)}; give other names")
+    size, source_size, target, copies = names
+    key = fresh("_key", docs, names)
+    of = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+    sized = docs.withColumn(size, size_of(F.col("text"))).withColumn(key, of)
+    t = targets(sized.select("source", F.col(size).alias("size")), **how)
+    rates = materialize(t.select(of.alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target)))
+    joined = lookup_join(sized, rates, key).drop(key)
+    rate = F.coalesce(F.try_divide(F.col(target), F.col(source_size)), F.lit(0.0))
+    extra = (draw(seed, F.col("doc_id"), F.col("text")) < rate - F.floor(rate)).cast("long")
+    return joined.withColumn(copies, F.floor(rate) + extra)
 
 
 def mix(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
     """The mixed documents: the columns of docs and copy, from 1 to the times that a document is emitted (in place of any column copy)."""
-    d = decide(docs, seed, **how).where("_copies > 0")
-    return d.select(*(F.col(f"`{c}`") for c in docs.columns if c != "copy"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
+    names = [fresh(f"_{n}", docs) for n in ("size", "source_size", "target", "copies")]
+    times = F.col(names[-1])
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "copy"]
+    return decide(docs, names, seed, **how).where(times > 0).select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("copy"))

@@ -13,9 +13,13 @@
 Words are lower-cased runs of letters, digits and underscores (and any character beyond ASCII); a text of fewer than
 five words has one shingle, all its words; one without words has none and no class but its own row.
 
-Defined results: a null or wordless text links to nothing and is its own class; repeated rows are copies; a null doc_id
-takes part, its class id being that of the smallest known id, if any; ties go to the smaller id; an empty table gives
-no rows; extra columns are ignored (and kept by distinct).
+Every row is judged by a key of its own content, never by its doc_id. Texts are read in place: a blocked Bloom filter
+of fixed greatest size tells which rows may be wanted (for their sets, or for removal), and only those are shuffled.
+
+Defined results: a null or wordless text links to nothing and is its own class; repeated rows are copies; rows of one
+doc_id with different texts are judged apart; a null doc_id takes part, its class id being that of the smallest known id,
+if any; ties go to the smaller id, then to the smaller row key; a text of any length is one set, held as 8 bytes a
+shingle; an empty table gives no rows; extra columns are ignored (and kept by distinct).
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, only
+from .common import fresh, materialize, only, parted, row_key
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 128
 #: Members of a block; a cell holds two of them at most.
@@ -117,7 +121,7 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
+            keys, ids, texts = batch.column("key"), batch.column("doc_id"), batch.column("text")
             for at in range(0, len(ids), 512):
                 sets = [shingles(w) for w in word_hashes(texts[at : at + 512].to_pylist())]
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -126,7 +130,7 @@ def _sign(bands: int, rows: int):
                     for i, row in zip(full, band_hashes([sets[i] for i in full], bands, rows).view(np.int64)):
                         signed[i] = row
                 fps = [fingerprint(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids[at : at + 512], pa.array(fps, pa.binary()), pa.array(signed, pa.list_(pa.int64()))], ["doc_id", "fp", "bands"])
+                yield pa.RecordBatch.from_arrays([keys[at : at + 512], ids[at : at + 512], pa.array(fps, pa.binary()), pa.array(signed, pa.list_(pa.int64()))], ["key", "doc_id", "fp", "bands"])
 
     return run
 
@@ -219,55 +223,67 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) for every row of docs(doc_id, text).
+def _classes(source: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Tables (key, doc_id, fp) of all rows of source(key, doc_id, text), and (fp, chosen, n_links, n_copies) of all sets.
 
-    n_links counts the different texts that reach the threshold with the row's own, n_copies the rows of its set.
+    chosen is the row that stands for the set's class: (no id, id, key), the smallest of its rows.
     """
     bands, rows = choose_bands(threshold, recall)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    source = only(docs, "doc_id", "text")
-    signed = materialize(source.mapInArrow(_sign(bands, rows), f"doc_id {kind}, fp binary, bands array<bigint>"))
-    nodes = materialize(signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    signed = materialize(source.mapInArrow(_sign(bands, rows), f"key struct<a:bigint,b:bigint>, doc_id {kind}, fp binary, bands array<bigint>"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    nodes = materialize(signed.where("fp is not null").groupBy("fp").agg(F.min(row).alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
     dealt = nodes.select("fp", F.posexplode("bands").alias("band", "bucket"))
     marks = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"mark{i}") for i in range(2)]
     buckets = dealt.groupBy("band", "bucket").agg(F.count("*").alias("n"), *marks).where("n > 1")
     first = buckets.groupBy("n", "mark0", "mark1").agg(F.min(F.struct("band", "bucket")).alias("b")).select("n", "b.band", "b.bucket")
     members = materialize(dealt.join(first, ["band", "bucket"]))
-    wanted = members.select("fp").distinct().join(nodes.select("fp", "rep", "bands"), "fp")
-    wanted = materialize(wanted)
-    pick = wanted.select("fp", F.col("rep").alias("doc_id"))
-    pick = F.broadcast(pick) if wanted.count() <= BROADCAST_ROWS else pick
-    texts = source.join(pick, source["doc_id"].eqNullSafe(pick["doc_id"])).select("fp", "text")
+    wanted = materialize(members.select("fp").distinct().join(nodes.select("fp", F.col("rep.key").alias("key"), "bands"), "fp"))
+    texts = parted(source, wanted, "key")[1].join(wanted.select("key", "fp"), "key").select("fp", "text")
     sets = materialize(texts.mapInArrow(_full_sets, "fp binary, shingles array<bigint>").dropDuplicates(["fp"]))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
     cells = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("fp", "bucket", "band", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     cells = cells.join(sets, "fp").join(wanted.select("fp", "bands"), "fp")
-    key = ["bucket", "low", "high"]
-    found = materialize(cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify(threshold), "fp binary, links bigint, root binary"))
+    at = ["bucket", "low", "high"]
+    found = materialize(cells.repartition(*at).sortWithinPartitions(*at).mapInArrow(_verify(threshold), "fp binary, links bigint, root binary"))
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     roots = components(found.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b")))
-    least = roots.join(nodes.select(F.col("fp").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("class"))
-    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "class").join(links, "fp", "left")
-    judged = nodes.select("fp", "rep", "copies").join(linked, "fp", "left").select("fp", F.coalesce("class", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"))
-    judged = materialize(judged)  # so that the last join stands alone in its stage, where a set with many copies can be split
-    some = signed.where("fp is not null").select("doc_id", "fp").join(judged, "fp").select("doc_id", "class_id", "n_links", "n_copies")
-    none = signed.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    least = roots.join(nodes.select(F.col("fp").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("chosen"))
+    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "chosen").join(links, "fp", "left")
+    judged = nodes.select("fp", "rep", "copies").join(linked, "fp", "left").select("fp", F.coalesce("chosen", "rep").alias("chosen"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"))
+    # Materialised, so that the join with all rows stands alone in its stage, where a set with many copies can be split.
+    return signed.select("key", "doc_id", "fp"), materialize(judged)
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) for every row of docs(doc_id, text).
+
+    n_links counts the different texts that reach the threshold with the row's own, n_copies the rows of its set.
+    """
+    own = only(docs, "doc_id", "text")
+    rows, judged = _classes(own.select(row_key(own).alias("key"), "doc_id", "text"), threshold, recall)
+    some = rows.where("fp is not null").join(judged, "fp").select("doc_id", F.col("chosen.doc_id").alias("class_id"), "n_links", "n_copies")
+    none = rows.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return some.unionByName(none)
 
 
-def distinct(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each class: that with the class's id. Rows without words, or whose class has no id, all stay."""
-    judged = materialize(join(docs, **how))
-    gone = judged.where("class_id <> doc_id or (doc_id is null and class_id is not null)").select("doc_id").distinct()
-    gone = materialize(gone)
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    again = materialize(judged.where("class_id = doc_id and n_copies > 1").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return left
-    # Repeated rows of one id: one of them stays.
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once)
+def distinct(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """docs with one row of each class: that with the class's id (the smallest row key, if no row has an id). Rows without words all stay."""
+    key = fresh("_key", docs)
+    keyed = docs.withColumn(key, row_key(docs))
+    rows, judged = _classes(keyed.select(F.col(key).alias("key"), "doc_id", "text"), threshold, recall)
+    judged = judged.select("fp", F.col("chosen.key").alias("kept"))
+    other = materialize(rows.where("fp is not null").join(judged, "fp").select("key", (F.col("key") != F.col("kept")).alias("gone")))
+    # Rows that go, and chosen rows that are repeated whole, of which one stays.
+    some = other.groupBy("key").agg(F.max("gone").alias("gone"), F.count("*").alias("n")).where("gone or n > 1")
+    some = materialize(some.select(F.col("key").alias(key), F.col("gone").alias(f"{key}_gone")))
+    clear, rest = parted(keyed, some, key)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = rest.join(some, key, "left")
+    out = clear.select(*columns).unionByName(rest.where(F.col(f"{key}_gone").isNull()).select(*columns))
+    if some.where(~F.col(f"{key}_gone")).isEmpty():
+        return out
+    once = rest.where(~F.col(f"{key}_gone")).groupBy(key).agg(F.first(F.struct(*columns)).alias(key + "_row"))
+    return out.unionByName(once.select(f"{key}_row.*"))

@@ -26,7 +26,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.decide(only(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
-    return d.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_mix_sources, op4_warc, op5_class_lm, op6_top_k, op7_decontaminate, op8_url_filter, op9_jaccard_join, op10_language_id)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
-_DRAW = "(('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
+_DRAW = "(('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 ORACLES = {
@@ -89,7 +89,7 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v)::BIGIN
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
     "op3_mix_sources": f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
 c AS (SELECT *, sum(2 * source_size) OVER w AS cut, sum(weight) OVER w AS gone, 2.0::DOUBLE * source_size / weight AS ratio, row_number() OVER w AS nth
       FROM s WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, source IS NULL, source ROWS UNBOUNDED PRECEDING)),
@@ -97,7 +97,7 @@ t AS (SELECT 1.5::DOUBLE * sum(source_size)::DOUBLE AS wanted, sum(weight) AS we
 levels AS (SELECT 0 AS nth, wanted / weights AS level FROM t UNION ALL SELECT nth, (wanted - cut::DOUBLE) / (weights - gone) FROM c, t WHERE weights > gone),
 chosen AS (SELECT level FROM levels l WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.nth > l.nth AND l.level * c.weight > 2 * c.source_size) ORDER BY nth LIMIT 1),
 r AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, (SELECT level FROM chosen) * weight) AS target FROM s),
-m AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+m AS (SELECT doc_id, text, size, source_size, target, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN {_DRAW} < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size)::BIGINT AS taken FROM m""",
     "op8_url_filter": f"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{_URL}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

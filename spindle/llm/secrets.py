@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only
+from .common import fresh, only
 from .texts import with_text_columns
 
 
@@ -243,5 +243,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
         return cleaned
 
-    with_new = with_text_columns(docs, [T.StructField("_redacted", T.StringType())], start)
-    return with_new.select(*(F.col("_redacted").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    new = fresh("_redacted", docs)
+    with_new = with_text_columns(docs, [T.StructField(new, T.StringType())], start)
+    return with_new.select(*(F.col(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -2,8 +2,8 @@
 
 Listed entries are host+path keys such as ``example.net/en/``. A page url is looked up by its host suffixes joined to
 its path prefixes, as in public safe-browsing lists. The filter is a table of 256-bit blocks keyed by block number,
-so a probe is one join; it is broadcast only while the number of blocks is within a checked bound. Keys that pass are
-joined with the list itself, which removes every false positive.
+so a probe is one join; it has a fixed greatest size and is broadcast. Keys that pass are joined with the list itself,
+which removes every false positive.
 
 Defined results: a null url, or one without ``://``, has empty host and path and gets the default verdict; repeated
 rows are judged alike and all returned; repeated keys of the list count once, with the smallest verdict; an empty
@@ -15,10 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, lower_ascii, only
+from .common import block_of, bloom_blocks, bloom_table, lookup_join, lower_ascii, materialize, may_hold, only
 
-#: Bits of the filter for each listed key, and 64-bit words of a block, in each of which a key sets one bit.
-BITS_PER_KEY, WORDS = 16, 4
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -30,21 +28,6 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
-
-
-def _word(key: Column, i: int) -> Column:
-    """The 64-bit word i of a key's mask."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(key, F.lit(i + 1)), F.lit(64)).cast("int"))
-
-
-def bloom_table(keys: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0..w3): the bitwise or of the masks of all keys in a block. Partial sums combine before the shuffle."""
-    k = F.col("key")
-    return keys.groupBy(_block(k, blocks).alias("block")).agg(*(F.bit_or(_word(k, i)).alias(f"w{i}") for i in range(WORDS)))
-
-
 def rule_keys(rules: DataFrame) -> DataFrame:
     """(key, verdict) of distinct listed entries, from columns host, path, verdict."""
     r = only(rules, "host", "path", "verdict").where("host is not null and path is not null and host <> ''")
@@ -63,19 +46,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     none = F.lit(None).cast("string")
     if not shape["n"]:
         return urls.select("page_id", "host", "path", none.alias("rule"), F.lit(default).alias("verdict"))
-    blocks = max(1, shape["n"] * BITS_PER_KEY // (64 * WORDS) + 1)
+    blocks = bloom_blocks(shape["n"])
     labels = F.split("host", r"\.")
     deepest = F.least(F.size(labels), F.lit(shape["labels"]))
     suffixes = F.transform(F.sequence(F.lit(1), deepest), lambda i: F.array_join(F.slice(labels, -i, i), "."))
     lengths = F.filter(F.array(*(F.lit(x) for x in sorted(shape["lengths"]))), lambda x: x <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(lengths, lambda x: F.concat(s, F.substring(F.col("path"), F.lit(1), x)))))
     places = urls.select("host", "path").distinct()  # the verdict depends on these alone
-    probes = places.select("host", "path", F.explode(keys).alias("key")).withColumn("block", _block(F.col("key"), blocks))
-    passed = lookup_join(probes, bloom_table(listed, blocks), "block", rows=blocks)
-    for i in range(WORDS):
-        passed = passed.where(_word(F.col("key"), i).bitwiseAND(F.col(f"w{i}")) != 0)
-    exact = lookup_join(passed.select("host", "path", "key"), listed, "key", rows=shape["n"])
+    probes = places.select("host", "path", F.explode(keys).alias("key")).withColumn("block", block_of(F.col("key"), blocks))
+    passed = probes.join(F.broadcast(bloom_table(listed, "key", blocks, "block")), "block").where(may_hold(F.col("key"), "block"))  # 8 MB at most
+    exact = lookup_join(passed.select("host", "path", "key"), listed, "key")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.length(F.substring_index("key", "/", 1)).alias("h"), "key", "listed_verdict")).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.listed_verdict", F.lit(default)).alias("verdict")
-    )
+    best = materialize(best.select("host", "path", F.col("best.key").alias("rule"), "best.listed_verdict"))
+    judged = lookup_join(urls, best, "host", "path", how="left")  # one host and path may be that of most pages
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("listed_verdict", F.lit(default)).alias("verdict"))

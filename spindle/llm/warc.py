@@ -12,7 +12,8 @@ file's start keeps the reachable ones in log2(splits of a file) rounds. A magic
 The last pass follows each split's chain from its verified entry; a payload cut by a magic is put together again, also
 where it runs over splits.
 
-Defined results: a null html is an empty payload; control characters and spaces of a url are percent-encoded in the header; rows
+Defined results: a null html is an empty payload; control characters, spaces and percent signs of a url
+are percent-encoded in the header and decoded again (a null url comes back empty); a payload of more than 2 GB is beyond what a Spark value can hold; rows
 without page_id are responses each; repeated rows of the largest page_id are responses each; a file that does not start
 with a record has no records; an empty table gives no rows; extra columns are ignored.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import scratch
-from .common import BROADCAST_ROWS, lookup_join, materialize, only
+from .common import BROADCAST_BYTES, bytes_of, lookup_join, materialize, only
 
 MAGIC = "WARC/1."
 END = "\r\n\r\n"
@@ -45,6 +46,22 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*letters)
 
 
+#: Characters of a url that would break a header line, and the percent sign, without which no url could be given back.
+ESCAPED = "%" + "".join(map(chr, range(0x21))) + "\x7f"
+
+
+def encoded_url(url: Column) -> Column:
+    for c in ESCAPED:
+        url = F.replace(url, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return url
+
+
+def decoded_url(url: Column) -> Column:
+    for c in reversed(ESCAPED):
+        url = F.replace(url, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return url
+
+
 def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, n_bytes, digest, refers_to (null for a response)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
@@ -52,14 +69,14 @@ def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     p = p.withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     key = F.concat_ws(":", "digest", "n_bytes")
     twins = p.where(F.col("n_bytes") >= least_bytes).groupBy(key.alias("twin")).agg(F.count("*").alias("n"), F.max("page_id").alias("kept")).where("n > 1").drop("n")
-    p = lookup_join(p.withColumn("twin", key), materialize(twins), "twin", "left")
+    p = lookup_join(p.withColumn("twin", key), materialize(twins), "twin", how="left")
     return p.withColumn("refers_to", F.when(F.col("page_id") != F.col("kept"), F.col("kept"))).drop("twin", "kept")
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     d = decided(pages, least_bytes)
     revisit = F.col("refers_to").isNotNull()
-    url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "_")
+    url = encoded_url(F.coalesce("url", F.lit("")))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     line = lambda key, *value: F.concat(F.lit(f"\r\n{key}: "), *value)
     block = F.concat(F.lit(HTTP + END), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
@@ -197,9 +214,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     bases = chains.where("start is null").select("file", "block", F.coalesce(F.sum("exit").over(before), F.lit(0)).alias("base"))
     bases = materialize(bases)
-    n = bases.count()
     split = F.concat_ws("#", "file", "block")
-    based = lookup_join(chains.where("start is not null").withColumn("split", split), bases.select(split.alias("split"), "base"), "split", rows=n)
+    based = lookup_join(chains.where("start is not null").withColumn("split", split), bases.select(split.alias("split"), "base"), "split")
     c = materialize(based.select("file", "block", *((F.col(x) + F.col("base")).alias(x) for x in ("start", "exit", "last"))))
     ends = c.where("exit is not null").select("file", F.col("exit").alias("start")).distinct()
     entries = c.join(ends, ["file", "start"], "left_semi").unionByName(c.where("start = 0")).dropDuplicates(["file", "start"])
@@ -211,10 +227,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     plan = plan.withColumn("owner", F.last("last", ignorenulls=True).over(before))
     plan = materialize(plan.select(split.alias("split"), "base", "entry", "owner"))
     dealt = pieces.withColumn("split", split)
-    if n <= BROADCAST_ROWS:
+    if bytes_of(plan) <= BROADCAST_BYTES:
         dealt = dealt.join(F.broadcast(plan), "split")
     else:  # too many splits to broadcast: each is sent whole to one task and put in the order of its scan
-        dealt = dealt.withColumn("nth", F.monotonically_increasing_id()).join(plan, "split").repartition(n // 8, "split").sortWithinPartitions("split", "nth")
+        dealt = dealt.withColumn("nth", F.monotonically_increasing_id()).join(plan, "split").repartition(plan.count() // 8 + 1, "split").sortWithinPartitions("split", "nth")
     rows = dealt.select("value", "file", "block", "base", "entry", "owner").mapInArrow(_records, "file string, start long, at long, fields map<string,string>, data binary, whole boolean")
     whole = rows.where("whole").select("file", "start", "fields", F.col("data").alias("block"))
     parts = rows.where("not whole").groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("at", F.map_entries("fields").alias("fields"), "data"))).alias("p"))  # the splits of one record
@@ -226,7 +242,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record_type, refers_to, payload, payload_bytes, payload_digest) of archives that write() made."""
+    """(page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest) of archives that write() made."""
     field = lambda name: F.element_at("fields", name)
     page = lambda name: F.regexp_extract(field(name), r"<urn:page:(-?\d+)>", 1).try_cast("long")
     cut = len(HTTP + END)
@@ -234,6 +250,7 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
     response = field("warc-type") == "response"
     return read(spark, path).select(
         page("warc-record-id").alias("page_id"),
+        decoded_url(field("warc-target-uri")).alias("url"),
         field("warc-type").alias("record_type"),
         page("warc-refers-to").alias("refers_to"),
         F.when(response, payload).alias("payload"),
