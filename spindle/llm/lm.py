@@ -3,21 +3,28 @@
 Tokens are the runs of bytes other than ASCII white space, A-Z in lower case, then one end token for each text; the end
 token is also the context of the first word. Counts cover every training text:
 
-1. Word counts: each task counts its texts and sends sums; one table (word, n) of the whole vocabulary, never gathered.
-2. Words that make up at least FREQUENT of all tokens (so at most 1 / FREQUENT of them at any size) are clustered; all
-   other words form one class of their own, and the end token another. Bigram counts of these symbols are one table.
-3. Exchange clustering: a word moves to the class that most raises the class bigram likelihood. In each round the
-   context counts of every word by class are aggregated over the bigram table, and one half of the words, by turns, is
-   moved in parallel against the same class matrix. A round that lowers the likelihood is undone and ends the search.
-4. p(word | previous) = MIX * p(class | previous class) * p(word | class) + (1 - MIX) * base(word), where class
+1. Word counts: each task counts its texts and sends sums; one table of the whole vocabulary, never gathered.
+2. Words that make up at least FREQUENT of all tokens (so at most 1 / FREQUENT of them at any size) are exchanged by
+   rounds; until these end all other words stand in one class more, and the end token in its own. Bigram counts of these
+   symbols are one table.
+3. Rounds: a word moves to the class that most raises the class bigram likelihood. The context counts of every word by
+   class are aggregated over the bigram table, and one part of the words, by turns, is moved in parallel against the same
+   class matrix. A round that lowers the likelihood is undone, and the parts are halved. The search ends when every part
+   in turn has raised it by less than CONVERGED of its value, or the parts are smaller than one in MOST_PARTS.
+4. All other words, however rare, are then exchanged once: one pass over the texts gives each word's contexts by class,
+   merged by word, and each word moves to its best class. Classes, word totals and transition counts follow; transitions
+   between two such words are spread over their classes in proportion to what each class has of them.
+5. p(word | previous) = MIX * p(class | previous class) * p(word | class) + (1 - MIX) * base(word), where class
    transitions have add-ALPHA smoothing and base is the add-0.1 unigram model that also holds one unseen word.
 
-Scoring deals texts to blocks of a bounded number of bytes. A block's distinct words are joined with the word table, and
-the block meets its own dictionary again; neither the vocabulary nor the texts are broadcast.
+Scoring deals rows to blocks of a bounded number of bytes by their place in the scan, so that equal rows are not one
+block. A block's distinct words, without those of step 2 (which are broadcast: 1 / FREQUENT words at most), are joined
+with the word table, and the block meets its own dictionary again; neither the vocabulary nor the texts are broadcast.
 
 Defined results: a null text is empty and has the end token alone; a null doc_id counts as the empty string when rows
-are held out; without training texts every token is unseen; repeated rows count and are scored each; equal words counts
-are ordered by the word; an empty table gives no rows; extra columns are ignored.
+are held out; without training texts every token is unseen; repeated rows count and are scored each, very long texts
+whole; words of equal counts are ordered by the word, equal gains go to the lower class; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +40,8 @@ from pyspark.sql import functions as F
 from .common import materialize, only
 from .langid import held_out
 
-FREQUENT, CLASSES, ROUNDS, MIX, ALPHA, ADD = 2e-5, 64, 6, 0.6, 0.1, 0.1
+FREQUENT, CLASSES, MIX, ALPHA, ADD = 2e-5, 64, 0.6, 0.1, 0.1
+CONVERGED, MOST_PARTS = 1e-4, 16
 #: Bytes of text in a block, and distinct words or bigrams that a task holds before it sends their sums.
 BLOCK_BYTES, HELD = 16_000_000, 400_000
 
@@ -67,8 +75,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def _count_pairs(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: i for i, w in enumerate(held.value)}
-        end, rare = len(number), len(number) + 1
-        base = rare + 1
+        rare, end = len(number), len(number) + 1
+        base = end + 1
         get = number.get
         seen: list[int] = []
         sums, total = [], 0
@@ -173,38 +181,137 @@ def _moves(held, classes: int):
     return run
 
 
-def exchange(bigrams: DataFrame, words: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each symbol, matrix of class pair counts). Symbols: words by descending count, then the end token, then all other words."""
+def exchange(bigrams: DataFrame, words: int, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each symbol, matrix of class pair counts). Symbols: words by descending count, then all other words, then the end token."""
     share = bigrams.sparkSession.sparkContext.broadcast
     of = np.r_[np.arange(words) % classes, classes, classes + 1]
-    width = classes + 2
+    width, parts, turn, quiet = classes + 2, 2, 0, 0
     best: tuple[float, np.ndarray, np.ndarray] | None = None
-    for turn in range(rounds + 1):
-        found = materialize(bigrams.mapInArrow(_contexts(share(of.tolist())), "word bigint, side bigint, class bigint, n bigint").groupBy("word", "side", "class").agg(F.sum("n").alias("n")))
+    found = None
+    while True:
+        new = materialize(bigrams.mapInArrow(_contexts(share(of.tolist())), "word bigint, side bigint, class bigint, n bigint").groupBy("word", "side", "class").agg(F.sum("n").alias("n")))
         pairs = np.zeros(width * width)
-        for r in found.where("word = -1").collect():  # at most one row for each pair of classes
+        for r in new.where("word = -1").collect():  # at most one row for each pair of classes
             pairs[r["class"]] = r["n"]
         pairs = pairs.reshape(width, width)
         value = likelihood(pairs)
         if best and value < best[0]:
-            break
-        best = (value, of, pairs)
-        if turn == rounds or not words:
-            break
-        half = found.where((F.col("word") >= 0) & (F.col("word") < words) & (F.col("word") % 2 == turn % 2))
-        each = half.groupBy("word").agg(F.collect_list(F.struct("side", "class", "n")).alias("found"))  # at most 2 * classes + 5 entries
+            parts, turn, quiet = 2 * parts, turn + 1, 0
+            if parts > MOST_PARTS:
+                break
+        else:
+            quiet = quiet + 1 if best and value - best[0] < CONVERGED * abs(value) else 0
+            best, found, turn = (value, of, pairs), new, turn + 1
+            if quiet >= parts or not words:
+                break
+        _, of, pairs = best
+        some = found.where((F.col("word") >= 0) & (F.col("word") < words) & (F.col("word") % parts == turn % parts))
+        each = some.groupBy("word").agg(F.collect_list(F.struct("side", "class", "n")).alias("found"))  # at most 2 * classes + 5 entries
+        moves = each.mapInArrow(_moves(share((of, pairs)), classes), "word bigint, to bigint").collect()  # at most 1 / FREQUENT rows
         of = of.copy()
-        for r in each.mapInArrow(_moves(share((of, pairs)), classes), "word bigint, to bigint").collect():  # at most 1 / FREQUENT rows
+        for r in moves:
             of[r["word"]] = r["to"]
     return best[1], best[2]
 
 
+def _rare_contexts(held):
+    """(word, entries) of the words that are not frequent: packed counts of the classes before (code class) and after them (code width + class), 24 bits of count each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, of, width = held.value
+        own = len(frequent)
+        first = {w: i for i, w in enumerate(frequent)}
+        kinds = np.r_[of[:own], width - 2, width - 1]  # then a rare word's, then the end token's
+
+        def out(number: dict[bytes, int], ids: list[int]) -> pa.RecordBatch:
+            at = np.array(ids)
+            kind = kinds[np.where(at < 0, own + 1, np.minimum(at, own))]
+            rare = np.flatnonzero(at >= own)
+            key = np.concatenate([(at[rare] << 8) | kind[rare - 1], (at[rare] << 8) | (kind[rare + 1] + width)])
+            keys, n = np.unique(key, return_counts=True)
+            entries = ((keys & 255) << 24 | n).astype(np.uint32)
+            cuts = np.r_[0, np.cumsum(np.bincount((keys >> 8) - own, minlength=len(number) - own))] * 4
+            blob = pa.Array.from_buffers(pa.binary(), len(number) - own, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(entries)])
+            return pa.RecordBatch.from_arrays([pa.array(list(number)[own:], pa.binary()), blob], ["word", "entries"])
+
+        number, ids = dict(first), [-1]
+        for batch in batches:
+            for text in batch.column("text"):
+                ids += [number.setdefault(w, len(number)) for w in words_of(text.as_py())]
+                ids.append(-1)
+                if len(number) > own + HELD or len(ids) > 1 << 23:
+                    if len(number) > own:
+                        yield out(number, ids)
+                    number, ids = dict(first), [-1]
+        if len(number) > own:
+            yield out(number, ids)
+
+    return run
+
+
+def best_rare_classes(pairs: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
+    """For each of words, given the sorted entries (word, code, n) of _rare_contexts, the class that gains most from it, the words' own among them.
+
+    A class's gain is that of exchange, but the word's own counts are not first taken out of its class, whose size is many times theirs.
+    """
+    width = len(pairs)
+    choices = width - 1
+    after = code >= width
+    other = np.where(after, code - width, code)
+    m = np.where(after[:, None], pairs[:choices, other].T, pairs[other, :choices])
+    gain = np.zeros((words, choices))
+    np.add.at(gain, word, _h(m + n[:, None]) - _h(m))
+    for side, margin in ((~after, pairs.sum(0)), (after, pairs.sum(1))):
+        total = np.bincount(word[side], n[side], words)[:, None]
+        gain -= _h(margin[:choices] + total) - _h(margin[:choices])
+    return np.argmax(gain, axis=1)
+
+
+def _rare_classes(held):
+    """(word, class) from (word, all of its entries), then, without word, sums (class, code, n) of a task's entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = held.value
+        width = len(pairs)
+        sums = np.zeros((width, 2 * width))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                blobs = [b"".join(x) for x in part.column("entries").to_pylist()]
+                if not blobs:
+                    continue
+                packed = np.frombuffer(b"".join(blobs), np.uint32)
+                word, code, n = np.repeat(np.arange(len(blobs)), [len(b) // 4 for b in blobs]), (packed >> 24).astype(np.int64), (packed & 0xFFFFFF).astype(np.float64)
+                to = best_rare_classes(pairs, word, code, n, len(blobs))
+                np.add.at(sums, (to[word], code), n)
+                rows = len(blobs)
+                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(to, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], ["word", "class", "code", "n"])
+        kind, code = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(kind), pa.binary()), pa.array(kind), pa.array(code), pa.array(sums[kind, code].astype(np.int64))], ["word", "class", "code", "n"])
+
+    return run
+
+
+def spread(pairs: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The class pair counts once the words of the last but one class have classes of their own; sums: of the contexts of those words by their new class."""
+    width = len(pairs)
+    rare = width - 2
+    before, after = sums[:, :width], sums[:, width:]
+    out = pairs.copy()
+    out[rare] = out[:, rare] = 0
+    keep = np.arange(width) != rare
+    out[:, keep] += after[:, keep]
+    out[keep] += before[:, keep].T
+    return out + np.outer(after[:, rare], before[:, rare]) / max(1.0, pairs[rare, rare])
+
+
 class Model:
-    """Everything but the counts of single words."""
+    """Everything but the counts and classes of words that are not frequent."""
 
-    def __init__(self, frequent: list[bytes], of: np.ndarray, pairs: np.ndarray, totals: np.ndarray, n: int, distinct: int, ends: int) -> None:
-        self.classes = {w: int(c) for w, c in zip(frequent, of)}
-        self.end, self.rare = len(pairs) - 2, len(pairs) - 1
+    def __init__(self, frequent: list[bytes], counts: np.ndarray, of: np.ndarray, pairs: np.ndarray, totals: np.ndarray, n: int, distinct: int, ends: int) -> None:
+        self.number = {w: i for i, w in enumerate(frequent)}
+        self.counts, self.of = counts, of
+        self.rare, self.end = len(pairs) - 2, len(pairs) - 1
         some = totals > 0  # classes without tokens get no probability
         self.step = (pairs + ALPHA * some) / np.maximum(pairs.sum(1, keepdims=True) + ALPHA * some.sum(), ALPHA)
         self.totals, self.n, self.distinct, self.ends = totals, n, distinct, ends
@@ -212,71 +319,95 @@ class Model:
     def base(self, count: np.ndarray) -> np.ndarray:
         return (count + ADD) / (self.n + ADD * (self.distinct + 1))
 
-    def dictionary(self, words: list[bytes], counts: np.ndarray) -> tuple:
-        """number of each word, and by number its count, class, emission and base probability; the end token comes last."""
-        kind = np.array([*(self.classes.get(w, self.rare) for w in words), self.end])
-        count = np.r_[counts, self.ends].astype(np.float64)
-        return {w: i for i, w in enumerate(words)}, count, kind, count / np.maximum(self.totals[kind], 1), self.base(count)
+    def dictionary(self, words: list[bytes], counts: np.ndarray, classes: np.ndarray) -> tuple:
+        """number of each frequent or given word, and by number its count, class, emission and base probability; the end token comes last."""
+        number = dict(self.number)
+        number.update(zip(words, range(len(number), len(number) + len(words))))
+        kind = np.r_[self.of, classes, self.end].astype(np.int64)
+        count = np.r_[self.counts, counts, self.ends].astype(np.float64)
+        return number, count, kind, count / np.maximum(self.totals[kind], 1), self.base(count)
 
-    def score(self, text: str | None, known: tuple) -> tuple[int, int, float, float]:
-        """(tokens, known tokens, base score, score)."""
+    def score(self, text: str | None, known: tuple) -> tuple[int, int, float, float, float]:
+        """(tokens, known tokens, base score, score, perplexity)."""
         number, count, kind, emission, base = known
         ids = np.array([*map(number.__getitem__, words_of(text)), len(number)])
         k = kind[ids]
         p = MIX * self.step[np.r_[self.end, k[:-1]], k] * emission[ids] + (1 - MIX) * base[ids]
-        return len(ids), int((count[ids] > 0).sum()), float(np.log10(base[ids]).sum()), float(np.log10(p).sum())
+        score = float(np.log10(p).sum())
+        return len(ids), int((count[ids] > 0).sum()), float(np.log10(base[ids]).sum()), score, 10.0 ** (-score / len(ids))
 
 
-def learn(training: DataFrame, counts: DataFrame) -> Model:
-    """The model of training(text), whose word counts are counts."""
+def learn(training: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of training(text), whose word counts are counts, and (word, n, class) of the words that are not frequent."""
     spark = training.sparkSession
+    share = spark.sparkContext.broadcast
     ends = training.count()
     sums = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     n, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-    top = counts.where(F.col("n") >= FREQUENT * n).collect() if n else []  # at most 1 / FREQUENT rows
+    often = F.col("n") >= FREQUENT * n
+    top = counts.where(often).collect() if n else []  # at most 1 / FREQUENT rows
     top.sort(key=lambda r: (-r["n"], bytes(r["word"])))
-    frequent = [bytes(r["word"]) for r in top]
-    pairs = materialize(training.select("text").mapInArrow(_count_pairs(spark.sparkContext.broadcast(frequent)), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    of, matrix = exchange(pairs, len(frequent))
-    totals = np.bincount(of[: len(frequent)], [r["n"] for r in top], CLASSES + 2)
-    totals[-2], totals[-1] = ends, n - ends - sum(r["n"] for r in top)
-    return Model(frequent, of, matrix, totals, n, distinct, ends)
+    frequent, totals_of = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+    bigrams = materialize(training.select("text").mapInArrow(_count_pairs(share(frequent)), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    of, pairs = exchange(bigrams, len(frequent))
+    width, of = len(pairs), of[: len(frequent)]
+    contexts = training.select("text").mapInArrow(_rare_contexts(share((frequent, of, width))), "word binary, entries binary")
+    merged = contexts.groupBy("word").agg(F.collect_list("entries").alias("entries"))  # one entry for each task that has the word, which is rare
+    found = materialize(merged.mapInArrow(_rare_classes(share(pairs)), "word binary, class bigint, code bigint, n bigint"))
+    moved = np.zeros((width, 2 * width))
+    for r in found.where("word is null").groupBy("class", "code").agg(F.sum("n").alias("n")).collect():  # at most 2 * width ** 2 rows
+        moved[r["class"], r["code"]] = r["n"]
+    rare = materialize(counts.where(~often).join(found.where("word is not null").select("word", "class"), "word"))
+    totals = np.bincount(of, totals_of, width)
+    for r in rare.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        totals[r["class"]] += r["n"]
+    totals[-1] = ends
+    return Model(frequent, totals_of, of, spread(pairs, moved), totals, n, distinct, ends), rare
+
+
+def _distinct_words(held):
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        words: set[bytes] = set()
+        for t in docs.column("text"):
+            words.update(words_of(t.as_py()))
+        words.difference_update(held.value.number)
+        return pa.table({"block": pa.array([key[0].as_py()] * len(words), pa.int64()), "word": pa.array(list(words), pa.binary())})
+
+    return run
 
 
-def _distinct_words(key: tuple, docs: pa.Table) -> pa.Table:
-    words: set[bytes] = set()
-    for t in docs.column("text"):
-        words.update(words_of(t.as_py()))
-    return pa.table({"block": pa.array([key[0].as_py()] * len(words), pa.int64()), "word": pa.array(list(words), pa.binary())})
+_SCORED = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())])
 
 
 def _score_block(held):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         model = held.value
-        known = model.dictionary(words.column("word").to_pylist(), words.column("n").to_numpy())
+        known = model.dictionary(words.column("word").to_pylist(), words.column("n").to_numpy(), words.column("class").to_numpy())
         rows = [model.score(t.as_py(), known) for t in docs.column("text")]
-        cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-        return pa.table([docs.column("doc_id"), docs.column("held_out"), *cols], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        cols = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCORED)]
+        return pa.table([docs.column("doc_id"), docs.column("held_out"), *cols], names=["doc_id", "held_out", *_SCORED.names])
 
     return run
 
 
 def score(docs: DataFrame, held: Column) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, text), learnt from the rows where held is false."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of docs(doc_id, text), learnt from the rows where held is false."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id"), F.col("text"), held.alias("held_out"))
     training = rows.where(~F.col("held_out"))
     counts = materialize(word_counts(training))
-    model = learn(training, counts)
+    model, rare = learn(training, counts)
+    shared = spark.sparkContext.broadcast(model)
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = size // BLOCK_BYTES + 1
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block")
-    words = dealt.groupBy("block").applyInArrow(_distinct_words, "block bigint, word binary")
-    known = words.join(counts, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    # Both sides below read the same shuffle of dealt, so a row's block is one and the same.
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).repartition(blocks, "block")
+    words = dealt.groupBy("block").applyInArrow(_distinct_words(shared), "block bigint, word binary")
+    known = words.join(rare, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("class", F.lit(model.rare)).cast("long").alias("class"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score_block(spark.sparkContext.broadcast(model)), schema)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, perplexity double"
+    scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score_block(shared), schema)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
 def score_corpus(docs: DataFrame, folds: int = 10) -> DataFrame:
