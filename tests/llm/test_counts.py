@@ -85,9 +85,11 @@ def test_redaction(spark):
 def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), rng.choice(["a"] * 8 + ["b"] * 8 + ["c", None])) for i in range(4000)] + [(None, "x y", "a"), (1, None, "zero"), (7, "dup dup", "b"), (7, "dup dup", "b")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
-    got = mixing.decide(df).collect()
-    assert [r.size for r in got] == ["clash"] * len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("Size", F.lit("clash"))
+    with pytest.raises(ValueError, match="other names"):
+        mixing.decide(df)
+    got = mixing.decide(df, ("_size", "_source_size", "_target", "_copies")).collect()
+    assert [r.Size for r in got] == ["clash"] * len(rows)
     sizes, target, taken = Counter(), {}, Counter()
     for r in got:
         assert r._size == len((r.text or "").split()) and 0 <= r._copies <= 2
@@ -108,20 +110,19 @@ def test_mixing(spark):
         assert target[s] == (sizes[s], pytest.approx(want[s]))
         assert abs(taken[s] - want[s]) <= 0.08 * max(sizes[s], 1)
     assert sum(want.values()) == pytest.approx(1.5 * total)
-    again = {(r.doc_id, r.text, r.source): r._copies for r in mixing.decide(df.repartition(7)).collect()}
+    again = {(r.doc_id, r.text, r.source): r.copies for r in mixing.decide(df.drop("Size").repartition(7)).collect()}
     assert all(again[r.doc_id, r.text, r.source] == r._copies for r in got)
     mixed = mixing.mix(df)
-    assert mixed.columns == ["doc_id", "text", "source", "size", "copy"]
+    assert mixed.columns == ["doc_id", "text", "source", "Size", "copy"]
     assert mixed.count() == sum(r._copies for r in got)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
 def test_mixing_beyond_the_broadcast_bound(spark, monkeypatch):
     df = spark.range(900).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), (F.col("id") % 90).cast("string").alias("source"))
-    key = lambda rows: sorted((r.doc_id, r._target, r._copies) for r in rows)
+    key = lambda rows: sorted((r.doc_id, r.target, r.copies) for r in rows)
     few = key(mixing.decide(df).collect())
-    for module in (mixing, __import__("spindle.llm.common", fromlist=["x"])):
-        monkeypatch.setattr(module, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr("spindle.llm.common.BROADCAST_BYTES", 1)
     assert key(mixing.decide(df).collect()) == few
 
 
@@ -153,7 +154,7 @@ def test_many_listed_urls(spark, monkeypatch):
     df = spark.createDataFrame(pages, "page_id long, url string")
     want = {i: "block" if any(u.split("/")[2] == f"w.{h}" and u.split(h)[1].startswith(p) for h, p in [(u.split("/")[2][2:], f"/{u.split('/')[3]}/")] if (h, p) in listed) else "allow" for i, u in pages}
     assert {r.page_id: r.verdict for r in urls.judge(df, rules).collect()} == want
-    monkeypatch.setattr("spindle.llm.common.BROADCAST_ROWS", 1)
+    monkeypatch.setattr("spindle.llm.common.BROADCAST_BYTES", 1)
     assert {r.page_id: r.verdict for r in urls.judge(df, rules).collect()} == want
 
 

@@ -76,6 +76,22 @@ def test_join_equals_brute_force(spark, monkeypatch, block):
     assert set(kept) == want and len(kept) == len(want)
 
 
+def test_distinct_judges_rows_by_their_text(spark, monkeypatch):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a39", "z")
+    rows = [(3, a), (7, near), (7, b), (7, b), (None, a), (None, c), (None, c), (None, c.replace("c39", "z")), (9, None), (9, None), (9, "")]
+    want = [(3, a), (7, b), (9, ""), (9, None), (9, None)]
+    for most in (1 << 18, 1):  # a Bloom filter that tells nothing apart changes nothing
+        monkeypatch.setattr("spindle.llm.common.MOST_BLOCKS", most)
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_key": F.lit(1), "chosen": F.create_map(F.lit("k"), F.lit(1))}).repartition(3)
+        got = [tuple(r)[:2] for r in neardup.distinct(df).collect()]
+        rest = [r for r in got if r not in want]
+        assert sorted(map(str, got)) == sorted(map(str, [*want, *rest]))
+        assert len(rest) == 1 and rest[0][0] is None and rest[0][1][:4] == "c0 c"  # a class without any id keeps one row
+    more = [(1, a)] * 300 + [(2, near)] * 200 + [(5, b)]
+    assert sorted(tuple(r) for r in neardup.distinct(spark.createDataFrame(more, "doc_id long, text string")).collect()) == [(1, a), (5, b)]
+
+
 def test_bands():
     b, r = neardup.choose_bands()
     assert b * r <= neardup.HASHES and 1 - (1 - 0.8**r) ** b >= neardup.RECALL
@@ -140,6 +156,75 @@ def test_decontamination(spark):
     assert decontam.find(df.limit(0), bench).count() == decontam.find(df, bench.limit(0)).count() == 0
 
 
+def plain_hits(text, item):
+    """The fewest edits by which some window of item lies in text, by the whole table of each window; None if beyond its bound."""
+    c, _ = decontam.normal(text)
+    whole, _ = decontam.normal(item)
+    best, last = None, max(0, len(whole) - decontam.WINDOW)
+    for start in [*range(0, last, decontam.STEP), last]:
+        w = whole[start : start + decontam.WINDOW]
+        row = np.zeros(len(c) + 1, np.int64)
+        places = np.arange(len(c) + 1)
+        for i, x in enumerate(w):
+            new = np.minimum(np.r_[i + 1, row[:-1] + (c != x)], row + 1)
+            row = np.minimum.accumulate(new - places) + places
+        most = min(int(len(w) * decontam.EDITS), max(0, (len(w) - decontam.Q) // decontam.Q))
+        if row.min() <= most:
+            best = int(row.min()) if best is None else min(best, int(row.min()))
+    return best
+
+
+@pytest.mark.parametrize("hits", [300, 1_000_000])
+def test_windows_equal_a_scan_of_all_windows(monkeypatch, hits):
+    monkeypatch.setattr(decontam, "HITS", hits)
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("aeinst", k=rng.randrange(1, 6))) for _ in range(12)]
+    say = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [say(rng.choice((3, 8, 40, 90))) for _ in range(12)] + ["a b " * 60, "ab" * 90, "tiny item", "x" * 9]
+    windows = decontam.Windows(items)
+    caught = 0
+    for n in range(40):
+        text = say(rng.randrange(0, 120))
+        if n % 2:
+            text += " " + edited(rng, rng.choice(items), rng.randrange(0, 14)) + " " + say(20)
+        text += rng.choice(("", " " + "a b " * 100, "ab" * 150))
+        got = {i: (edits, a, b) for i, edits, a, b in windows.best(text)}
+        want = {i: e for i, t in enumerate(items) if len(decontam.normal(t)[0]) >= decontam.Q and (e := plain_hits(text, t)) is not None}
+        assert {i: e for i, (e, _, _) in got.items()} == want
+        assert all(0 <= a < b <= len(text) for _, a, b in got.values())
+        caught += len(want)
+    assert caught > 30
+
+
+def test_a_repetitive_text_takes_bounded_memory():
+    import tracemalloc
+
+    windows = decontam.Windows(["a b " * 100, "a b c " * 80])
+    tracemalloc.start()
+    assert [(i, e) for i, e, _, _ in windows.best("a b " * 60_000)] == [(0, 0)]
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def test_rows_and_items_are_judged_one_by_one(spark, monkeypatch):
+    passage = " ".join(f"item{i} quiz" for i in range(20))
+    other = " ".join(f"other{i} text" for i in range(20))
+    rows = [(5, "x " + passage), (5, "clean"), (None, passage + " y"), (None, "clean too"), (5, "x " + passage), (6, other)]
+    items = [(1, passage), (1, passage), (2, passage), (1, other)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("item_id", "edits", "start", "end")})
+    found = []
+    for size, group in ((20_000, 8), (1, 8), (1, 2)):  # one block, several of a group, several groups
+        monkeypatch.setattr(decontam, "BLOCK_ITEMS", size)
+        monkeypatch.setattr(decontam, "GROUP", group)
+        found.append(sorted((tuple(r) for r in decontam.find(df, bench).collect()), key=str))
+        kept = decontam.clean(df, bench)
+        assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect()) == [(5, "clean")]
+        assert [r.text for r in kept.where("doc_id is null").collect()] == ["clean too"]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3 * 3 + 1
+    assert decontam.clean(df, bench.limit(0)).count() == len(rows)
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"item number {i} " + hashlib.sha256(str(i).encode()).hexdigest()) for i in range(9)], "item_id long, text string")
     df = documents(spark, [(r.item_id, "before " + r.text) for r in items.collect()])
@@ -170,7 +255,7 @@ def test_exchange_gain_is_exact():
     rng = np.random.default_rng(0)
     n, k = 30, 5
     b = rng.integers(0, 20, (n, n)).astype(float)
-    of = np.r_[np.arange(n - 2) % k, k, k + 1]
+    of = np.r_[np.arange(n - 2) % k, k, k + 1]  # the last two: all other words, the end token
 
     def pairs(of):
         m = np.zeros((k + 2, k + 2))
@@ -206,13 +291,59 @@ def test_scores(spark, monkeypatch):
     assert lm.score_corpus(documents(spark, rows[:1]).limit(0)).count() == 0
 
 
-def test_probabilities_sum_to_one(spark):
+def test_scores_equal_a_plain_model(spark, monkeypatch):
+    """Transitions and scores recounted token by token from the classes that learn gives."""
+    monkeypatch.setattr(lm, "FREQUENT", 0.01)
+    monkeypatch.setattr(lm, "CLASSES", 5)
+    monkeypatch.setattr(lm.exchange, "__defaults__", (5,))
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(rng.choice(words[(j % 3) * 30 :][: 3 + i % 27]) for j in range(rng.randrange(0, 50)))) for i in range(200)] + [(500, None), (501, "never seen")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    training = df.where(~F.col("doc_id").isin(*(i for i, _ in rows if held(i))))
+    counts = lm.word_counts(training)
+    model, rare = lm.learn(training, counts)
+    kind = {bytes(r.word): r["class"] for r in rare.collect()}
+    assert kind and len({*kind.values()}) > 1
+    common = dict(zip(model.number, model.of.tolist()))
+    tokens = lambda t: lm.words_of(t) + [None]
+    of = lambda w: 6 if w is None else common.get(w, kind.get(w, 5))
+    n, c, both, out, into = np.zeros((7, 7)), Counter(), 0, np.zeros(7), np.zeros(7)
+    for i, t in rows:
+        if not held(i):
+            for a, b in zip([None, *tokens(t)], tokens(t)):
+                c[b] += 1
+                if a in kind and b in kind:
+                    both += 1
+                    out[of(a)] += 1
+                    into[of(b)] += 1
+                else:
+                    n[of(a), of(b)] += 1
+    n += np.outer(out, into) / max(1, both)
+    totals = Counter()
+    for w, x in c.items():
+        totals[of(w)] += x
+    some = np.array([totals[k] > 0 for k in range(7)])
+    step = (n + lm.ALPHA * some) / (n.sum(1, keepdims=True) + lm.ALPHA * some.sum())
+    base = lambda w: (c[w] + 0.1) / (c.total() + 0.1 * (len(c) + 1))
+    got = {r.doc_id: r for r in lm.score_corpus(df).collect()}
+    for i, t in rows:
+        want = sum(math.log10(lm.MIX * step[of(a), of(b)] * c[b] / max(1, totals[of(b)]) + (1 - lm.MIX) * base(b)) for a, b in zip([None, *tokens(t)], tokens(t)))
+        assert got[i].score == pytest.approx(want) and got[i].perplexity == pytest.approx(10 ** (-want / len(tokens(t))))
+
+
+def test_probabilities_sum_to_one(spark, monkeypatch):
     texts = [(i, t) for i, t in enumerate(["a b a c", "b a", "c c d"])]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     counts = lm.word_counts(df)
-    model = lm.learn(df, counts)
+    monkeypatch.setattr(lm, "FREQUENT", 0.2)
+    model, rare = lm.learn(df, counts)
     words = {bytes(r.word): r.n for r in counts.collect()}
-    known = model.dictionary([*words, b"unseen"], np.array([*words.values(), 0]))
+    rare = {bytes(r.word): (r.n, r["class"]) for r in rare.collect()}
+    assert rare and model.number and {*rare} | {*model.number} == {*words}
+    assert model.totals.sum() == model.n and model.step.sum(1) == pytest.approx(np.ones(len(model.step)))
+    known = model.dictionary([*rare, b"unseen"], np.array([*(n for n, _ in rare.values()), 0]), np.array([*(c for _, c in rare.values()), model.rare]))
     for first in [*words, b"unseen"]:
         total = 0.0
         for w in [*words, b"unseen"]:
@@ -268,6 +399,6 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         capped |= over
     for r in kept:
         rate = min(2.0, level * weight[r[3]] / sizes[r[3]])
-        u = int(hashlib.md5(f"7:{r[0]}".encode()).hexdigest()[:13], 16) / 16**13
+        u = int(hashlib.md5(f"7:{r[0]}:{texts[r[0]]}".encode()).hexdigest()[:13], 16) / 16**13
         assert copies[r[0]] == math.floor(rate) + (u < rate - math.floor(rate))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontaminate", "redact_secrets", "mix_sources"]
