@@ -22,8 +22,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that the operator rejects go."""
-    labelled = docs.where(~langid.held_out(F.col("doc_id"), FOLDS))
-    return langid.identify(docs, labelled, "_langid_").where(~F.col("_langid_rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return langid.recognised(docs, docs.where(~langid.held_out(F.col("doc_id"), FOLDS)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
