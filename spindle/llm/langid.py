@@ -1,11 +1,10 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
-The labelled texts are cut into spans, and a bounded sample of spans, chosen by hash, makes SHARDS raw-content
-dictionaries for each language, in lower case. A text is cut into pieces of bounded length, every piece is compressed
-with every dictionary, and the language with the smallest total wins; all of the text takes part, and a text of any
-length is judged alike. Several dictionaries a language make totals finer than the bytes of one. Equal totals go to the
-language with more labelled rows. A text is rejected when the smallest total is not enough below the second (a narrow
-margin), or when it has no letters.
+The labelled texts are cut into spans, and a bounded sample of spans, chosen by hash, makes the raw-content dictionary of
+each language, in lower case. A text is cut into pieces of bounded length, every piece is compressed with every
+dictionary, and the language with the smallest total wins; all of the text takes part, and a text of any length is judged
+alike. Equal totals go to the language with more labelled rows. A text is rejected when the smallest total is not enough
+below the second (a narrow margin), or when it has no letters.
 
 Bounded sample: SPANS spans of SPAN characters a language, TOTAL over all languages (one span of each at least); any part
 of any labelled text may be chosen, and no language is left out. The dictionaries are broadcast, at most SPAN * 4 bytes
@@ -31,7 +30,7 @@ from pyspark.sql import types as T
 from .common import fresh, only
 from .texts import with_text_columns
 
-SPANS, SPAN, TOTAL, SHARDS = 256, 750, 65_536, 4
+SPANS, SPAN, TOTAL = 256, 750, 65_536
 PIECE, LEVEL = 4096, 3
 #: Least difference between the two smallest totals, in bytes and as a part of the second.
 MARGIN_BYTES, MARGIN_PART = 1, 0.002
@@ -42,8 +41,8 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def learn(labelled: DataFrame) -> list[tuple[str, list[bytes]]]:
-    """(language, dictionaries) from labelled(doc_id, text, lang), the language with most rows first."""
+def learn(labelled: DataFrame) -> list[tuple[str, bytes]]:
+    """(language, dictionary) from labelled(doc_id, text, lang), the language with most rows first."""
     rows = only(labelled, "doc_id", "text", "lang").where("text is not null and lang is not null")
     counts = rows.groupBy("lang").count().collect()  # one row a language
     counts.sort(key=lambda r: (-r["count"], r["lang"]))
@@ -55,19 +54,17 @@ def learn(labelled: DataFrame) -> list[tuple[str, list[bytes]]]:
     texts: dict[str, list[str]] = {r["lang"]: [] for r in counts}
     for r in sample:
         texts[r["lang"]].append(r["span"])
-    return [(k, ["\n".join(v[i::SHARDS]).lower().encode("utf-8", "surrogatepass") for i in range(SHARDS)]) for k, v in texts.items()]
+    return [(k, "\n".join(v).lower().encode("utf-8", "surrogatepass")) for k, v in texts.items()]
 
 
 class Classifier:
-    def __init__(self, dictionaries: list[tuple[str, list[bytes]]]) -> None:
+    def __init__(self, dictionaries: list[tuple[str, bytes]]) -> None:
         self.languages = [k for k, _ in dictionaries]
-        self.compress = [[self._with(content) for content in contents] for _, contents in dictionaries]
-
-    @staticmethod
-    def _with(content: bytes):
-        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress
+        self.compress = []
+        for _, content in dictionaries:
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.compress.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress)
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected). The score is the weight of the winner if 2 ** -(bits) is spread over all languages, tempered."""
@@ -75,10 +72,10 @@ class Classifier:
             return "und", 0.0, True
         data = text.lower().encode("utf-8", "surrogatepass")
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-        totals = [sum(len(c(p)) for c in shards for p in pieces) for shards in self.compress]
+        totals = [sum(len(c(p)) for p in pieces) for c in self.compress]
         best = min(range(len(totals)), key=lambda i: (totals[i], i))
         second = min((t for i, t in enumerate(totals) if i != best), default=math.inf)
-        score = 1.0 / sum(math.exp(max(-700.0, (totals[best] - t) / (4 * SHARDS))) for t in totals)
+        score = 1.0 / sum(math.exp(max(-700.0, (totals[best] - t) / 4)) for t in totals)
         gap = second - totals[best]
         return self.languages[best], score, gap < MARGIN_BYTES or gap < MARGIN_PART * second
 

@@ -62,12 +62,12 @@ _WORD[[*range(48, 58), *range(97, 123), 95, *range(128, 256)]] = True
 
 
 def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
-    """A 64-bit hash of every word, for each text; computed over a few megabytes at a time."""
+    """A 64-bit hash of every word, for each text; computed over a megabyte or so at a time."""
     out: list[np.ndarray] = []
     first = 0
     while first < len(texts):
         raw, size = [], 0
-        while first + len(raw) < len(texts) and size < 1 << 21:
+        while first + len(raw) < len(texts) and size < 1 << 20:
             raw.append((texts[first + len(raw)] or "").lower().encode("utf-8", "surrogatepass"))
             size += len(raw[-1])
         first += len(raw)

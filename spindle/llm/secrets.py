@@ -155,12 +155,12 @@ class Index:
             self.table[a << 16 | b << 8 | c] = i
 
     def build(self, texts: list[bytes]) -> dict[int, np.ndarray]:
-        """trigram number -> sorted numbers of texts. Texts are taken a few megabytes at a time."""
+        """trigram number -> sorted numbers of texts. Texts are taken a megabyte or so at a time."""
         found = []
         first = 0
         while first < len(texts):
             last, size = first, 0
-            while last < len(texts) and (size < 1 << 22 or last == first):
+            while last < len(texts) and (size < 1 << 20 or last == first):
                 size += len(texts[last]) + 2
                 last += 1
             data = np.frombuffer(b"\0\0".join(texts[first:last]) + b"\0\0", np.uint8).astype(np.int32)

@@ -121,6 +121,10 @@ def test_op9(spark, fixture):
 
 
 def test_op10(spark, fixture):
+    import zstandard
+
+    from spindle.llm import langid
+
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
     got = run(spark, fixture, "op10_language_id")
     same([(r.doc_id, r.held_out) for r in got], [(i, held(i)) for i, *_ in fixture[1]])
@@ -129,3 +133,21 @@ def test_op10(spark, fixture):
     assert sum(r.lang_pred == truth[r.doc_id] for r in test) >= 0.95 * len(test) > 10
     assert {(r.lang_pred, r.score) for r in got if r.doc_id in (203, 204, 205)} == {("und", 0.0)}
     assert all(0 <= r.score <= 1 for r in got)
+    # Judged again by plain compression with dictionaries of all spans, which are fewer than the sample may hold.
+    spans = [(i, lang, (t or "")[n : n + langid.SPAN]) for i, t, lang, *_ in fixture[1] if lang and not held(i) for n in range(0, len(t or ""), langid.SPAN)]
+    assert len(spans) < langid.SPANS
+    learnt = dict(langid.learn(spark.read.parquet(f"{fixture[0]}/documents.parquet").where("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 5 <> 0")))
+    assert {k: sorted(v.decode().split("\n")) for k, v in learnt.items()} == {k: sorted(s.lower() for _, x, s in spans if x == k) for k in learnt}
+
+    def size(text, content):
+        data = text.lower().encode()
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return sum(len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(data[i : i + langid.PIECE])) for i in range(0, len(data), langid.PIECE))
+
+    judged = {(r.doc_id, r.lang_pred, r.rejected) for r in got}
+    for i, t, *_ in fixture[1]:
+        if re.search(r"[^\W\d_]", t or ""):
+            sizes = {k: size(t, v) for k, v in learnt.items()}
+            low, second = sorted(sizes.values())[:2]
+            best = next(k for k in learnt if sizes[k] == low)
+            assert (i, best, second - low < max(langid.MARGIN_BYTES, langid.MARGIN_PART * second)) in judged
