@@ -214,6 +214,14 @@ def exchange(bigrams: DataFrame, words: int, classes: int = CLASSES) -> tuple[np
     return best[1], best[2]
 
 
+class Numbers(dict):
+    """word -> number, the next one for a word that is new."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _rare_contexts(held):
     """(word, entries) of the words that are not frequent: packed counts of the classes before (code class) and after them (code width + class), 24 bits of count each."""
 
@@ -234,15 +242,15 @@ def _rare_contexts(held):
             blob = pa.Array.from_buffers(pa.binary(), len(number) - own, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(entries)])
             return pa.RecordBatch.from_arrays([pa.array(list(number)[own:], pa.binary()), blob], ["word", "entries"])
 
-        number, ids = dict(first), [-1]
+        number, ids = Numbers(first), [-1]
         for batch in batches:
             for text in batch.column("text"):
-                ids += [number.setdefault(w, len(number)) for w in words_of(text.as_py())]
+                ids += map(number.__getitem__, words_of(text.as_py()))
                 ids.append(-1)
                 if len(number) > own + HELD or len(ids) > 1 << 23:
                     if len(number) > own:
                         yield out(number, ids)
-                    number, ids = dict(first), [-1]
+                    number, ids = Numbers(first), [-1]
         if len(number) > own:
             yield out(number, ids)
 
@@ -256,19 +264,21 @@ def best_rare_classes(pairs: np.ndarray, word: np.ndarray, code: np.ndarray, n:
     """
     width = len(pairs)
     choices = width - 1
+    # What an entry adds depends on its code and count alone, and few of these differ.
+    kinds, entry = np.unique(code << 24 | n, return_inverse=True)
+    other, many = kinds >> 24, (kinds & 0xFFFFFF).astype(np.float64)[:, None]
+    m = np.where((other >= width)[:, None], pairs[:choices, other % width].T, pairs[other % width, :choices])
+    firsts = np.searchsorted(word, np.arange(words))
+    gain = np.add.reduceat((_h(m + many) - _h(m))[entry], firsts)
     after = code >= width
-    other = np.where(after, code - width, code)
-    m = np.where(after[:, None], pairs[:choices, other].T, pairs[other, :choices])
-    gain = np.zeros((words, choices))
-    np.add.at(gain, word, _h(m + n[:, None]) - _h(m))
     for side, margin in ((~after, pairs.sum(0)), (after, pairs.sum(1))):
-        total = np.bincount(word[side], n[side], words)[:, None]
-        gain -= _h(margin[:choices] + total) - _h(margin[:choices])
+        totals, which = np.unique(np.bincount(word[side], n[side], words), return_inverse=True)
+        gain -= (_h(margin[:choices] + totals[:, None]) - _h(margin[:choices]))[which]
     return np.argmax(gain, axis=1)
 
 
 def _rare_classes(held):
-    """(word, class) from (word, all of its entries), then, without word, sums (class, code, n) of a task's entries."""
+    """(word, class, its count n) from (word, all of its entries), then, without word, sums (class, code, n) of a task's entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = held.value
@@ -281,11 +291,12 @@ def _rare_classes(held):
                 if not blobs:
                     continue
                 packed = np.frombuffer(b"".join(blobs), np.uint32)
-                word, code, n = np.repeat(np.arange(len(blobs)), [len(b) // 4 for b in blobs]), (packed >> 24).astype(np.int64), (packed & 0xFFFFFF).astype(np.float64)
+                word, code, n = np.repeat(np.arange(len(blobs)), [len(b) // 4 for b in blobs]), (packed >> 24).astype(np.int64), (packed & 0xFFFFFF).astype(np.int64)
                 to = best_rare_classes(pairs, word, code, n, len(blobs))
                 np.add.at(sums, (to[word], code), n)
-                rows = len(blobs)
-                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(to, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], ["word", "class", "code", "n"])
+                before = code < width  # one for each time that the word occurs
+                count = np.bincount(word[before], n[before], len(blobs)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(to, pa.int64()), pa.nulls(len(to), pa.int64()), pa.array(count)], ["word", "class", "code", "n"])
         kind, code = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(kind), pa.binary()), pa.array(kind), pa.array(code), pa.array(sums[kind, code].astype(np.int64))], ["word", "class", "code", "n"])
 
@@ -357,7 +368,7 @@ def learn(training: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
     moved = np.zeros((width, 2 * width))
     for r in found.where("word is null").groupBy("class", "code").agg(F.sum("n").alias("n")).collect():  # at most 2 * width ** 2 rows
         moved[r["class"], r["code"]] = r["n"]
-    rare = materialize(counts.where(~often).join(found.where("word is not null").select("word", "class"), "word"))
+    rare = found.where("word is not null").select("word", "n", "class")
     totals = np.bincount(of, totals_of, width)
     for r in rare.groupBy("class").agg(F.sum("n").alias("n")).collect():
         totals[r["class"]] += r["n"]
