@@ -33,12 +33,6 @@ def quality_gate(task: dict, pairs: Mapping[str, int], sensitive: Sequence[tuple
         raise ValueError(f"{total(False)} matches of secrets by split and type")
 
 
-def overlength_gate(task: dict, fractions: Mapping[str, float]) -> None:
-    most = task.get("data_quality", {}).get("max_overlength_fraction", 1)
-    if bad := {s: f for s, f in fractions.items() if f > most}:
-        raise ValueError(f"too many rows are over the token limit: {bad}")
-
-
 def sensitive_verdicts(sensitive: DataFrame, fail_on_pii: bool = False, fail_on_secret: bool = True) -> DataFrame:
     """(split, pii, secrets, status) of (split, type, rows): the totals that the policy looks at, and what it says of each split."""
     of = lambda personal: F.sum(F.when(F.col("type").isin(*PII) == personal, F.col("rows")).otherwise(0))

@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, removed when the driver ends; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spindle-")
+    """A new folder under spark.checkpoint.dir, removed when the driver ends. In local mode alone that may be unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spindle-")
     path = f"{base.rstrip('/')}/spindle-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
@@ -45,7 +50,7 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, path: str) -> DataFrame:
-    """(file, split, prompt, response, inputs as JSON text, fault) of prepared JSON lines; fault names a row whose prompt or response is not text.
+    """(file, split, prompt, response, inputs as JSON text, value, fault) of prepared JSON lines; fault names a row whose prompt or response is not text.
 
     split is that of the folder (split=...) or null.
 
@@ -58,7 +63,18 @@ def prepared(spark: SparkSession, path: str) -> DataFrame:
     fault = F.when(F.col("v").isNull(), "not JSON")
     for f in ("prompt", "response"):
         fault = fault.when(F.coalesce(kind(f), F.lit("VOID")) != "STRING", f"{f} is not text")
-    return v.select("file", "split", *(F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in ("prompt", "response")), F.to_json(F.try_variant_get("v", "$.inputs", "variant")).alias("inputs"), fault.alias("fault"))
+    return v.select("file", "split", *(F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in ("prompt", "response")), F.to_json(F.try_variant_get("v", "$.inputs", "variant")).alias("inputs"), "value", fault.alias("fault"))
+
+
+def first_fault(spark: SparkSession, path: str) -> str | None:
+    """file:line and the fault of one row of prepared JSON lines that is not as it should be, or None."""
+    bad = prepared(spark, path).where("fault is not null").select("file", "fault", "value").first()
+    if bad is None:
+        return None
+    number = F.posexplode(F.split("value", "\n")).alias("at", "line")
+    lines = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_name") == bad["file"]).select(number)
+    at = lines.where(F.col("line") == F.lit(bad["value"])).agg(F.min("at")).first()[0]  # that file alone, when it is known to be faulty
+    return f"{bad['file']}:{'?' if at is None else at + 1}: {bad['fault']}"
 
 
 def checked(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from spindle import __main__ as commands
+from spindle.plans import evaluation as evaluation_plan
 from spindle.plans import lineage, workflow
 from spindle.plans.config import check_task
 from spindle.streaming import prepare as streams
@@ -93,7 +95,7 @@ def test_evaluations(spark, tmp_path):
     t, b = scored(spark, evaluation("trained_run", "r", 8)), scored(spark, evaluation("starting_model", "r", 2))
     assert t["generation_metric"]["accuracy"] == 0.8 and t["generation_metric"]["invalid_label_outputs"] == 2
     report = workflow.compare_report(spark, t, t, [b])
-    assert "lift over base: accuracy +0.600" in report and "sadness" in report
+    assert "| r | trained_run | 0.800 | +0.600 |" in report and "| sadness | 4 |" in report
     with pytest.raises(ValueError, match="no base"):
         workflow.compare_report(spark, t, t, [])
     with pytest.raises(ValueError, match="cases"):
@@ -122,12 +124,77 @@ def test_promote(spark, tmp_path):
     lineage.write_manifest(run, TASK, {"starting_model": "m", "prepared_artifacts": {"a": 1}, "seed": 1}, data)
     more = {"prepared_artifacts": {"a": 1}, "run_manifest_schema": 2}
     t, b = scored(spark, evaluation("trained_run", str(run), 8, **more)), scored(spark, evaluation("starting_model", str(run), 2, **more))
-    assert workflow.promote(spark, TASK, str(run), t, b, str(tmp_path / "reg"))["status"] == "promoted"
+    paths = [tmp_path / "t.json", tmp_path / "b.json"]
+    for p, e in zip(paths, (t, b)):
+        p.write_text(json.dumps(e))
+    decision = workflow.promote(spark, TASK, str(run), *paths, str(tmp_path / "reg"))
+    assert decision["status"] == "promoted" and decision["evaluation_sha256"] == lineage.digest(paths[0]) and decision["base_evaluation_sha256"] == lineage.digest(paths[1])
     assert len([*(tmp_path / "reg/emotion").iterdir()]) == 1
     with pytest.raises(FileExistsError):
-        workflow.promote(spark, TASK, str(run), t, b, str(tmp_path / "reg"))
+        workflow.promote(spark, TASK, str(run), *paths, str(tmp_path / "reg"))
+    paths[0].write_text(json.dumps(t | {"prepared_artifacts": {}}))
     with pytest.raises(ValueError, match="manifest"):
-        workflow.promote(spark, TASK, str(run), t | {"prepared_artifacts": {}}, b, str(tmp_path / "reg"))
+        workflow.promote(spark, TASK, str(run), *paths, str(tmp_path / "reg"))
+
+
+def answer(rows, decoding):
+    """A model that is right in two of three cases."""
+    right = F.col("ordinal") % 3 < 2
+    return rows.withColumns({"output": F.when(right, F.col("response")).otherwise("what"), "loss": F.lit(0.5), "tokens": F.lit(2)})
+
+
+def test_from_task_file_to_promotion(spark, tmp_path):
+    task_path, run = tmp_path / "task.json", tmp_path / "run"
+    task_path.write_text(json.dumps(TASK))
+    src, out = source(tmp_path, [f"text number {i} " + "abcdefgh"[i % 8] * (i + 3) for i in range(60)]), f"file://{tmp_path}/out"
+    assert commands.main(["prepare", "--task", str(task_path), "--output", out, "--local-jsonl", src], spark) == 0
+    assert commands.main(["audit", "--data", out, "--fail-on-overlap", "--output", str(tmp_path / "audit.json")], spark) == 0 and (tmp_path / "audit.json").exists()
+    sample = evaluation_plan.training_sample(spark, TASK, out, train=7, validation=4, balanced=True)
+    assert sample["examples"] == {"train": 7, "validation": 4} and sample["label_counts"] == {"sadness": 3, "joy": 2, "love": 2} and sample["skipped"] == {"train": 0, "validation": 0}
+    (run / "final").mkdir(parents=True)
+    (run / "final/w").write_bytes(b"w")
+    task = check_task(TASK)
+    summary = {"task": "emotion", "starting_model": "m", "prepared_artifacts": sample["audit"]["artifacts"], "seed": 1}
+    (run / "task_config.json").write_text(json.dumps(task))
+    (run / "run_summary.json").write_text(json.dumps(summary))
+    lineage.write_manifest(run, task, summary, tmp_path / "out")
+    trained = evaluation_plan.evaluate(spark, str(run), out, answer, rows=9, generated=9)
+    base = evaluation_plan.evaluate(spark, str(run), out, lambda r, d: answer(r, d).withColumn("output", F.lit("joy")), rows=9, generated=9, base=True)
+    assert (trained["test_examples"], trained["skipped_for_length"], trained["response_tokens"]) == (9, 0, 18) and trained["response_loss"] == 0.5
+    assert trained["generation_metric"]["accuracy"] == pytest.approx(6 / 9) and [e["prompt"] for e in trained["examples"]] == [e["prompt"] for e in base["examples"]]
+    even = evaluation_plan.evaluate(spark, str(run), out, answer, split="validation", per_label=2)
+    assert even["validation_examples"] == 6 and (run / "balanced_2_validation_evaluation.json").exists()
+    promotion = task_path.with_name("easy.json")
+    promotion.write_text(json.dumps(TASK | {"promotion": TASK["promotion"] | {"minimum_metrics": {"accuracy": 0.5}, "maximum_invalid_label_outputs": 9, "minimum_lift": {"accuracy": 0.0}}}))
+    argv = ["promote", "--run", str(run), "--registry", str(tmp_path / "reg"), "--task"]
+    assert commands.main([*argv, str(task_path)], spark) == 2 and not (tmp_path / "reg").exists()
+    assert commands.main([*argv, str(promotion)], spark) == 0
+    (record,) = (tmp_path / "reg/emotion").iterdir()
+    assert {"run_manifest_sha256", "evaluation_sha256", "base_evaluation_sha256"} <= {*json.loads(record.read_text())}
+    part = next((tmp_path / "out/rows/split=test").glob("*.json"))
+    lines = part.read_text().splitlines()
+    part.write_text("\n".join([lines[0], json.dumps({"prompt": 5, "response": "joy"}), *lines[1:]]))
+    for crc in part.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(ValueError, match=rf"{part.name}:2: prompt is not text"):
+        workflow.read_prepared(spark, out)
+    assert commands.main(["audit", "--data", out, "--output", str(tmp_path / "no.json")], spark) == 2 and not (tmp_path / "no.json").exists()
+
+
+@pytest.mark.parametrize("bad", [{"per_label": 0}, {"per_label": 2, "rows": 4}, {"per_label": 2, "generated": 5}, {"rows": 0}, {"generated": 0}])
+def test_evaluation_arguments(bad):
+    assert evaluation_plan.evaluation_sizes(TASK) == (128, 5) and evaluation_plan.evaluation_sizes(TASK, per_label=2) == (6, 6)
+    with pytest.raises(ValueError):
+        evaluation_plan.evaluation_sizes(TASK, **bad)
+
+
+@pytest.mark.parametrize("bad", [{"train": 0}, {"validation": 0}, {"save_steps": 0}, {"max_steps": 0}, {"max_steps": -2}, {"balanced": True, "train": 2}])
+def test_training_arguments(bad):
+    assert evaluation_plan.training_limits(TASK, balanced=True, train=3) == (3, 1, LABELS)
+    with pytest.raises(ValueError):
+        evaluation_plan.training_limits(TASK, **bad)
+    with pytest.raises(ValueError, match="label_accuracy"):
+        evaluation_plan.training_limits(TASK | {"evaluation": {}}, balanced=True)
 
 
 def test_streams(spark, tmp_path):
