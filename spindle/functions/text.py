@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,18 +35,40 @@ def title(c: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 2**31 - 1)))), "")
 
 
+@F.arrow_udf(T.StringType())
+def _spelled(a: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else str(x) for x in a.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _items_spelled(a: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else [str(y) for y in x] for x in a.to_pylist()], pa.list_(pa.string()))
+
+
+def _plain(kind: T.DataType) -> bool:
+    """Whether a cast spells values of the type as Python does."""
+    return isinstance(kind, (T.StringType, T.IntegralType, T.NullType, T.DateType))
+
+
 def spelled(c: Column, kind: T.DataType) -> Column:
-    """A value as Python's str() spells it: None, True, 1.0. Doubles agree while 0.001 <= |x| < 10,000,000 or x is 0."""
+    """A value as Python's str() spells it: None, True, 1e-05, ['a']. Only types that a cast spells otherwise go through Python."""
     if isinstance(kind, T.BooleanType):
         out = F.when(c, "True").when(~c, "False")
     else:
-        out = c.cast("string")
+        out = c.cast("string") if _plain(kind) else _spelled(c)
     return F.coalesce(out, F.lit("None"))
 
 
+def items_spelled(c: Column, item: T.DataType) -> Column:
+    """A list's items, spelled."""
+    if _plain(item) or isinstance(item, T.BooleanType):
+        return F.transform(c, lambda x: spelled(x, item))
+    return _items_spelled(c)
+
+
 def joined(c: Column, item: T.DataType) -> Column:
     """A list's items, spelled and stripped, with commas between."""
-    return F.array_join(F.transform(c, lambda x: strip(spelled(x, item))), ", ")
+    return F.array_join(F.transform(items_spelled(c, item), strip), ", ")
 
 
 def words(c: Column) -> Column:
@@ -96,7 +119,7 @@ def matches(c: Column, patterns: dict[str, str]) -> dict[str, Column]:
 
 def literal_word(c: Column, word: Column) -> Column:
     """Whether the literal text of word stands in c between word boundaries, in either case."""
-    return F.regexp_like(c, F.concat(F.lit(r"(?iu)\b\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b")))
+    return F.regexp_like(c, F.concat(F.lit(r"(?U)(?iu)\b\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b")))
 
 
 def partition(c: Column, marker: str) -> tuple[Column, Column, Column]:

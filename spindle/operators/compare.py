@@ -21,11 +21,18 @@ def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def lifts(evaluations: DataFrame, *metrics: str) -> DataFrame:
-    """For each trained evaluation its metrics less those of the same run's base: rows of (run, split, model, metrics)."""
+    """For each trained evaluation its metrics less those of the same run's base: rows of (run, split, model, metrics).
+
+    Where there are columns sampling or decoding, the base must agree in them too.
+    """
     t = evaluations.where("model = 'trained_run'").alias("t")
     b = evaluations.where("model = 'starting_model'").alias("b")
-    joined = t.join(b, (F.col("t.run") == F.col("b.run")) & (F.col("t.split") == F.col("b.split")), "left")
-    return joined.select("t.run", "t.split", *(F.col(f"t.{m}").alias(m) for m in metrics), *((F.col(f"t.{m}") - F.col(f"b.{m}")).alias(f"{m}_lift") for m in metrics), F.col("b.run").isNotNull().alias("has_base"))
+    more = [c for c in ("sampling", "decoding") if c in evaluations.columns]
+    same = F.lit(True)
+    for c in ("run", "split", *more):
+        same = same & F.col(f"t.{c}").eqNullSafe(F.col(f"b.{c}"))
+    joined = t.join(b, same, "left")
+    return joined.select("t.run", "t.split", *(f"t.{c}" for c in more), *(F.col(f"t.{m}").alias(m) for m in metrics), *((F.col(f"t.{m}") - F.col(f"b.{m}")).alias(f"{m}_lift") for m in metrics), F.col("b.run").isNotNull().alias("has_base"))
 
 
 def changes(a: DataFrame, b: DataFrame) -> DataFrame:

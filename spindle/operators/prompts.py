@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,12 +65,31 @@ def white_space_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), 0)
 
 
-def encoded(df: DataFrame, max_length: int, tokenize=white_space_tokens, end: str = "</s>") -> DataFrame:
-    """Rows of (prompt, response) that fit, with input_ids, attention_mask and labels that hide the prompt."""
+def library_tokens(path: str):
+    """A tokenizer of integer ids from a tokenizers file, in place of white_space_tokens; its bounded contents travel with the query."""
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    made: dict[str, object] = {}
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(a: pa.Array) -> pa.Array:
+        from tokenizers import Tokenizer
+
+        if "t" not in made:
+            made["t"] = Tokenizer.from_str(spec)
+        found = [made["t"].encode(x or "", add_special_tokens=False).ids for x in a.to_pylist()]
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return ids
+
+
+def encoded(df: DataFrame, max_length: int, tokenize=white_space_tokens, end="</s>") -> DataFrame:
+    """Rows of (prompt, response) that fit, with input_ids, attention_mask and labels that hide the prompt. Labels have the ids' type."""
     p, r = tokenize(F.col("prompt")), F.concat(tokenize(F.col("response")), F.array(F.lit(end)))
     rows = df.withColumn("_p", p).withColumn("_r", r).where(F.size("_p") + F.size("_r") <= max_length)
+    hidden = F.lit(IGNORED).cast(rows.schema["_p"].dataType.elementType)
     ids = F.concat("_p", "_r")
-    return rows.withColumns({"input_ids": ids, "attention_mask": F.transform(ids, lambda _: F.lit(1)), "labels": F.concat(F.transform("_p", lambda _: F.lit(str(IGNORED))), F.col("_r"))}).drop("_p", "_r")
+    return rows.withColumns({"input_ids": ids, "attention_mask": F.transform(ids, lambda _: F.lit(1)), "labels": F.concat(F.transform("_p", lambda _: hidden), F.col("_r"))}).drop("_p", "_r")
 
 
 def padded(df: DataFrame, column: str, width: int, fill) -> DataFrame:

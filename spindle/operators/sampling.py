@@ -101,7 +101,7 @@ def group_key(df: DataFrame, field: str) -> Column:
     """Lists are compared as sorted lower-case stripped items, other values as such text; as one string."""
     kind = df.schema[field].dataType
     if isinstance(kind, T.ArrayType):
-        return F.array_join(F.array_sort(F.transform(field, lambda x: F.lower(text.strip(text.spelled(x, kind.elementType))))), "\x1f")
+        return F.array_join(F.array_sort(F.transform(text.items_spelled(F.col(field), kind.elementType), lambda x: F.lower(text.strip(x)))), "\x1f")
     return F.lower(text.strip(text.spelled(F.col(field), kind)))
 
 
@@ -144,9 +144,9 @@ def without_leaks(train: DataFrame, test: DataFrame, field: str) -> DataFrame:
 
 def coverage(df: DataFrame, first: str, second: str, count: int, seed: int, *key: str) -> DataFrame:
     """For the i-th value of first the first seeded row with the (i mod C)-th value of second; ValueError if there is none."""
-    a = sorted(r[0] for r in df.select(first).distinct().collect())[:count]
-    b = sorted(r[0] for r in df.select(second).distinct().collect())
-    wanted = [(i, x, b[i % len(b)]) for i, x in enumerate(a)]
+    values = lambda c: [r[0] for r in df.select(c).distinct().where(F.col(c).isNotNull()).orderBy(c).limit(count).collect()]
+    a, b, n = values(first), values(second), df.select(second).distinct().where(F.col(second).isNotNull()).count()
+    wanted = [(i, x, b[i % n]) for i, x in enumerate(a)]  # i % n < count
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     pairs = df.sparkSession.createDataFrame(wanted, f"ordinal int, {first} {kinds[first]}, {second} {kinds[second]}")
     nth = F.row_number().over(Window.partitionBy("ordinal").orderBy(order_key(seed, *key)))
