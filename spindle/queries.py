@@ -509,9 +509,62 @@ def newest_checkpoint(spark, sf_dir):
     return paths.groupBy("o_custkey").agg(F.max_by("path", step).alias("newest"))
 
 
-@query()
+@query("SELECT sha256(string_agg(n_name || chr(10) || CASE WHEN n_nationkey % 4 = 0 THEN chr(10) ELSE '' END, '' ORDER BY n_nationkey)) AS sha256, count(*)::BIGINT AS rows FROM nation")
 def file_snapshot(spark, sf_dir):
-    return integrity.file_snapshot(spark, f"{sf_dir}/nation.parquet").select("sha256", "rows")
+    """A text file of all nations, with blank lines between some, hashed and counted."""
+    path = tables.scratch(spark)
+    line = F.concat("n_name", F.when(F.col("n_nationkey") % 4 == 0, "\n").otherwise(""))
+    table(spark, sf_dir, "nation").repartition(1).sortWithinPartitions("n_nationkey").select(line.alias("value")).write.text(path)
+    return integrity.file_snapshot(spark, path).where(F.col("file").endswith(".txt")).select("sha256", "rows")
+
+
+@query("SELECT p_partkey, '[' || lower(p_name || ' ' || p_brand) || ']' AS prompt FROM part")
+def lower_prompt(spark, sf_dir):
+    task = TASK | {"prompt_template": "[{both}]", "input_fields": ["both"], "field_transforms": {"both": "lower"}}
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" \t"), "p_name", F.lit(" "), "p_brand", F.lit("\n")).alias("both"))
+    return part.select("p_partkey", prompts.prompt(part, task).alias("prompt"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'True' ELSE 'False' END || ' ' || (o_orderkey % 100) || '.5 [' || o_orderkey || ', None]' AS prompt FROM orders")
+def spelled_values(spark, sf_dir):
+    """Nulls, truth values, floats and lists in a prompt, as Python spells them."""
+    task = TASK | {"prompt_template": "{flag} {number} {items}", "input_fields": ["flag", "number", "items"], "field_transforms": {}}
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 > 0, k % 3 == 1).alias("flag"), (k % 100 + F.lit(0.5)).cast("double").alias("number"), F.array(k, F.lit(None).cast("long")).alias("items"))
+    return o.select("o_orderkey", prompts.prompt(o, task).alias("prompt"))
+
+
+_DIGITS = "lpad(o_orderkey::VARCHAR, 16, '0')"
+_PLANTED = f"""x AS (SELECT o_orderpriority AS split, 'see ' || CASE o_orderkey % 8 WHEN 0 THEN 'key hf_' || {_DIGITS} || {_DIGITS} WHEN 1 THEN 'ghp_' || {_DIGITS} || {_DIGITS} WHEN 2 THEN 'AKIA' || {_DIGITS}
+  WHEN 3 THEN '-----BEGIN RSA PRIVATE KEY----- ' || {_DIGITS} WHEN 4 THEN 'Access-Token = "' || {_DIGITS} || {_DIGITS} || '"' WHEN 5 THEN 'hf_' || {_DIGITS} WHEN 6 THEN 'secret: ' || {_DIGITS} ELSE '' END || ' end' AS text FROM orders)"""
+
+
+@query(f"WITH {_PLANTED} SELECT split, type, rows FROM ({_SENSITIVE})")
+def planted_secrets(spark, sf_dir):
+    """Texts that hold a secret of one kind, or something that only looks like one."""
+    k, said = F.col("o_orderkey"), F.lit("")
+    digits = F.lpad(k.cast("string"), 16, "0")
+    kinds = [("key hf_", digits, digits), ("ghp_", digits, digits), ("AKIA", digits), ("-----BEGIN RSA PRIVATE KEY----- ", digits), ('Access-Token = "', digits, digits, '"'), ("hf_", digits), ("secret: ", digits)]
+    for i, parts in enumerate(kinds):
+        said = F.when(k % 8 == i, F.concat(*(F.lit(p) for p in parts))).otherwise(said)
+    texts = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("split"), F.concat(F.lit("see "), said, F.lit(" end")).alias("text"))
+    return quality.sensitive_counts(texts, F.col("text"))
+
+
+@query("WITH f AS (SELECT CASE WHEN turn % 3 = 1 THEN 'prompt is not text' WHEN turn % 3 = 2 THEN 'response is not text' END AS fault FROM conversations) SELECT fault, count(*) AS rows FROM f GROUP BY fault")
+def prepared_faults(spark, sf_dir):
+    """Prepared JSON lines whose prompt is a number or whose response is missing."""
+    c, path = table(spark, sf_dir, "conversations"), tables.scratch(spark)
+    row = lambda **kw: F.to_json(F.struct(*(F.col(v).alias(k) for k, v in kw.items())))
+    body = F.when(F.col("turn") % 3 == 1, row(prompt="conv_id", response="text")).when(F.col("turn") % 3 == 2, row(prompt="text")).otherwise(row(prompt="text", response="role"))
+    c.select(body.alias("value")).write.text(path)
+    return tables.prepared(spark, path).groupBy("fault").agg(F.count("*").alias("rows"))
+
+
+@query(f"WITH {_EVALUATIONS}, d AS (SELECT e.*, s.sampling FROM e, (VALUES ('random'), ('balanced')) s(sampling)) SELECT t.run, 'test' AS split, t.sampling, t.accuracy, round(t.accuracy - b.accuracy, 6) AS accuracy_lift, b.run IS NOT NULL AS has_base FROM d t LEFT JOIN d b ON t.run = b.run AND t.sampling = b.sampling AND b.model = 'starting_model' WHERE t.model = 'trained_run'")
+def lifts_by_sampling(spark, sf_dir):
+    e = evaluations(spark, sf_dir).withColumn("sampling", F.explode(F.array(F.lit("random"), F.lit("balanced"))))
+    return compare.lifts(e, "accuracy").withColumn("accuracy_lift", F.round("accuracy_lift", 6))
 
 
 @query(f"SELECT doc_id FROM documents ORDER BY {_KEY} LIMIT 50 OFFSET 120")

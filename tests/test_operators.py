@@ -108,8 +108,8 @@ def test_quality_reports_and_policy(spark):
     with pytest.raises(ValueError):
         gates.overlap_gate({"a": 1}, strict=True)
     assert gates.overlap_gate({"a": 0}, strict=True) is None
-    with pytest.raises(ValueError):
-        gates.overlength_gate({"data_quality": {"max_overlength_fraction": 0.1}}, {"train": 0.2})
+    lengths = spark.createDataFrame([("train", 0.2), ("test", 0.1)], "split string, fraction_over double")
+    assert {r.split: r.status for r in gates.length_verdicts(lengths, 0.1).collect()} == {"train": "rejected", "test": "passed"}
 
 
 def test_kth_key_and_fit(spark):
@@ -241,3 +241,25 @@ def test_cues(spark):
     df = frame(spark, "sign string, category string, date string, response string", ("Leo", "Love", "2024/01/02", "leo and Virgo: romance on 2024-01-02"), ("Aries", "Travel", "2024/01/02", "clovers"))
     got = analysis.cue_audit(df, F.col("response")).collect()
     assert [(r.requested_sign_mentioned, r.other_signs_mentioned, r.category_cue, r.exact_date_mentioned) for r in got] == [(True, ["Virgo"], True, True), (False, [], None, False)]
+
+
+def test_null_prompts_stay(spark):
+    df = spark.createDataFrame([(None, "train"), (None, "train"), ("a", "train"), ("a", "test"), (None, "validation")], "prompt string, split string")
+    got = sorted((str(r.prompt), r.split) for r in integrity.keep_highest_split(df).collect())
+    assert got == [("None", "validation"), ("a", "test")]
+
+
+def test_values_are_spelled_as_python_spells_them(spark):
+    from spindle.functions import text
+
+    values = [1e-05, 1e16, 0.1, -0.0, 1.5e300, float("nan"), float("inf"), 100.0, None]
+    df = spark.createDataFrame([(v, [v, 1.0], [["a", None]]) for v in values], "x double, xs array<double>, nested array<array<string>>")
+    got = df.select(*(text.spelled(F.col(c), df.schema[c].dataType).alias(c) for c in df.columns), text.joined(F.col("xs"), df.schema["xs"].dataType.elementType).alias("j")).collect()
+    assert [tuple(r) for r in got] == [(str(v), str([v, 1.0]), "[['a', None]]", f"{v}, 1.0") for v in values]
+
+
+def test_labels_have_the_type_of_ids(spark):
+    df = spark.createDataFrame([("a b", "c")], "prompt string, response string")
+    ids = lambda c: F.transform(prompts.white_space_tokens(c), lambda x: F.ascii(x))
+    r = prompts.encoded(df, 9, ids, 0).first()
+    assert (r.input_ids, r.labels) == ([97, 98, 99, 0], [-100, -100, 99, 0])
