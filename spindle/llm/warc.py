@@ -51,15 +51,17 @@ ESCAPED = "%" + "".join(map(chr, range(0x21))) + "\x7f"
 
 
 def encoded_url(url: Column) -> Column:
+    out = url
     for c in ESCAPED:
-        url = F.replace(url, F.lit(c), F.lit(f"%{ord(c):02X}"))
-    return url
+        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.when(F.regexp_like(url, F.lit(r"[%\x00-\x20\x7F]")), out).otherwise(url)
 
 
 def decoded_url(url: Column) -> Column:
+    out = url
     for c in reversed(ESCAPED):
-        url = F.replace(url, F.lit(f"%{ord(c):02X}"), F.lit(c))
-    return url
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.when(F.contains(url, F.lit("%")), out).otherwise(url)
 
 
 def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
