@@ -58,5 +58,6 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     exact = lookup_join(passed.select("host", "path", "key"), listed, "key")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.length(F.substring_index("key", "/", 1)).alias("h"), "key", "listed_verdict")).alias("best"))
     best = materialize(best.select("host", "path", F.col("best.key").alias("rule"), "best.listed_verdict"))
-    judged = lookup_join(urls, best, "host", "path", how="left")  # one host and path may be that of most pages
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("listed_verdict", F.lit(default)).alias("verdict"))
+    # One host and path may be that of many pages: the join stands alone on that side, so that a hot key can be split. Pages without a host need none.
+    known = urls.where("host <> ''").join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("listed_verdict", F.lit(default)).alias("verdict"))
+    return known.unionByName(urls.where("host = ''").select("page_id", "host", "path", none.alias("rule"), F.lit(default).alias("verdict")))
