@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_of, bloom_blocks, bloom_table, lookup_join, lower_ascii, materialize, may_hold, only
+from .common import block_of, bloom_blocks, bloom_table, lookup_join, lower_ascii, may_hold, only
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -57,7 +57,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     passed = probes.join(F.broadcast(bloom_table(listed, "key", blocks, "block")), "block").where(may_hold(F.col("key"), "block"))  # 8 MB at most
     exact = lookup_join(passed.select("host", "path", "key"), listed, "key")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.length(F.substring_index("key", "/", 1)).alias("h"), "key", "listed_verdict")).alias("best"))
-    best = materialize(best.select("host", "path", F.col("best.key").alias("rule"), "best.listed_verdict"))
-    # One host and path may be that of many pages: the join stands alone on that side, so that a hot key can be split. Pages without a host need none.
+    best = best.select("host", "path", F.col("best.key").alias("rule"), "best.listed_verdict")
+    # One host and path may be that of many pages: adaptive execution splits such a key. Pages without a host need none.
     known = urls.where("host <> ''").join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("listed_verdict", F.lit(default)).alias("verdict"))
     return known.unionByName(urls.where("host = ''").select("page_id", "host", "path", none.alias("rule"), F.lit(default).alias("verdict")))
