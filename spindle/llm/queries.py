@@ -74,7 +74,38 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _DRAW = "(('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
+
+def _matches(k: int, rule: secrets.Rule) -> str:
+    """For each text the gaps before, the whole and the measured part of every match; the engine has no case folding of ASCII alone, so both cases are spelt."""
+    pattern = rule.pattern
+    if rule.fold:
+        names, rest = pattern[1:].split(")", 1)
+        pattern = "(" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in names) + ")" + rest
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"SELECT r, {k} AS k, '{rule.kind}' AS kind, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS found, regexp_extract_all(t, {p}, {rule.group}) AS measured, {rule.least} AS least FROM d"
+
+
 ORACLES = {
+    "op2_secret_scans": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_matches(k, rule) for k, rule in enumerate(secrets.RULES))}),
+u AS (SELECT *, unnest(range(1, len(found) + 1))::INT AS i FROM m),
+s AS (SELECT r, k, kind, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(found[i]) AS n FROM u WHERE length(measured[i]) >= least),
+j AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+      string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER (k < {len(secrets.BASE)}) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (r)""",
+    "op9_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) > 0),
+h AS (SELECT *, md5(array_to_string(s, chr(10))) AS h FROM g),
+n AS (SELECT h, any_value(s) AS s, len(any_value(s)) AS size, count(*) AS copies, min(doc_id) AS least FROM h GROUP BY h),
+i AS (SELECT h, size, unnest(s) AS shingle FROM n),
+p AS (SELECT a.h AS a, b.h AS b FROM i a JOIN i b ON a.shingle = b.shingle AND a.h <> b.h GROUP BY ALL HAVING count(*) >= 0.8 * (any_value(a.size) + any_value(b.size) - count(*)) - 1e-9),
+reach AS (SELECT h AS a, h AS b FROM n UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+c AS (SELECT reach.a AS h, min(n.least) AS class_id FROM reach JOIN n ON reach.b = n.h GROUP BY reach.a),
+l AS (SELECT a AS h, count(*) AS links FROM p GROUP BY a)
+SELECT doc_id, class_id, coalesce(links, 0)::BIGINT AS n_links, copies::BIGINT AS n_copies FROM h JOIN n USING (h) JOIN c USING (h) LEFT JOIN l USING (h)
+UNION ALL SELECT doc_id, doc_id, 0, 1 FROM w WHERE len(w) = 0""",
     "op4_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 h AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS d FROM p),
