@@ -15,26 +15,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..sources.tables import scratch
 
 #: Hexadecimal digits by which candidates are narrowed, and rows that are few enough to order.
 DIGITS, FEW = 3, 10_000
 
 
-def kth_key(df: DataFrame, key: Column, k: int) -> str | None:
-    """The k-th smallest key (md5 digits, then anything), or None where there are fewer rows."""
-    rows, prefix, left = df.select(key.alias("_k")), "", k
+def prefix_counts(rows: DataFrame, key: Column, prefix: str = "") -> list[tuple[str, int]]:
+    """Sorted (next digits, rows) of the keys that start with prefix: 16 ** DIGITS entries at most."""
+    inside = rows.where(key.startswith(prefix)) if prefix else rows
+    return sorted((r["p"], r["count"]) for r in inside.groupBy(F.substring(key, len(prefix) + 1, DIGITS).alias("p")).count().collect())
+
+
+def kth_key(df: DataFrame, key: Column, k: int, counts: list[tuple[str, int]] | None = None) -> str | None:
+    """The k-th smallest key (md5 digits, then anything), or None where there are fewer rows; counts are those of the first digits, if known."""
+    rows, own, prefix, left = df.select(key.alias("_k")), F.col("_k"), "", k
     while True:
-        at = F.substring("_k", len(prefix) + 1, DIGITS)
-        inside = rows.where(F.col("_k").startswith(prefix)) if prefix else rows
-        for r in sorted(inside.groupBy(at.alias("p")).count().collect()):  # 16 ** DIGITS rows at most
-            if left <= r["count"]:
+        for p, n in prefix_counts(rows, own, prefix) if counts is None else counts:
+            if left <= n:
                 break
-            left -= r["count"]
+            left -= n
         else:
             return None
-        prefix += r["p"]
-        if r["count"] <= FEW or len(prefix) + DIGITS > 32:
-            return rows.where(F.col("_k").startswith(prefix)).orderBy("_k").limit(left).agg(F.max("_k")).first()[0]
+        prefix, counts = prefix + p, None
+        if n <= FEW or len(prefix) + DIGITS > 32:
+            return rows.where(own.startswith(prefix)).orderBy("_k").limit(left).agg(F.max("_k")).first()[0]
 
 
 def order_key(seed: int, *key: str) -> Column:
@@ -55,10 +60,15 @@ def slice_k(df: DataFrame, offset: int, k: int, seed: int, *key: str) -> DataFra
     return rows.limit(0) if start is None else rows.where(order_key(seed, *key) > start)
 
 
+def until_k_fit(df: DataFrame, fits: Column, k: int, seed: int, *key: str) -> DataFrame:
+    """The rows of the seeded order up to the k-th that fits, as one filter."""
+    limit = kth_key(df.where(fits), order_key(seed, *key), k)
+    return df if limit is None else df.where(order_key(seed, *key) <= limit)
+
+
 def first_k_that_fit(df: DataFrame, fits: Column, k: int, seed: int, *key: str) -> tuple[DataFrame, DataFrame]:
     """(the first k fitting rows, those that were passed over before the k-th was found)."""
-    limit = kth_key(df.where(fits), order_key(seed, *key), k)
-    seen = df if limit is None else df.where(order_key(seed, *key) <= limit)
+    seen = until_k_fit(df, fits, k, seed, *key)
     return seen.where(fits), seen.where(~fits)
 
 
@@ -87,13 +97,11 @@ def balanced(df: DataFrame, quota: dict[str, int], seed: int, *key: str, fits: C
 
 
 def percent_split(df: DataFrame, fraction: float, seed: int, *key: str) -> DataFrame:
-    """df with split: ceil(n * fraction) rows are held out, the first half of them (rounded up) as test."""
-    import math
-
-    n = df.count()
-    held = math.ceil(n * fraction)
+    """df with split: ceil(n * fraction) rows are held out, the first half of them (rounded up) as test. One pass counts the rows for both bounds."""
     k = order_key(seed, *key)
-    test, rest = (kth_key(df, k, x) if x else "" for x in (math.ceil(held / 2), held))
+    counts = prefix_counts(df, k)
+    held = math.ceil(sum(n for _, n in counts) * fraction)
+    test, rest = (kth_key(df, k, x, counts) if x else "" for x in (math.ceil(held / 2), held))
     return df.withColumn("split", F.when(k <= F.lit(test), "test").when(k <= F.lit(rest), "validation").otherwise("train"))
 
 
@@ -112,28 +120,43 @@ def held_count(groups: int, fraction: float) -> int:
 
 def hold_rows(df: DataFrame, fraction: float, seed: int, *key: str) -> DataFrame:
     """df with _held: ceil(n * fraction) rows are."""
-    limit = kth_key(df, order_key(seed, *key), math.ceil(df.count() * fraction))
-    return df.withColumn("_held", order_key(seed, *key) <= F.lit(limit))
+    k = order_key(seed, *key)
+    counts = prefix_counts(df, k)
+    limit = kth_key(df, k, math.ceil(sum(n for _, n in counts) * fraction), counts)
+    return df.withColumn("_held", k <= F.lit(limit))
 
 
-def hold_groups(df: DataFrame, field: str, count: Callable[[int], int], seed: int) -> DataFrame:
-    """df with _held: true for all rows of count(number of groups) groups."""
+def _groups(df: DataFrame, field: str) -> DataFrame:
+    """(_group) of all groups, at least two, written as a table so that df is read once for them."""
     if field not in df.columns:
         raise ValueError(f"no group column {field}")
-    keyed = df.withColumn("_group", group_key(df, field))
-    groups = keyed.select("_group").distinct()
-    n = groups.count()
+    path = scratch(df.sparkSession)
+    df.select(group_key(df, field).alias("_group")).distinct().write.parquet(path)
+    return df.sparkSession.read.schema("_group string").parquet(path)
+
+
+def _bound(groups: DataFrame, field: str, count: Callable[[int], int], seed: int) -> Column:
+    """Whether a row's _group is among the first count(number of groups) ones: a comparison with a bound, so rows need no join."""
+    k = order_key(seed, "_group")
+    counts = prefix_counts(groups, k)
+    n = sum(c for _, c in counts)
     if n < 2:
         raise ValueError(f"{field} has fewer than two groups")
-    held = first_k(groups, count(n), seed, "_group").withColumn("_held", F.lit(True))
-    return keyed.join(held, "_group", "left").withColumn("_held", F.coalesce("_held", F.lit(False))).drop("_group")
+    return k <= F.lit(kth_key(groups, k, count(n), counts))
+
+
+def hold_groups(df: DataFrame, field: str, count: Callable[[int], int], seed: int) -> DataFrame:
+    """df with _held: true for all rows of count(number of groups) groups."""
+    held = _bound(_groups(df, field), field, count, seed)
+    return df.withColumn("_group", group_key(df, field)).withColumn("_held", held).drop("_group")
 
 
 def group_split(df: DataFrame, field: str, fraction: float, seed: int) -> DataFrame:
     """df with split; groups stay whole. Half of the held-out groups (rounded down, one at least) are test."""
-    one = hold_groups(df, field, lambda n: held_count(n, fraction), seed)
-    two = hold_groups(one.where("_held").drop("_held"), field, lambda n: max(1, n // 2), seed + 1)
-    return one.where("not _held").drop("_held").withColumn("split", F.lit("train")).unionByName(two.withColumn("split", F.when(F.col("_held"), "test").otherwise("validation")).drop("_held"))
+    groups = _groups(df, field)
+    held = _bound(groups, field, lambda n: held_count(n, fraction), seed)
+    test = _bound(groups.where(held), field, lambda n: max(1, n // 2), seed + 1)
+    return df.withColumn("_group", group_key(df, field)).withColumn("split", F.when(~held, "train").when(test, "test").otherwise("validation")).drop("_group")
 
 
 def without_leaks(train: DataFrame, test: DataFrame, field: str) -> DataFrame:

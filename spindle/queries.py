@@ -287,10 +287,14 @@ def simhash_fingerprints(spark, sf_dir):
     return quality.with_simhash(docs, "value").select("doc_id", "simhash")
 
 
-@query("SELECT COALESCE(a.turn, b.turn) AS ordinal, a.text AS first_prompt, b.text AS second_prompt FROM (SELECT * FROM conversations WHERE conv_id = 1) a FULL JOIN (SELECT * FROM conversations WHERE conv_id = 2) b ON a.turn = b.turn WHERE a.text IS DISTINCT FROM b.text OR a.role IS DISTINCT FROM b.role OR a.turn IS NULL OR b.turn IS NULL")
+@query("""WITH c AS (SELECT conv_id % 2 AS side, conv_id // 2 * 100000 + turn AS ordinal, text, role FROM conversations)
+SELECT COALESCE(a.ordinal, b.ordinal) AS ordinal, a.text AS first_prompt, b.text AS second_prompt FROM (SELECT * FROM c WHERE side = 0) a FULL JOIN (SELECT * FROM c WHERE side = 1) b ON a.ordinal = b.ordinal
+WHERE a.text IS DISTINCT FROM b.text OR a.role IS DISTINCT FROM b.role OR a.ordinal IS NULL OR b.ordinal IS NULL""")
 def differing_cases(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.col("text").alias("prompt"), F.col("role").alias("reference"))
-    return compare.differing_cases(c.where("conv_id = 1"), c.where("conv_id = 2"))
+    """All conversations as the cases of two lists: each with an even id against the one that follows."""
+    cases = [F.floor(F.col("conv_id") / 2) * 100000 + F.col("turn"), F.col("text").alias("prompt"), F.col("role").alias("reference")]
+    c = table(spark, sf_dir, "conversations").select(F.pmod("conv_id", F.lit(2)).alias("side"), cases[0].alias("ordinal"), *cases[1:])
+    return compare.differing_cases(c.where("side = 0"), c.where("side = 1"))
 
 
 _CONFUSION = f"""{_SCORED}, c AS (SELECT label, count(*) FILTER (p = label AND reference = label) AS tp, count(*) FILTER (p = label AND reference <> label) AS fp, count(*) FILTER (p <> label AND reference = label) AS fn
@@ -339,9 +343,9 @@ def baseline_lifts(spark, sf_dir):
     return c.withColumns({x: F.round(x, 6) for x in ("accuracy_lift", "macro_f1_lift")})
 
 
-@query(f"WITH {_EVALUATIONS} SELECT run, model, accuracy, n_name AS method FROM e LEFT JOIN nation ON run = n_nationkey AND run < 6")
+@query(f"WITH {_EVALUATIONS} SELECT run, model, accuracy, n_name AS method FROM e LEFT JOIN nation ON run = 2 * n_nationkey")
 def run_settings(spark, sf_dir):
-    runs = table(spark, sf_dir, "nation").where("n_nationkey < 6").select(F.col("n_nationkey").cast("long").alias("run"), F.col("n_name").alias("method"))
+    runs = table(spark, sf_dir, "nation").select((2 * F.col("n_nationkey")).cast("long").alias("run"), F.col("n_name").alias("method"))
     return compare.with_settings(evaluations(spark, sf_dir), runs).select("run", "model", "accuracy", "method")
 
 
@@ -380,7 +384,10 @@ def concept_coverage(spark, sf_dir):
     return c.select("examples", *(F.round(x, 9).alias(x) for x in c.columns[1:]))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, w AS (SELECT conv_id, turn, {_WORDS.format('reference')} AS a, {_WORDS.format('output')} AS b FROM pairs),
+t AS (SELECT conv_id, turn, a, b, 0 AS i, list_transform(a, lambda x: 0) AS best FROM w
+  UNION ALL SELECT conv_id, turn, a, b, i + 1, list_transform(range(1, len(a) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda x: CASE WHEN a[x] = b[i + 1] THEN 1 + CASE WHEN x > 1 THEN best[x - 1] ELSE 0 END ELSE best[x] END))) FROM t WHERE i < len(b))
+SELECT conv_id, turn, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE round(2.0::DOUBLE * best[len(a)] / (len(a) + len(b)), 9) END AS rouge_l FROM t WHERE i = len(b)""")
 def rouge_l_scores(spark, sf_dir):
     return metrics.rouge_l(turn_pairs(spark, sf_dir)).select("conv_id", "turn", F.round("rouge_l", 9).alias("rouge_l"))
 
@@ -415,8 +422,7 @@ _FIT = f"f AS (SELECT doc_id, {_KEY} AS k, {_TOKENS.format('text')} <= 200 AS fi
 @query(f"WITH {_FIT} SELECT f.doc_id, f.fits FROM f, lim WHERE f.k <= lim.k")
 def first_that_fit(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.size(prompts.white_space_tokens(F.col("text"))) <= 200).alias("fits"))
-    taken, passed = sampling.first_k_that_fit(docs, F.col("fits"), 150, SEED, "doc_id")
-    return taken.unionByName(passed)
+    return sampling.until_k_fit(docs, F.col("fits"), 150, SEED, "doc_id")
 
 
 @query(f"WITH {_PREPARED}, r AS (SELECT doc_id, response AS label, row_number() OVER (PARTITION BY response ORDER BY {_KEY})::INT AS nth FROM p) SELECT * FROM r WHERE nth <= CASE label WHEN 'poor' THEN 18 ELSE 17 END")
