@@ -29,11 +29,11 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,29 +42,79 @@ from .langid import held_out
 
 FREQUENT, CLASSES, MIX, ALPHA, ADD = 2e-5, 64, 0.6, 0.1, 0.1
 CONVERGED, MOST_PARTS = 1e-4, 16
-#: Bytes of text in a block, and distinct words or bigrams that a task holds before it sends their sums.
-BLOCK_BYTES, HELD = 16_000_000, 400_000
+#: Bytes of text in a block, bytes that are split into words at once, and distinct words or bigrams that a task holds before it sends their sums.
+BLOCK_BYTES, PIECE_BYTES, HELD = 16_000_000, 16_000_000, 400_000
+#: The largest count of a packed entry.
+MOST = (1 << 24) - 1
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+def pieces(batches: Iterable[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.Array]:
+    """The column text of batches, nulls as empty texts, in arrays of most bytes at most; a longer text stands alone."""
+    held: list[pa.Array] = []
+    size = 0
+    for batch in batches:
+        texts = pc.fill_null(batch.column("text"), "")
+        ends = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 8)]
+        first = 0
+        while first < len(texts):
+            upto = int(np.searchsorted(ends, ends[first] + most - size, "right")) - 1
+            if upto == first and held:
+                yield pa.concat_arrays(held)
+                held, size = [], 0
+                continue
+            upto = max(upto, first + 1)
+            held.append(texts.slice(first, upto - first))
+            size += int(ends[upto] - ends[first])
+            first = upto
+    if held:
+        yield pa.concat_arrays(held)
 
-    def sums() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-        held.clear()
-        return out
 
-    for batch in batches:
-        for text in batch.column("text"):
-            held.update(words_of(text.as_py()))
-            if len(held) > HELD:
-                yield sums()
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, as words_of gives them, in one array, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten().cast(pa.binary())
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an end gives an empty word
+    upto = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))][lists.offsets.to_numpy()]
+    return words.filter(full), np.diff(upto)
+
+
+def with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """The words of texts of these sizes, each text followed by the end token."""
+    out = np.full(len(ids) + len(sizes), end, np.int64)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    return out
+
+
+def numbers(words: pa.Array, known: pa.Array, other: int) -> np.ndarray:
+    """The place of each word among those known, or other."""
+    return pc.fill_null(pc.index_in(words, value_set=known), other).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.Table] = []
+    size = 0
+    for texts in pieces(batches):
+        found = split_words(texts)[0].value_counts()
+        held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+        size += len(found)
+        if size > 2 * HELD:
+            held = [_summed(held)]
+            size = held[0].num_rows
+            if size > HELD:
+                yield from held.pop().to_batches()
+                size = 0
     if held:
-        yield sums()
+        yield from _summed(held).to_batches()
+
+
+def _summed(counts: list[pa.Table]) -> pa.Table:
+    total = pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return pa.table({"word": total.column("word"), "n": total.column("n_sum")})
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -74,20 +124,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def _count_pairs(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(held.value)}
-        rare, end = len(number), len(number) + 1
+        frequent = pa.array(held.value, pa.binary())
+        rare, end = len(frequent), len(frequent) + 1
         base = end + 1
-        get = number.get
-        seen: list[int] = []
         sums, total = [], 0
 
-        def packed() -> None:
-            nonlocal seen, total
-            keys, n = np.unique(np.array(seen, np.int64)[:-1] * base + np.array(seen, np.int64)[1:], return_counts=True)
-            sums.append((keys, n))
-            total += len(keys)
-            seen = seen[-1:]
-
         def out() -> pa.RecordBatch:
             nonlocal total
             keys, back = np.unique(np.concatenate([k for k, _ in sums]), return_inverse=True)
@@ -96,17 +137,13 @@ def _count_pairs(held):
             total = 0
             return pa.RecordBatch.from_arrays([pa.array(keys // base), pa.array(keys % base), pa.array(n)], ["a", "b", "n"])
 
-        for batch in batches:
-            for text in batch.column("text"):
-                seen = seen or [end]
-                seen += [get(w, rare) for w in words_of(text.as_py())]
-                seen.append(end)
-                if len(seen) > HELD:
-                    packed()
-                    if total > 4 * HELD:
-                        yield out()
-        if len(seen) > 1:
-            packed()
+        for texts in pieces(batches):
+            words, sizes = split_words(texts)
+            seen = with_ends(numbers(words, frequent, rare), sizes, end)
+            sums.append(np.unique(np.r_[end, seen[:-1]] * base + seen, return_counts=True))
+            total += len(sums[-1][0])
+            if total > 4 * HELD:
+                yield out()
         if sums:
             yield out()
 
@@ -214,49 +251,42 @@ def exchange(bigrams: DataFrame, words: int, classes: int = CLASSES) -> tuple[np
     return best[1], best[2]
 
 
-class Numbers(dict):
-    """word -> number, the next one for a word that is new."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _rare_contexts(held):
     """(word, entries) of the words that are not frequent: packed counts of the classes before (code class) and after them (code width + class), 24 bits of count each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, of, width = held.value
-        own = len(frequent)
-        first = {w: i for i, w in enumerate(frequent)}
-        kinds = np.r_[of[:own], width - 2, width - 1]  # then a rare word's, then the end token's
-
-        def out(number: dict[bytes, int], ids: list[int]) -> pa.RecordBatch:
-            at = np.array(ids)
-            kind = kinds[np.where(at < 0, own + 1, np.minimum(at, own))]
-            rare = np.flatnonzero(at >= own)
-            key = np.concatenate([(at[rare] << 8) | kind[rare - 1], (at[rare] << 8) | (kind[rare + 1] + width)])
-            keys, n = np.unique(key, return_counts=True)
-            entries = ((keys & 255) << 24 | n).astype(np.uint32)
-            cuts = np.r_[0, np.cumsum(np.bincount((keys >> 8) - own, minlength=len(number) - own))] * 4
-            blob = pa.Array.from_buffers(pa.binary(), len(number) - own, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(entries)])
-            return pa.RecordBatch.from_arrays([pa.array(list(number)[own:], pa.binary()), blob], ["word", "entries"])
-
-        number, ids = Numbers(first), [-1]
-        for batch in batches:
-            for text in batch.column("text"):
-                ids += map(number.__getitem__, words_of(text.as_py()))
-                ids.append(-1)
-                if len(number) > own + HELD or len(ids) > 1 << 23:
-                    if len(number) > own:
-                        yield out(number, ids)
-                    number, ids = Numbers(first), [-1]
-        if len(number) > own:
-            yield out(number, ids)
+        frequent = pa.array(frequent, pa.binary())
+        kinds = np.r_[of, width - 2]  # then a rare word's
+        for texts in pieces(batches):
+            words, sizes = split_words(texts)
+            coded = words.dictionary_encode()
+            kind_of = kinds[numbers(coded.dictionary, frequent, len(frequent))]
+            rare_words = np.flatnonzero(kind_of == width - 2)
+            if not len(rare_words):
+                continue
+            number = np.full(len(kind_of) + 1, -1)  # of rare words; the last is the end token's
+            number[rare_words] = np.arange(len(rare_words))
+            at = with_ends(coded.indices.to_numpy(), sizes, len(kind_of))
+            kind = np.r_[width - 1, np.r_[kind_of, width - 1][at]]  # of what stands before each token, then of the last end
+            number = number[at]
+            rare = np.flatnonzero(number >= 0)
+            own = number[rare] << 8
+            keys, n = np.unique(np.concatenate([own | kind[rare], own | (kind[rare + 2] + width)]), return_counts=True)
+            for start in range(0, int(n.max()), MOST):  # counts of more than 24 bits take several entries
+                more = n > start
+                yield _packed(coded.dictionary.take(pa.array(rare_words)), keys[more], np.minimum(n[more] - start, MOST))
 
     return run
 
 
+def _packed(words: pa.Array, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    entries = ((keys & 255) << 24 | n).astype(np.uint32)
+    cuts = np.r_[0, np.cumsum(np.bincount(keys >> 8, minlength=len(words)))] * 4
+    blob = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(entries)])
+    return pa.RecordBatch.from_arrays([words, blob], ["word", "entries"])
+
+
 def best_rare_classes(pairs: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
     """For each of words, given the sorted entries (word, code, n) of _rare_contexts, the class that gains most from it, the words' own among them.
 
@@ -330,22 +360,31 @@ class Model:
     def base(self, count: np.ndarray) -> np.ndarray:
         return (count + ADD) / (self.n + ADD * (self.distinct + 1))
 
-    def dictionary(self, words: list[bytes], counts: np.ndarray, classes: np.ndarray) -> tuple:
-        """number of each frequent or given word, and by number its count, class, emission and base probability; the end token comes last."""
-        number = dict(self.number)
-        number.update(zip(words, range(len(number), len(number) + len(words))))
+    def known(self, counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Count, class, emission and base probability of the frequent words, then of words of these counts and classes, then of the end token."""
         kind = np.r_[self.of, classes, self.end].astype(np.int64)
         count = np.r_[self.counts, counts, self.ends].astype(np.float64)
-        return number, count, kind, count / np.maximum(self.totals[kind], 1), self.base(count)
+        return count, kind, count / np.maximum(self.totals[kind], 1), self.base(count)
 
-    def score(self, text: str | None, known: tuple) -> tuple[int, int, float, float, float]:
-        """(tokens, known tokens, base score, score, perplexity)."""
-        number, count, kind, emission, base = known
-        ids = np.array([*map(number.__getitem__, words_of(text)), len(number)])
-        k = kind[ids]
-        p = MIX * self.step[np.r_[self.end, k[:-1]], k] * emission[ids] + (1 - MIX) * base[ids]
-        score = float(np.log10(p).sum())
-        return len(ids), int((count[ids] > 0).sum()), float(np.log10(base[ids]).sum()), score, 10.0 ** (-score / len(ids))
+    def dictionary(self, words: list[bytes], counts: np.ndarray, classes: np.ndarray) -> tuple:
+        """The place of each frequent or given word in the arrays of known, and these."""
+        number = dict(self.number)
+        number.update(zip(words, range(len(number), len(number) + len(words))))
+        return number, *self.known(counts, classes)
+
+    def scores(self, texts: pa.Array, words: pa.Array, known: tuple) -> list[np.ndarray]:
+        """Tokens, known tokens, base score, score and perplexity of each text; words: the frequent ones and those that known was made of."""
+        count, kind, emission, base = known
+        found, sizes = split_words(texts)
+        ids = numbers(found, words, -1)
+        if (ids < 0).any():
+            raise KeyError("a word of these texts is not in the dictionary of their block")
+        ids = with_ends(ids, sizes, len(words))
+        starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+        k, b = kind[ids], base[ids]
+        p = MIX * self.step[np.r_[self.end, k[:-1]], k] * emission[ids] + (1 - MIX) * b
+        score = np.add.reduceat(np.log10(p), starts)
+        return [sizes + 1, np.add.reduceat((count > 0).astype(np.int64)[ids], starts), np.add.reduceat(np.log10(b), starts), score, 10.0 ** (-score / (sizes + 1))]
 
 
 def learn(training: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
@@ -378,11 +417,9 @@ def learn(training: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
 
 def _distinct_words(held):
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        words: set[bytes] = set()
-        for t in docs.column("text"):
-            words.update(words_of(t.as_py()))
-        words.difference_update(held.value.number)
-        return pa.table({"block": pa.array([key[0].as_py()] * len(words), pa.int64()), "word": pa.array(list(words), pa.binary())})
+        words = pa.chunked_array([split_words(t)[0].unique() for t in pieces(docs.to_batches())], pa.binary()).unique()
+        words = words.filter(pc.invert(pc.is_in(words, value_set=pa.array(list(held.value.number), pa.binary()))))
+        return pa.table({"block": pa.array([key[0].as_py()] * len(words), pa.int64()), "word": words})
 
     return run
 
@@ -393,9 +430,10 @@ _SCORED = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_s
 def _score_block(held):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         model = held.value
-        known = model.dictionary(words.column("word").to_pylist(), words.column("n").to_numpy(), words.column("class").to_numpy())
-        rows = [model.score(t.as_py(), known) for t in docs.column("text")]
-        cols = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCORED)]
+        known = model.known(words.column("n").to_numpy(), words.column("class").to_numpy())
+        listed = pa.concat_arrays([pa.array(list(model.number), pa.binary()), *words.column("word").chunks])
+        parts = [model.scores(t, listed, known) for t in pieces(docs.to_batches(), PIECE_BYTES // 4)]
+        cols = [pa.array(np.concatenate([[], *(p[i] for p in parts)]).astype(f.type.to_pandas_dtype())) for i, f in enumerate(_SCORED)]
         return pa.table([docs.column("doc_id"), docs.column("held_out"), *cols], names=["doc_id", "held_out", *_SCORED.names])
 
     return run

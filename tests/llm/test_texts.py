@@ -291,6 +291,22 @@ def test_scores(spark, monkeypatch):
     assert lm.score_corpus(documents(spark, rows[:1]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 60, 1000, 10**6])
+def test_pieces_and_words_are_those_of_the_plain_split(most):
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = ["", None, " ", "  a\x0bB\x1c c\x85 é É x y\r\n", *(" ".join(rng.choice("aBcé\n\t") * rng.randrange(4) for _ in range(rng.randrange(40))) for _ in range(200))]
+    batch = pa.record_batch({"text": pa.array(["left out", *texts], pa.string())}).slice(1)
+    got = []
+    for piece in lm.pieces([batch.slice(0, 90), batch.slice(90)], most):
+        assert len(piece) == 1 or sum(len((t or "").encode()) for t in piece.to_pylist()) <= most
+        words, sizes = lm.split_words(piece)
+        ends = np.cumsum(sizes)
+        got += [words.to_pylist()[b - n : b] for b, n in zip(ends, sizes)]
+    assert got == [lm.words_of(t) for t in texts]
+
+
 def test_scores_equal_a_plain_model(spark, monkeypatch):
     """Transitions and scores recounted token by token from the classes that learn gives."""
     monkeypatch.setattr(lm, "FREQUENT", 0.01)
