@@ -295,8 +295,8 @@ def best_rare_classes(pairs: np.ndarray, word: np.ndarray, code: np.ndarray, n:
     width = len(pairs)
     choices = width - 1
     # What an entry adds depends on its code and count alone, and few of these differ.
-    kinds, entry = np.unique(code << 24 | n, return_inverse=True)
-    other, many = kinds >> 24, (kinds & 0xFFFFFF).astype(np.float64)[:, None]
+    kinds, entry = np.unique(code << 48 | n, return_inverse=True)
+    other, many = kinds >> 48, (kinds & (1 << 48) - 1).astype(np.float64)[:, None]
     m = np.where((other >= width)[:, None], pairs[:choices, other % width].T, pairs[other % width, :choices])
     firsts = np.searchsorted(word, np.arange(words))
     gain = np.add.reduceat((_h(m + many) - _h(m))[entry], firsts)
@@ -321,7 +321,9 @@ def _rare_classes(held):
                 if not blobs:
                     continue
                 packed = np.frombuffer(b"".join(blobs), np.uint32)
-                word, code, n = np.repeat(np.arange(len(blobs)), [len(b) // 4 for b in blobs]), (packed >> 24).astype(np.int64), (packed & 0xFFFFFF).astype(np.int64)
+                each = np.repeat(np.arange(len(blobs)), [len(b) // 4 for b in blobs])
+                keys, back = np.unique(each << 8 | packed >> 24, return_inverse=True)  # tasks share words and codes
+                word, code, n = keys >> 8, keys & 255, np.bincount(back, packed & MOST).astype(np.int64)
                 to = best_rare_classes(pairs, word, code, n, len(blobs))
                 np.add.at(sums, (to[word], code), n)
                 before = code < width  # one for each time that the word occurs
