@@ -62,7 +62,7 @@ def pieces(batches: Iterable[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterat
         first = 0
         while first < len(texts):
             upto = int(np.searchsorted(ends, ends[first] + most - size, "right")) - 1
-            if upto == first and held:
+            if upto <= first and held:
                 yield pa.concat_arrays(held)
                 held, size = [], 0
                 continue
