@@ -24,6 +24,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As materialize; the shuffle files that df was made with are removed once it stands, as nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.set(key, before)
+
+
 def fresh(name: str, *taken: DataFrame | Sequence[str]) -> str:
     """name, with as many underscores before it as it takes to differ from all columns taken, in either case."""
     used = {c.lower() for t in taken for c in (t.columns if isinstance(t, DataFrame) else t)}

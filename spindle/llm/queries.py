@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, mixing, neardup, secrets, tokens, topk, urls, warc
+from . import decontam, fim, langid, lm, mixing, neardup, negatives, repeats, secrets, tokens, topk, urls, warc
 from .common import only, table
 
 
@@ -68,10 +68,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_mix_sources, op4_warc, op5_class_lm, op6_top_k, op7_decontaminate, op8_url_filter, op9_jaccard_join, op10_language_id)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = only(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    other = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", other)
+    return negatives.mine(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+_ALL = (op1_token_counts, op2_secret_scans, op3_mix_sources, op4_warc, op5_class_lm, op6_top_k, op7_decontaminate, op8_url_filter, op9_jaccard_join, op10_language_id)
+QUERIES = {f.__name__: f for f in (*_ALL, op11_fill_in_middle, op12_substring_dedup, op13_hard_negatives)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _DRAW = "(('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
+_HEX = "('0x' || substr(h, {}, 8))::BIGINT"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -130,6 +150,31 @@ chosen AS (SELECT level FROM levels l WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.
 r AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, (SELECT level FROM chosen) * weight) AS target FROM s),
 m AS (SELECT doc_id, text, size, source_size, target, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN {_DRAW} < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size)::BIGINT AS taken FROM m""",
+    "op11_fill_in_middle": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '(?s)[A-Za-z]+|[^A-Za-z]') AS u FROM d),
+c AS (SELECT *, len(u)::BIGINT AS n, {_HEX.format(1)} % (len(u) + 1) AS a, {_HEX.format(9)} % (len(u) + 1) AS b,
+      t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_HEX.format(17)} % 100 >= 90 AS plain, {_HEX.format(25)} % 100 < 20 AS spm FROM u),
+p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op12_substring_dedup": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM i),
+r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM g) WHERE nth > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM r),
+l AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT d.doc_id, w, l.gone, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: l.gone IS NULL OR NOT list_contains(l.gone, x[2])), lambda x: x[1]), ' ') AS kept FROM d LEFT JOIN l USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM k""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON b.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3""",
     "op8_url_filter": f"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{_URL}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   coalesce(regexp_extract(url, '{_URL}', 2), '') AS path FROM pages),

@@ -6,10 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spindle.llm import common, decontam, langid, lm, mixing, neardup, secrets, texts, tokens, topk, urls, warc
+from spindle.llm import common, decontam, fim, langid, lm, mixing, neardup, negatives, repeats, secrets, texts, tokens, topk, urls, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-MODULES = (common, decontam, langid, lm, mixing, neardup, secrets, texts, tokens, topk, urls, warc)
+MODULES = (common, decontam, fim, langid, lm, mixing, neardup, negatives, repeats, secrets, texts, tokens, topk, urls, warc)
 #: Every name in quotes in the modules' code, and as fresh() spells it where that is taken.
 INSIDE = sorted({n for m in MODULES for n in re.findall(r"[\"'](_?[a-z][a-z0-9_]*)[\"']", inspect.getsource(m))} | {n for m in MODULES for n in re.findall(r"\b([a-z][a-z0-9_]*) (?:long|bigint|string|binary|boolean|double)\b", inspect.getsource(m))})
 NAMES = [*INSIDE, *(f"_{n}" for n in INSIDE if not n.startswith("_"))]
@@ -54,6 +54,9 @@ OWN = {
     "find": (documents, lambda d: decontam.find(d, crowded(items(d.sparkSession)))),
     "judge": (pages, lambda p: urls.judge(p, crowded(rules(p.sparkSession)))),
     "join": (documents, neardup.join),
+    "transform": (documents, fim.transform),
+    "remove": (documents, lambda d: repeats.remove(d, 3)),
+    "mine": (lambda s: vectors(s).withColumn("label", F.col("vec_id") % 2), lambda v: negatives.mine(v, v.where("vec_id % 4 = 0"), 2)),
 }
 #: Operators that pass rows through, with the columns that they replace.
 THROUGH = {
