@@ -281,6 +281,25 @@ def near_duplicate_pairs(spark, sf_dir):
     return quality.near_duplicates(t.withColumn("source_text", text.normalized(F.col("prompt"))))
 
 
+_SAME_BYTE = " OR ".join(f"(a.h >> {8 * i}) & 255 = (b.h >> {8 * i}) & 255" for i in range(8))
+
+
+@query(f"""WITH g AS (SELECT *, p_partkey // 5 AS g, (p_partkey % 5)::UBIGINT AS f FROM part),
+e AS (SELECT p_partkey AS id, p_partkey % 3 AS rank, 100 + p_size AS size, CASE WHEN g % 2 = 0 THEN 'g' || g END AS prefix,
+  xor(xor((('0x' || substr(md5(g::VARCHAR), 1, 8))::UBIGINT << 32) + ('0x' || substr(md5(g::VARCHAR), 9, 8))::UBIGINT, f * 72340172838076673::UBIGINT), 1::UBIGINT << (p_size + 1)::INT) AS h FROM g)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS apart FROM e a JOIN e b ON a.rank < b.rank
+WHERE bit_count(xor(a.h, b.h)) <= 12 AND 2.0 * least(a.size, b.size) / (a.size + b.size) >= 0.9 AND ({_SAME_BYTE} OR a.prefix = b.prefix)""")
+def fingerprint_pairs(spark, sf_dir):
+    """Likely duplicates among all parts: five at a time have fingerprints that differ in all bytes or in few bits."""
+    k, group = F.col("p_partkey"), F.floor(F.col("p_partkey") / 5)
+    half = lambda at: F.conv(F.substring(F.md5(group.cast("string").cast("binary")), at, 8), 16, 10).cast("long")
+    same = F.call_function("shiftleft", half(1), F.lit(32)) + half(9)
+    h = same.bitwiseXOR(k % 5 * 72340172838076673).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p_size") + 1).cast("int")))
+    prefix = F.when(group % 2 == 0, F.concat(F.lit("g"), group.cast("string")))
+    pairs = quality.fingerprint_pairs(table(spark, sf_dir, "part").select(k.alias("id"), (k % 3).alias("rank"), h.alias("h"), (100 + F.col("p_size")).alias("size"), prefix.alias("prefix")))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h"))).alias("apart"))
+
+
 @query()
 def simhash_fingerprints(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", text.normalized(F.col("text")).alias("value"))

@@ -92,6 +92,48 @@ def test_simhash(spark):
     assert [None if h is None else h % 2**64 for h in got] == [*map(plain_simhash, values), None]
 
 
+def test_simhash_of_texts_with_every_white_space():
+    import pyarrow as pa
+
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    values = [f"a{s}b{s}{s}c" for s in spaces] + [f"{s}a b{s}" for s in spaces] + ["x\u200by", "a " * 500 + "b", " "]
+    assert [h % 2**64 for h in quality.simhashes(pa.array(values)).tolist()] == [*map(plain_simhash, values)]
+    assert quality.simhashes(pa.array([], pa.string())).tolist() == []
+
+
+def test_simhash_sums_features_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality, "FEATURES", 7)
+    rng = random.Random(8)
+    values = [" ".join(rng.choice("ab cd ef gh ij".split()) for _ in range(rng.randrange(30))) for _ in range(40)]
+    assert [h % 2**64 for h in quality.simhashes(pa.array(values)).tolist()] == [*map(plain_simhash, values)]
+
+
+def test_fingerprint_pairs_equal_brute_force(spark):
+    """Fingerprints 0 to 16 bits apart from a few, of which some share no byte."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    rows = []
+    for i in range(400):
+        h = rng.choice(base)
+        for b in rng.sample(range(64), rng.choice((0, 1, 6, 8, 9, 12, 13))):
+            h ^= 1 << b
+        if i % 10 == 0:
+            h = base[0] ^ sum(1 << 8 * b + rng.randrange(8) for b in range(8))  # each byte one bit away
+        rows.append((i, rng.randrange(3), h - 2**64 if h >> 63 else h, rng.choice((1, 90, 100, 120)), rng.choice((None, "a b c", "d e f"))))
+    pairs = quality.fingerprint_pairs(frame(spark, "id long, rank int, h long, size int, prefix string", *rows))
+    got = [(r.x.id, r.y.id) for r in pairs.collect()]
+
+    def likely(a, b):
+        x = (a[2] ^ b[2]) % 2**64
+        same = any(x >> 8 * i & 255 == 0 for i in range(8)) or a[4] is not None and a[4] == b[4]
+        return a[1] < b[1] and same and x.bit_count() <= 12 and 2 * min(a[3], b[3]) / (a[3] + b[3]) >= 0.9
+
+    want = [(a[0], b[0]) for a in rows for b in rows if likely(a, b)]
+    assert sorted(got) == sorted(want) and len(want) > 500
+
+
 def test_quality_reports_and_policy(spark):
     rows = frame(spark, "split string, prompt string, response string", ("train", "mail me a@b.org", " Sadness "), ("train", "x", "joy!"), ("test", "hf_" + "a" * 32, "joy"))
     got = {(r.split, r.label): r.rows for r in quality.label_distribution(rows, ["sadness", "joy"]).collect()}
