@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import types as T
 from ..functions import text
 
 RESAMPLES = 500
+#: Probabilities that a task sums at once.
+WINDOW = 1 << 21
 
 
 def predicted(output: Column) -> Column:
@@ -83,29 +87,65 @@ def response_loss(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.sum("tokens").alias("tokens"), mean.alias("response_loss")).withColumn("perplexity", F.exp("response_loss"))
 
 
+def binomial_quantiles(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """The least k of each n draws of chance p whose probability to be reached at most is u or more.
+
+    Probabilities are summed from the ratios of neighbours over the k within nine deviations of the mean, and 40 more; what lies
+    beyond is less than the steps of u.
+    """
+    if p <= 0.0 or p >= 1.0:
+        return n if p > 0.0 else np.zeros_like(n)
+    out = np.empty_like(n)
+    reach = 9 * math.sqrt(float(n.max(initial=0)) * p * (1 - p)) + 40
+    low = np.maximum(0, np.floor(n * p - reach)).astype(np.int64)
+    width = int(2 * reach) + 3
+    for first in range(0, len(n), max(1, WINDOW // width)):
+        some = slice(first, first + max(1, WINDOW // width))
+        k, left = low[some, None] + np.arange(width), n[some, None]
+        ratio = np.where(k < left, (left - k).clip(min=1) / (k + 1.0) * (p / (1 - p)), 1.0)
+        logs = np.concatenate([np.zeros((len(k), 1)), np.cumsum(np.log(ratio[:, :-1]), axis=1)], axis=1)
+        weight = np.where(k <= left, np.exp(logs - logs.max(1, keepdims=True)), 0.0)
+        upto = np.cumsum(weight, axis=1)
+        out[some] = low[some] + (upto < u[some, None] * upto[:, -1:]).sum(1)
+    return np.minimum(out, n)
+
+
+def resampled(spark: SparkSession, cells: Sequence[tuple[str, str, int]], seed: int, resamples: int) -> DataFrame:
+    """(resample, counts): how often each cell is drawn in n draws with replacement from n = all cases.
+
+    The counts of a resample are a chain of binomial draws: of what the cells before have left, each cell takes a share. A
+    draw inverts the distribution at a number made from the seed, the resample and the cell's labels, so there are
+    resamples * cells draws, whatever n is, and no partitioning changes them.
+    """
+    n, sizes = sum(c[2] for c in cells), [c[2] for c in cells]
+    number = lambda c: (F.conv(F.substring(text.draw_key(seed, F.col("id"), F.lit(c[0]), F.lit(c[1])), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+    rows = spark.range(resamples).select(F.col("id").alias("resample"), F.array(*map(number, cells)).alias("u"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = batch.column("u").flatten().to_numpy().reshape(-1, len(sizes))
+            left, rest, counts = np.full(len(u), n, np.int64), n, np.empty(u.shape, np.int64)
+            for i, size in enumerate(sizes):
+                counts[:, i] = binomial_quantiles(u[:, i], left, size / rest if rest else 0.0)
+                left, rest = left - counts[:, i], rest - size
+            yield pa.RecordBatch.from_arrays([batch.column("resample"), pa.array(list(counts), pa.list_(pa.int64()))], ["resample", "counts"])
+
+    return rows.mapInArrow(run, "resample bigint, counts array<bigint>")
+
+
 def bootstrap(spark: SparkSession, cells: Sequence[tuple[str, str, int]], labels: Sequence[str], seed: int, resamples: int = RESAMPLES) -> DataFrame:
     """(metric, lower, upper): percentile intervals of accuracy and macro-F1 by resampling cases with replacement.
 
-    A resample is n draws of a case; a case matters by its (reference, predicted) cell alone, so a draw is a number below
-    n that is compared with the cells' running totals. Draws come from a range of resamples * n ids: there is no join, and
-    counts combine before the shuffle. cells is bounded by the square of the number of labels, plus one for the rest.
+    A case matters by its (reference, predicted) cell alone, so a resample is a count for each cell; there are as many cells
+    as the square of the number of labels, and one for the rest, at most.
     """
     n = sum(c[2] for c in cells)
-    draws = spark.range(resamples * n).select((F.col("id") / n).cast("long").alias("resample"), F.pmod(text.draw_number(text.draw_key(seed, F.col("id"))), F.lit(n)).alias("case"))
-    number, total = F.lit(len(cells) - 1), 0
-    bounds = []
-    for i, c in enumerate(cells[:-1]):
-        total += c[2]
-        bounds.append((total, i))
-    for upto, i in reversed(bounds):
-        number = F.when(F.col("case") < upto, i).otherwise(number)
-    counts = draws.groupBy("resample", number.alias("cell")).count()
-    kinds = [F.struct(F.lit(r).alias("r"), F.lit(p).alias("p")) for r, p, _ in cells]
-    counts = counts.withColumn("kind", F.array(*kinds)[F.col("cell")])
-    r, p = F.col("kind.r"), F.col("kind.p")
-    n_if = lambda c: F.sum(F.when(c, F.col("count")).otherwise(0))
-    sums = [n_if(c).alias(f"{k}{i}") for i, x in enumerate(labels) for k, c in (("tp", (p == x) & (r == x)), ("fp", (p == x) & (r != x)), ("fn", (p != x) & (r == x)))]
-    per = counts.groupBy("resample").agg(n_if(p == r).alias("right"), *sums)
+    if not n:
+        return spark.createDataFrame([(m, None, None) for m in ("accuracy", "macro_f1")], "metric string, lower double, upper double")
+    drawn = resampled(spark, cells, seed, resamples)
+    n_if = lambda test: sum((F.col("counts")[i] for i, (r, p, _) in enumerate(cells) if test(r, p)), F.lit(0))
+    sums = [n_if(test).alias(f"{k}{i}") for i, x in enumerate(labels) for k, test in (("tp", lambda r, p, x=x: p == r == x), ("fp", lambda r, p, x=x: p == x != r), ("fn", lambda r, p, x=x: r == x != p))]
+    per = drawn.select(n_if(lambda r, p: p == r).alias("right"), *sums)
     f1 = [_ratio(2 * F.col(f"tp{i}"), 2 * F.col(f"tp{i}") + F.col(f"fp{i}") + F.col(f"fn{i}")) for i in range(len(labels))]
     macro = F.lit(0.0)
     for x in f1:

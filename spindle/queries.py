@@ -417,12 +417,23 @@ def response_loss(spark, sf_dir):
     return metrics.response_loss(li, "l_returnflag").select("l_returnflag", "tokens", *(F.round(c, 9).alias(c) for c in ("response_loss", "perplexity")))
 
 
-@query(f"""WITH {_SCORED}, n AS (SELECT count(*) AS n FROM s),
-cells AS (SELECT CASE WHEN p = 'unsure' THEN '!' ELSE p END AS p, reference AS r, count(*) AS c FROM s GROUP BY ALL), run AS (SELECT *, sum(c) OVER (ORDER BY r, p) AS upto FROM cells),
-draws AS (SELECT id // n AS resample, {_number('id')} % n AS pick FROM n, range(500 * n) g(id)),
-hits AS (SELECT d.resample, r.r, r.p FROM draws d JOIN run r ON d.pick < r.upto AND d.pick >= r.upto - r.c),
-per AS (SELECT resample, avg((p = r)::INT::DOUBLE) AS accuracy, (CASE WHEN count(*) FILTER (p = 'poor' OR r = 'poor') = 0 THEN 0 ELSE 2.0::DOUBLE * count(*) FILTER (p = 'poor' AND r = 'poor') / (count(*) FILTER (p = 'poor') + count(*) FILTER (r = 'poor')) END
-  + CASE WHEN count(*) FILTER (p = 'good' OR r = 'good') = 0 THEN 0 ELSE 2.0::DOUBLE * count(*) FILTER (p = 'good' AND r = 'good') / (count(*) FILTER (p = 'good') + count(*) FILTER (r = 'good')) END) / 2 AS macro_f1 FROM hits GROUP BY resample),
+def _chain() -> str:
+    """Counts of six cells in each of 500 resamples, cell by cell: x_i is the quantile of a binomial distribution of what is left."""
+    cells = [("good", "!"), ("good", "good"), ("good", "poor"), ("poor", "!"), ("poor", "good"), ("poor", "poor")]
+    sizes = ", ".join(f"count(*) FILTER (reference = '{r}' AND p = '{'unsure' if p == '!' else p}') AS c{i}" for i, (r, p) in enumerate(cells))
+    steps = [f"n AS (SELECT {sizes} FROM s)", f"s0 AS (SELECT id, {' + '.join(f'c{i}' for i in range(6))} AS rest, rest AS free, n.* FROM n, range(500) g(id))"]
+    for i, (r, p) in enumerate(cells):
+        kept = ", ".join(f"x{j}" for j in range(i))
+        k = f"SELECT *, (('0x' || substr(md5('{SEED}:' || id || ':{r}:{p}'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u, CASE WHEN rest > 0 THEN c{i}::DOUBLE / rest ELSE 0 END AS q, unnest(range(0, free + 1)) AS k FROM s{i}"
+        chance = "CASE WHEN q = 0 THEN (k = 0)::INT::DOUBLE WHEN q = 1 THEN (k = free)::INT::DOUBLE ELSE exp(lgamma(free + 1.0::DOUBLE) - lgamma(k + 1.0::DOUBLE) - lgamma(free - k + 1.0::DOUBLE) + k * ln(q) + (free - k) * ln(1 - q)) END"
+        upto = f"SELECT *, sum(chance) OVER (PARTITION BY id ORDER BY k) AS upto FROM (SELECT *, {chance} AS chance FROM ({k}))"
+        every = ", ".join(["id", "rest", "free", *(f"c{j}" for j in range(6)), *(f"x{j}" for j in range(i))])
+        steps.append(f"s{i + 1} AS (SELECT id, rest - c{i} AS rest, free - x{i} AS free, {', '.join(f'c{j}' for j in range(6))}{', ' + kept if kept else ''}, x{i} FROM (SELECT {every}, count(*) FILTER (upto < u) AS x{i} FROM ({upto}) GROUP BY ALL))")
+    return ", ".join(steps)
+
+
+@query(f"""WITH {_SCORED}, {_chain()},
+per AS (SELECT (x1 + x5)::DOUBLE / (x0 + x1 + x2 + x3 + x4 + x5) AS accuracy, (coalesce(2.0::DOUBLE * x5 / nullif(2 * x5 + x2 + x3 + x4, 0), 0) + coalesce(2.0::DOUBLE * x1 / nullif(2 * x1 + x0 + x2 + x4, 0), 0)) / 2 AS macro_f1 FROM s6),
 l AS (SELECT list(accuracy ORDER BY accuracy) AS a, list(macro_f1 ORDER BY macro_f1) AS f FROM per)
 SELECT 'accuracy' AS metric, round(a[13], 9) AS lower, round(a[487], 9) AS upper FROM l UNION ALL SELECT 'macro_f1', round(f[13], 9), round(f[487], 9) FROM l""")
 def bootstrap_intervals(spark, sf_dir):

@@ -239,6 +239,60 @@ def test_bootstrap(spark):
     assert got["accuracy"][0] < acc < got["accuracy"][1]
 
 
+def test_binomial_quantiles():
+    """Against distributions summed in whole numbers, and by size against the normal approximation."""
+    import math
+    from fractions import Fraction
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 40, 200):
+        for p in (Fraction(0), Fraction(1, 1000), Fraction(1, 3), Fraction(9, 10), Fraction(1)):
+            u = rng.random(50)
+            upto, sums = Fraction(0), []
+            for k in range(n + 1):
+                upto += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+                sums.append(float(upto))
+            want = [next(k for k, x in enumerate(sums) if x >= v) for v in u.tolist()]
+            assert metrics.binomial_quantiles(u, np.full(50, n), float(p)).tolist() == want
+    u = np.array([0.001, 0.5, 0.999])
+    for n in (10**7, 10**9):
+        x = (metrics.binomial_quantiles(u, np.full(3, n), 0.3) - 0.3 * n) / math.sqrt(n * 0.21)
+        assert np.allclose(x, [-3.0902, 0, 3.0902], atol=2e-3)
+
+
+def test_resamples_are_multinomial(spark):
+    """Means and covariances of the counts, and intervals against those of plain resampling."""
+    import numpy as np
+
+    cells = [("a", "a", 300), ("a", "b", 100), ("b", "a", 50), ("b", "b", 0), ("b", "!", 150)]
+    n, share = 600, np.array([c[2] for c in cells]) / 600
+    counts = np.array([r.counts for r in metrics.resampled(spark, cells, 5, 4000).collect()])
+    assert (counts.sum(1) == n).all() and (counts[:, 3] == 0).all()
+    assert np.allclose(counts.mean(0), n * share, atol=1.0)
+    assert np.allclose(np.cov(counts.T), n * (np.diag(share) - np.outer(share, share)), atol=12)
+    rng = np.random.default_rng(1)
+    right = np.sort(rng.choice([1.0] * 300 + [0.0] * 300, (4000, n)).mean(1))
+    got = {r.metric: (r.lower, r.upper) for r in metrics.bootstrap(spark, cells, ["a", "b"], 5, 4000).collect()}
+    assert np.allclose(got["accuracy"], (right[99], right[3899]), atol=0.004)
+
+
+def test_bootstrap_of_many_rows_takes_no_longer(spark):
+    import time
+
+    def took(times):
+        cells = [("a", "a", 60 * times), ("a", "b", 20 * times), ("b", "b", 15 * times), ("b", "a", 5 * times)]
+        began = time.perf_counter()
+        got = {r.metric: (r.lower, r.upper) for r in metrics.bootstrap(spark, cells, ["a", "b"], 5).collect()}
+        return time.perf_counter() - began, got["accuracy"]
+
+    took(1)
+    (few, wide), (many, narrow) = took(1), took(100_000)
+    assert many < few + 10 and narrow[1] - narrow[0] < 0.001 < wide[1] - wide[0]
+    assert metrics.bootstrap(spark, [], ["a"], 5).first().lower is None
+
+
 def test_loss(spark):
     df = frame(spark, "g string, loss double, tokens int", ("x", 1.0, 3), ("x", 3.0, 1), ("y", 5.0, 0))
     got = {r.g: (r.tokens, r.response_loss) for r in metrics.response_loss(df, "g").collect()}
