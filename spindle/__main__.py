@@ -1,4 +1,4 @@
-"""Commands: python -m spindle prepare|audit|compare|promote ... A failed check ends with exit code 2 and writes nothing."""
+"""Commands: python -m spindle prepare|audit|sample|evaluate|compare|seeds|promote ... A failed check ends with exit code 2 and writes nothing."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .plans import config, workflow
+from .plans import config, evaluation, workflow
 from .sources import tables
 
 
@@ -32,10 +32,33 @@ def _parser() -> argparse.ArgumentParser:
     compare = sub.add_parser("compare", help="compare two evaluations")
     compare.add_argument("first", type=Path)
     compare.add_argument("second", type=Path)
-    compare.add_argument("--base", type=Path, action="append", default=[])
+    compare.add_argument("--first-base", type=Path, help="the starting model's evaluation, if it does not stand beside the first")
+    compare.add_argument("--second-base", type=Path)
     compare.add_argument("--output", type=Path)
-    promote = sub.add_parser("promote", help="decide on a run")
-    promote.add_argument("--task", type=Path, required=True)
+    sample = sub.add_parser("sample", help="write the encoded rows that a training run reads")
+    sample.add_argument("--task", type=Path, required=True)
+    sample.add_argument("--data", required=True)
+    sample.add_argument("--output", required=True)
+    for flag in ("train", "validation", "save-steps"):
+        sample.add_argument(f"--{flag}", type=int)
+    sample.add_argument("--max-steps", type=int, default=-1)
+    sample.add_argument("--seed", type=int, default=42)
+    sample.add_argument("--balanced", action="store_true")
+    sample.add_argument("--allow-overlap", action="store_true")
+    evaluate = sub.add_parser("evaluate", help="evaluate a run from given outputs")
+    evaluate.add_argument("--run", required=True)
+    evaluate.add_argument("--data", required=True)
+    evaluate.add_argument("--outputs", required=True, help="JSON lines of prompt, output, loss and tokens")
+    evaluate.add_argument("--split", choices=("validation", "test"), default="test")
+    for flag in ("per-label", "rows", "generated", "max-new-tokens"):
+        evaluate.add_argument(f"--{flag}", type=int)
+    evaluate.add_argument("--seed", type=int, default=42)
+    evaluate.add_argument("--base", action="store_true", help="the outputs are the starting model's")
+    evaluate.add_argument("--output")
+    seeds = sub.add_parser("seeds", help="sum up evaluations of runs that differ in their seed")
+    seeds.add_argument("evaluations", nargs="+")
+    seeds.add_argument("--output", type=Path)
+    promote = sub.add_parser("promote", help="decide on a run by the policy of its own task")
     promote.add_argument("--run", required=True)
     promote.add_argument("--evaluation", type=Path)
     promote.add_argument("--base-evaluation", type=Path)
@@ -53,17 +76,43 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         print(json.dumps(report, indent=2))
         if args.output:
             tables.report(args.output, report)
+    elif args.command == "sample":
+        sample = evaluation.training_sample(spark, config.load_task(args.task), args.data, train=args.train, validation=args.validation, save_steps=args.save_steps, max_steps=args.max_steps, balanced=args.balanced, seed=args.seed, allow_overlap=args.allow_overlap)
+        report = {k: v for k, v in sample.items() if k not in ("train", "validation")}
+
+        def fill(staging: str) -> None:
+            for split in ("train", "validation"):
+                sample[split].write.parquet(f"{staging}/{split}")
+            tables.write_text(spark, f"{staging}/sample.json", json.dumps(report, indent=2))
+
+        tables.atomically(spark, args.output, fill)
+        print(json.dumps(report["examples"]))
+    elif args.command == "evaluate":
+        result = evaluation.evaluate(spark, args.run, args.data, evaluation.given_outputs(tables.jsonl(spark, args.outputs)), split=args.split, per_label=args.per_label, rows=args.rows, generated=args.generated, max_new_tokens=args.max_new_tokens, seed=args.seed, base=args.base, output=args.output)
+        print(json.dumps(result["generation_metric"]))
     elif args.command == "compare":
-        beside = [p.with_name(f"base_{p.name}") for p in (args.first, args.second)]
-        bases = [load(p) for p in {*args.base, *filter(Path.exists, beside)}]
-        text = workflow.compare_report(spark, load(args.first), load(args.second), bases)
+        paths, bases = (args.first, args.second), [args.first_base, args.second_base]
+        for i, path in enumerate(paths):
+            beside = workflow.base_name(path.name)
+            if bases[i] is None and beside and path.with_name(beside).exists():
+                bases[i] = path.with_name(beside)
+        one = lambda path: None if path is None else tables.evaluation(spark, str(path))
+        text = workflow.compare_report(spark, *map(one, paths), *map(one, bases))
         print(text, end="")
         if args.output:
             args.output.parent.mkdir(parents=True, exist_ok=True)
             args.output.write_text(text, encoding="utf-8")
+    elif args.command == "seeds":
+        if len(args.evaluations) < 2:
+            raise ValueError("a report on seeds needs two evaluations at least")
+        results = [load(p) for p in args.evaluations]
+        report = workflow.seeds_report(spark, results, [load(Path(r["run_dir"]) / "run_summary.json") for r in results], args.evaluations)
+        print(json.dumps(report, indent=2))
+        if args.output:
+            tables.report(args.output, report)
     else:
         paths = [args.evaluation or Path(args.run) / "test_evaluation.json", args.base_evaluation or Path(args.run) / "base_test_evaluation.json"]
-        decision = workflow.promote(spark, config.load_task(args.task), args.run, *paths, args.registry)
+        decision = workflow.promote(spark, args.run, *paths, args.registry)
         if decision["status"] != "promoted":
             raise ValueError(f"rejected: {'; '.join(decision['failures'])}")
         print("promoted")
@@ -74,6 +123,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = _parser().parse_args(argv)
     try:
         return run(spark or SparkSession.builder.appName("spindle").getOrCreate(), args)
+    except KeyError as e:
+        print(f"a file lacks {e}", file=sys.stderr)
+        return 2
     except (ValueError, OSError) as e:
         print(e, file=sys.stderr)
         return 2

@@ -25,14 +25,18 @@ SECRETS = {
 
 
 def strip(c: Column) -> Column:
-    """Without Unicode white space at both ends; trim() knows the space alone."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space, as Python's str.strip() knows it, at both ends: Unicode's, and the four separators 1C to 1F."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+@F.arrow_udf(T.StringType())
+def _titled(a: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else x.title() for x in a.to_pylist()], pa.string())
 
 
 def title(c: Column) -> Column:
-    """Each run of letters with a capital first, whatever stands before it; initcap() starts words after spaces alone."""
-    runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), 0)
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 2**31 - 1)))), "")
+    """Python's str.title(): each run of cased characters with its first in title case. In Python, as the JVM's title case maps to one character and no function finds runs of cased ones."""
+    return _titled(c)
 
 
 @F.arrow_udf(T.StringType())

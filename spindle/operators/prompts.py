@@ -5,11 +5,12 @@ from __future__ import annotations
 import string
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from . import sampling
 
 IGNORED = -100
 
@@ -97,5 +98,32 @@ def padded(df: DataFrame, column: str, width: int, fill) -> DataFrame:
     return df.withColumn(column, F.concat(F.col(column), F.array_repeat(F.lit(fill), F.lit(width) - F.size(column))))
 
 
+def batches(df: DataFrame, size: int, key: Column, pad) -> DataFrame:
+    """Encoded rows with batch and place, both from 0 and in the order of key, which differs from row to row; arrays are padded from the right to the longest of their batch.
+
+    input_ids are padded with pad, attention_mask with 0 and labels with what hides them. The order is found by ranges of
+    the key, so no task numbers all rows; a batch has size rows at most.
+    """
+    at = "_spindle_at"
+    rows = sampling.running_totals(df, key, name=at)
+    rows = rows.withColumns({"batch": F.floor(F.col(at) / size), "place": F.pmod(at, F.lit(size))}).drop(at)
+    width = F.max(F.size("input_ids")).over(Window.partitionBy("batch"))
+    rows = rows.withColumn("width", width)
+    hidden = F.lit(IGNORED).cast(df.schema["labels"].dataType.elementType)
+    more = F.col("width") - F.size("input_ids")
+    filled = {c: F.concat(F.col(c), F.array_repeat(x, more)) for c, x in (("input_ids", F.lit(pad)), ("attention_mask", F.lit(0)), ("labels", hidden))}
+    return rows.withColumns(filled)
+
+
 def truncated(df: DataFrame, column: str, length: int) -> DataFrame:
     return df.withColumn(column, F.slice(column, 1, length))
+
+
+def truncated_examples(df: DataFrame, length: int, strict: bool = False) -> DataFrame:
+    """Encoded rows whose input_ids, attention_mask and labels are cut to length; one of which no response token is left goes, or with strict stops the query."""
+    for c in ("input_ids", "attention_mask", "labels"):
+        df = truncated(df, c, length)
+    left = F.exists("labels", lambda x: x != F.lit(IGNORED).cast(df.schema["labels"].dataType.elementType))
+    if strict:
+        return df.withColumn("labels", F.when(left, F.col("labels")).otherwise(F.raise_error(F.lit(f"no response token is left within {length}"))))
+    return df.where(left)

@@ -42,6 +42,31 @@ def kth_key(df: DataFrame, key: Column, k: int, counts: list[tuple[str, int]] |
             return rows.where(own.startswith(prefix)).orderBy("_k").limit(left).agg(F.max("_k")).first()[0]
 
 
+def running_totals(df: DataFrame, key: Column, value: Column | None = None, name: str = "before") -> DataFrame:
+    """df, written, with name: the sum of value (null: 0), or the number of rows, over all rows whose key is smaller. Keys must differ from row to row.
+
+    Two levels: rows are dealt to ranges of the key, bounded by a sample of the keys, and written. Each range is summed on its
+    own, and then the totals of the ranges before it, of which there is one a range, are added. No task sees more than a range.
+    """
+    k, part, each, first = (f"_spindle_{x}" for x in ("key", "part", "each", "first"))
+    dealt = df.withColumns({k: key, each: F.lit(1) if value is None else F.coalesce(value, F.lit(0))}).repartitionByRange(k).withColumn(part, F.spark_partition_id())
+    path = scratch(df.sparkSession)
+    dealt.write.parquet(path)
+    rows = df.sparkSession.read.schema(dealt.schema).parquet(path)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(part).agg(F.sum(each).alias("n"))
+    firsts = totals.select(part, F.coalesce(F.sum("n").over(before(Window.orderBy(part))), F.lit(0)).alias(first))
+    within = F.coalesce(F.sum(each).over(before(Window.partitionBy(part).orderBy(k))), F.lit(0))
+    return rows.join(F.broadcast(firsts), part).withColumn(name, F.col(first) + within).select(*(f"`{c}`" for c in df.columns), name)
+
+
+def write_in_order(df: DataFrame, path: str, key: Column, kind: str = "json") -> None:
+    """df as files whose names are in the order of the keys, the rows of each in that order too: one ordered file for each range of the key."""
+    k = "_spindle_key"
+    dealt = df.withColumn(k, key).repartitionByRange(k).sortWithinPartitions(k)
+    dealt.drop(k).write.format(kind).mode("errorifexists").save(path)
+
+
 def order_key(seed: int, *key: str) -> Column:
     """md5 digits, then the key itself: a total order of different keys."""
     return F.concat_ws(":", text.draw_key(seed, *(F.col(k) for k in key)), *(F.col(k).cast("string") for k in key))

@@ -74,13 +74,17 @@ def first_fitting(rows: DataFrame, limit: int, seed: int) -> tuple[DataFrame, in
 
 
 def balanced_fitting(rows: DataFrame, quota: dict[str, int], seed: int) -> tuple[DataFrame, int]:
-    """(each label's quota of fitting rows, those passed over before a label's last); ValueError where a label is short."""
+    """(each label's quota of fitting rows, those passed over before a label's last); ValueError where a label is short.
+
+    What was passed over is told by comparison with the key of each label's last row, so no label's rows meet in a task.
+    """
     taken = sampling.balanced(rows, quota, seed, workflow.KEY, fits=F.col("_fits"))
-    before = Window.partitionBy("label").orderBy(sampling.order_key(seed, workflow.KEY)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    need = F.create_map(*(F.lit(v) for kv in quota.items() for v in kv))[F.col("label")]
-    labelled = rows.withColumn("label", sampling.label_of()).where(F.col("label").isin(*quota))
-    fitting = F.sum(F.col("_fits").cast("int")).over(before)
-    return taken, labelled.withColumn("_n", fitting).where(~F.col("_fits") & (F.col("_n") < need)).count()
+    order = sampling.order_key(seed, workflow.KEY)
+    last = {r["label"]: r["k"] for r in taken.groupBy("label").agg(F.max(order).alias("k")).collect()}  # a row for each label
+    before = F.lit(False)
+    for label, k in last.items():
+        before = before | ((sampling.label_of() == label) & (order < k))
+    return taken, rows.where(~F.col("_fits") & before).count()
 
 
 def training_sample(spark: SparkSession, task: dict, data: str, *, train: int | None = None, validation: int | None = None, save_steps: int | None = None, max_steps: int = -1, balanced: bool = False, seed: int = 42, allow_overlap: bool = False, tokenize=prompts.white_space_tokens, end: Any = "</s>") -> dict[str, Any]:
@@ -107,6 +111,22 @@ def training_sample(spark: SparkSession, task: dict, data: str, *, train: int |
     return {**out, "examples": counts, "skipped": {"train": skipped, "validation": held_skipped}, "label_counts": by_label, "audit": audit, "lengths": lengths}
 
 
+def given_outputs(outputs: DataFrame) -> Callable[[DataFrame, dict], DataFrame]:
+    """A score function for evaluate() that looks answers up in outputs(prompt, output, loss, tokens); ValueError where a selected prompt has none, or two."""
+    if missing := {"prompt", "output", "loss", "tokens"} - {*outputs.columns}:
+        raise ValueError(f"outputs have no {', '.join(sorted(missing))}")
+
+    def score(selected: DataFrame, decoding: dict) -> DataFrame:
+        asked = F.broadcast(selected.select("prompt").distinct())  # as many as an evaluation scores
+        known = outputs.join(asked, "prompt", "left_semi").groupBy("prompt").agg(F.count_distinct("output", "loss", "tokens").alias("_n"), *(F.first(c).alias(c) for c in ("output", "loss", "tokens")))
+        found = selected.join(known, "prompt", "left")
+        if bad := found.where("_n is null or _n > 1").select("prompt").first():
+            raise ValueError(f"not one output for {bad['prompt']!r}")
+        return found.drop("_n")
+
+    return score
+
+
 def evaluate(spark: SparkSession, run: str, data: str, score: Callable[[DataFrame, dict], DataFrame], *, split: str = "test", per_label: int | None = None, rows: int | None = None, generated: int | None = None, max_new_tokens: int | None = None, seed: int = 42, base: bool = False, tokenize=prompts.white_space_tokens, output: str | None = None) -> dict[str, Any]:
     """Evaluate a run on prepared data, write the result into its folder and return it.
 

@@ -106,6 +106,7 @@ def _number(key: str, seed: int = SEED) -> str:
     return f"('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT"
 
 
+_KEY = "md5('42:' || doc_id) || ':' || doc_id"
 _SPLIT = f"CASE WHEN {_number('doc_id')} % 10 < 7 THEN 'train' WHEN {_number('doc_id')} % 10 < 9 THEN 'validation' ELSE 'test' END"
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _PREPARED = rf"p AS (SELECT doc_id, {_SPLIT} AS split, E'### Text:\n' || {_STRIP.format('text')} || E'\n\n### Quality:\n' AS prompt, CASE quality WHEN 0 THEN 'poor' ELSE 'good' END AS response FROM documents JOIN labels USING (doc_id))"
@@ -120,7 +121,6 @@ m AS (SELECT k AS o_orderkey, sign, category, date, E'### Sign:\n' || sign || E'
   'Order ' || k || CASE WHEN k % 3 = 0 THEN ' for ' || lower(sign) || ' and ' || other ELSE '' END || CASE WHEN k % 4 = 0 THEN ' at work, with rest and love' ELSE '' END || CASE WHEN k % 6 = 0 THEN ' on ' || date ELSE '' END || '.' AS response FROM o)"""
 _EVALUATIONS = """e AS (SELECT l_suppkey % 12 AS run, CASE WHEN l_linestatus = 'O' THEN 'trained_run' ELSE 'starting_model' END AS model, count(*) AS examples,
   round(avg((l_quantity > 20)::INT::DOUBLE), 6) AS accuracy, round(avg((l_linenumber > 2)::INT::DOUBLE), 6) AS macro_f1, count(*) FILTER (l_quantity = 1) % 3 AS invalid FROM lineitem GROUP BY 1, 2)"""
-_KEY = "md5('42:' || doc_id) || ':' || doc_id"
 _PAIRS = "pairs AS (SELECT a.conv_id, a.turn, a.text AS reference, b.text AS output FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn WHERE a.role = 'user' AND b.role = 'assistant')"
 
 
@@ -208,6 +208,47 @@ def encoded_examples(spark, sf_dir):
     return e.select("doc_id", F.size("attention_mask").alias("tokens"), hidden.alias("hidden"), F.md5(F.array_join("input_ids", " ").cast("binary")).alias("ids_md5"))
 
 
+_ENCODED = rf"""{_PREPARED}, t AS (SELECT doc_id, regexp_extract_all(prompt, '[^\x20\x09-\x0D]+') AS pt, list_append(regexp_extract_all(response, '[^\x20\x09-\x0D]+'), '</s>') AS rt FROM p),
+n AS (SELECT doc_id, list_concat(pt, rt) AS ids, list_concat(list_transform(pt, lambda x: '-100'), rt) AS labels FROM t WHERE len(pt) + len(rt) <= 400)"""
+
+
+@query(f"""WITH {_ENCODED}, o AS (SELECT *, row_number() OVER (ORDER BY {_KEY}) - 1 AS pos FROM n), w AS (SELECT *, pos // 16 AS batch, max(len(ids)) OVER (PARTITION BY pos // 16) AS width FROM o)
+SELECT batch, pos % 16 AS place, doc_id, width::INT AS width, len(ids)::INT AS attended, md5(array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda x: '<pad>')), ' ')) AS ids_md5,
+  md5(array_to_string(list_concat(labels, list_transform(range(width - len(ids)), lambda x: '-100')), ' ')) AS labels_md5 FROM w""")
+def padded_batches(spark, sf_dir):
+    """All prepared rows that fit, in seeded order, in batches of 16, each padded to its own width."""
+    e = prompts.encoded(prepared(spark, sf_dir), 400)
+    b = prompts.batches(e, 16, sampling.order_key(SEED, "doc_id"), "<pad>")
+    digest = lambda c: F.md5(F.array_join(c, " ").cast("binary"))
+    attended = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    return b.select("batch", "place", "doc_id", "width", attended.alias("attended"), digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"))
+
+
+@query(f"""WITH {_ENCODED} SELECT doc_id, len(ids[:64])::INT AS tokens, md5(array_to_string(labels[:64], ' ')) AS labels_md5 FROM n WHERE len(list_filter(labels[:64], lambda x: x <> '-100')) > 0""")
+def truncated_examples(spark, sf_dir):
+    """Prepared rows cut to 64 tokens, without those that have no response token left."""
+    t = prompts.truncated_examples(prompts.encoded(prepared(spark, sf_dir), 400), 64)
+    return t.select("doc_id", F.size("input_ids").alias("tokens"), F.md5(F.array_join("labels", " ").cast("binary")).alias("labels_md5"))
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY {_KEY}) - 1 AS before, coalesce(sum(n_chars) OVER (ORDER BY {_KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chars_before FROM documents")
+def seeded_ranks(spark, sf_dir):
+    """The place of every document in the seeded order, and the characters of all before it."""
+    docs, key = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), sampling.order_key(SEED, "doc_id")
+    ranked = sampling.running_totals(docs, key)
+    return sampling.running_totals(ranked, key, F.col("n_chars"), "chars_before").select("doc_id", "before", "chars_before")
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY {_KEY}) AS nth FROM documents")
+def ordered_files(spark, sf_dir):
+    """All documents written in seeded order, then numbered by file name and line."""
+    path, docs = tables.scratch(spark), table(spark, sf_dir, "documents").select("doc_id")
+    sampling.write_in_order(docs, path, sampling.order_key(SEED, "doc_id"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    numbered = sampling.running_totals(lines, F.struct("file", "block", "line"))
+    return numbered.select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), (F.col("before") + 1).alias("nth"))
+
+
 @query(rf"SELECT doc_id, md5(array_to_string(list_slice(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1, 256), ' ')) AS cut_md5 FROM documents")
 def truncated_tokens(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", prompts.white_space_tokens(F.col("text")).alias("ids"))

@@ -34,13 +34,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def scan(spark: SparkSession, source: dict, split: str | None = None) -> DataFrame:
-    """The table that a task's source names. dataset is a Spark format (parquet, json, csv, orc, text) or a path of Parquet files; there is no download."""
+    """The table that a task's source names. dataset is a Spark format (parquet, json, csv, orc, text) or a path of Parquet files; there is no download.
+
+    A path may be of a local snapshot that keeps folders for configurations and revisions: revision and config, if given, name
+    folders below it, in this order. With a format they cannot be followed, so they are refused.
+    """
     files = source.get("data_files")
+    below = [source[k] for k in ("revision", "config") if source.get(k)]
     if isinstance(files, dict):
         files = files[split or source.get("train_split", "train")]
     kind = source["dataset"]
     if files is None:
-        return spark.read.parquet(kind)
+        return spark.read.parquet("/".join([kind.rstrip("/"), *below]))
+    if below:
+        raise ValueError("data_files take neither revision nor config")
     return spark.read.format(kind).load(files)
 
 
@@ -66,6 +73,32 @@ def prepared(spark: SparkSession, path: str) -> DataFrame:
     return v.select("file", "split", *(F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in ("prompt", "response")), F.to_json(F.try_variant_get("v", "$.inputs", "variant")).alias("inputs"), "value", fault.alias("fault"))
 
 
+def evaluations(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, run_dir, model, split, task, metric, training_seed, v, fault) of many evaluation files, each a JSON document; v is the document, fault says why one is no evaluation of labels."""
+    files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    get = lambda path, kind="string": F.try_variant_get("v", f"$.{path}", kind)
+    shape = lambda path: F.coalesce(F.schema_of_variant(get(path, "variant")), F.lit("VOID"))
+    fault = F.when(F.col("v").isNull(), "not JSON").when(~shape("generation_metric").startswith("OBJECT"), "no metric").when(F.coalesce(get("generation_metric.metric"), F.lit("")) != "label_accuracy", "not label accuracy")
+    fault = fault.when(~shape("generation_metric.per_label").startswith("OBJECT"), "no scores of labels").when(~shape("examples").startswith("ARRAY"), "no examples").when(get("run_dir").isNull() | get("task").isNull(), "no run or task")
+    return files.select("file", get("run_dir").alias("run_dir"), F.coalesce(get("model"), F.lit("trained_run")).alias("model"), F.coalesce(get("split"), F.lit("test")).alias("split"), get("task").alias("task"), get("generation_metric.metric").alias("metric"), get("training_seed", "long").alias("training_seed"), "v", fault.alias("fault"))
+
+
+def label_scores(found: DataFrame) -> DataFrame:
+    """(file, label, support, recall, f1): a row for each label of each of evaluations() without fault."""
+    listed = found.where("fault is null").withColumn("per_label", F.try_variant_get("v", "$.generation_metric.per_label", "variant"))
+    entries = listed.select("file", "per_label").lateralJoin(found.sparkSession.tvf.variant_explode(F.col("per_label").outer()))
+    number = lambda key, kind: F.try_variant_get("value", f"$.{key}", kind).alias(key)
+    return entries.select("file", F.col("key").alias("label"), number("support", "long"), number("recall", "double"), number("f1", "double"))
+
+
+def evaluation(spark: SparkSession, path: str) -> dict:
+    """One evaluation of labels as a dictionary; ValueError names the file and its fault."""
+    row = evaluations(spark, path).select("fault", F.to_json("v").alias("v")).first()
+    if row["fault"]:
+        raise ValueError(f"{path}: {row['fault']}")
+    return json.loads(row["v"])
+
+
 def first_fault(spark: SparkSession, path: str) -> str | None:
     """file:line and the fault of one row of prepared JSON lines that is not as it should be, or None."""
     bad = prepared(spark, path).where("fault is not null").select("file", "fault", "value").first()

@@ -195,6 +195,41 @@ def test_splits(spark):
     assert [r.i for r in sampling.without_leaks(lists.where("i > 1"), lists.where("i = 1"), "c").collect()] == [3]
 
 
+def test_running_totals(spark):
+    """Nulls count as nothing, ranges of any number, columns named as those used inside."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, 1, 5, -3])) for i in range(500)]
+    rng.shuffle(rows)
+    df = frame(spark, "i int, v int", *rows).repartition(7).withColumn("n", F.lit(0)).withColumn("part", F.lit(1)).withColumn("first", F.lit("x"))
+    got = {r.i: (r.before, r["sum so far"]) for r in sampling.running_totals(sampling.running_totals(df, F.col("i")), F.col("i"), F.col("v"), "sum so far").collect()}
+    by = dict(rows)
+    assert got == {i: (i, sum(by[j] or 0 for j in range(i))) for i in range(500)}
+    assert sampling.running_totals(df.limit(0), F.col("i")).collect() == []
+
+
+def test_batches(spark):
+    rows = [(i, [str(j) for j in range(i % 7 + 1)]) for i in range(23)]
+    df = frame(spark, "i int, input_ids array<string>", *rows).withColumns({"attention_mask": F.transform("input_ids", lambda _: F.lit(1)), "labels": F.transform("input_ids", lambda x: F.when(x == "0", str(prompts.IGNORED)).otherwise(x))})
+    got = prompts.batches(df.repartition(5), 4, F.col("i"), "<p>").orderBy("i").collect()
+    for r in got:
+        width = max(len(rows[i][1]) for i in range(4 * r.batch, min(23, 4 * r.batch + 4)))
+        more = width - len(rows[r.i][1])
+        assert (r.batch, r.place) == divmod(r.i, 4) and r.width == width
+        assert r.input_ids == rows[r.i][1] + ["<p>"] * more and r.attention_mask == [1] * (width - more) + [0] * more
+        assert r.labels == [str(prompts.IGNORED), *rows[r.i][1][1:]] + [str(prompts.IGNORED)] * more
+    cut = prompts.truncated_examples(df, 1)
+    assert cut.count() == 0 and prompts.truncated_examples(df, 3).count() == sum(len(x) > 1 for _, x in rows)
+    with pytest.raises(Exception, match="no response token"):
+        prompts.truncated_examples(df, 1, strict=True).collect()
+
+
+def test_files_in_order(spark, tmp_path):
+    df = frame(spark, "i int", *((i * 37 % 200,) for i in range(200))).repartition(9)
+    sampling.write_in_order(df, str(tmp_path / "out"), F.col("i"), "csv")
+    lines = [int(x) for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().split()]
+    assert lines == list(range(200))
+
+
 def test_label_scores(spark):
     df = frame(spark, "reference string, output string", ("joy", " Joy\n"), ("JOY", "fear"), ("joy ", "joy"), ("anger", "what"))
     labels = ["joy", "fear", "anger", "absent"]

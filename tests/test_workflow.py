@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -94,12 +95,12 @@ def scored(spark, e):
 def test_evaluations(spark, tmp_path):
     t, b = scored(spark, evaluation("trained_run", "r", 8)), scored(spark, evaluation("starting_model", "r", 2))
     assert t["generation_metric"]["accuracy"] == 0.8 and t["generation_metric"]["invalid_label_outputs"] == 2
-    report = workflow.compare_report(spark, t, t, [b])
+    report = workflow.compare_report(spark, t, t, b, b)
     assert "| r | trained_run | 0.800 | +0.600 |" in report and "| sadness | 4 |" in report
     with pytest.raises(ValueError, match="no base"):
-        workflow.compare_report(spark, t, t, [])
+        workflow.compare_report(spark, t, t, b)
     with pytest.raises(ValueError, match="cases"):
-        workflow.compare_report(spark, t, scored(spark, evaluation("trained_run", "r", 8, 9)), [b])
+        workflow.compare_report(spark, t, scored(spark, evaluation("trained_run", "r", 8, 9)), b, b)
     df = spark.createDataFrame(t["examples"], "prompt string, reference string, output string")
     i = workflow.intervals(spark, df, TASK, 42)["intervals"]["accuracy"]
     assert i["lower"] <= 0.8 <= i["upper"]
@@ -118,7 +119,7 @@ def test_promote(spark, tmp_path):
     run, data = tmp_path / "run", tmp_path / "data"
     (run / "final").mkdir(parents=True)
     data.mkdir()
-    (run / "task_config.json").write_text("{}")
+    (run / "task_config.json").write_text(json.dumps(TASK))
     (run / "run_summary.json").write_text("{}")
     (data / "manifest.json").write_text("{}")
     lineage.write_manifest(run, TASK, {"starting_model": "m", "prepared_artifacts": {"a": 1}, "seed": 1}, data)
@@ -127,14 +128,14 @@ def test_promote(spark, tmp_path):
     paths = [tmp_path / "t.json", tmp_path / "b.json"]
     for p, e in zip(paths, (t, b)):
         p.write_text(json.dumps(e))
-    decision = workflow.promote(spark, TASK, str(run), *paths, str(tmp_path / "reg"))
+    decision = workflow.promote(spark, str(run), *paths, str(tmp_path / "reg"))
     assert decision["status"] == "promoted" and decision["evaluation_sha256"] == lineage.digest(paths[0]) and decision["base_evaluation_sha256"] == lineage.digest(paths[1])
     assert len([*(tmp_path / "reg/emotion").iterdir()]) == 1
     with pytest.raises(FileExistsError):
-        workflow.promote(spark, TASK, str(run), *paths, str(tmp_path / "reg"))
+        workflow.promote(spark, str(run), *paths, str(tmp_path / "reg"))
     paths[0].write_text(json.dumps(t | {"prepared_artifacts": {}}))
     with pytest.raises(ValueError, match="manifest"):
-        workflow.promote(spark, TASK, str(run), *paths, str(tmp_path / "reg"))
+        workflow.promote(spark, str(run), *paths, str(tmp_path / "reg"))
 
 
 def answer(rows, decoding):
@@ -164,13 +165,68 @@ def test_from_task_file_to_promotion(spark, tmp_path):
     assert trained["generation_metric"]["accuracy"] == pytest.approx(6 / 9) and [e["prompt"] for e in trained["examples"]] == [e["prompt"] for e in base["examples"]]
     even = evaluation_plan.evaluate(spark, str(run), out, answer, split="validation", per_label=2)
     assert even["validation_examples"] == 6 and (run / "balanced_2_validation_evaluation.json").exists()
-    promotion = task_path.with_name("easy.json")
-    promotion.write_text(json.dumps(TASK | {"promotion": TASK["promotion"] | {"minimum_metrics": {"accuracy": 0.5}, "maximum_invalid_label_outputs": 9, "minimum_lift": {"accuracy": 0.0}}}))
-    argv = ["promote", "--run", str(run), "--registry", str(tmp_path / "reg"), "--task"]
-    assert commands.main([*argv, str(task_path)], spark) == 2 and not (tmp_path / "reg").exists()
-    assert commands.main([*argv, str(promotion)], spark) == 0
+    # The same run once more, through given outputs: trained and starting model, then compared by file names alone.
+    outputs, bad = tmp_path / "outputs.jsonl", tmp_path / "bad.jsonl"
+    rows = [json.loads(x) for p in (tmp_path / "out/rows").rglob("*.json") for x in p.read_text().splitlines()]
+    lines = [json.dumps({"prompt": r["prompt"], "output": r["response"] if i % 4 else "joy", "loss": 0.25, "tokens": 3}) for i, r in enumerate(rows)]
+    outputs.write_text("\n".join(lines))
+    bad.write_text("\n".join(lines[:3]))
+    argv = ["evaluate", "--run", str(run), "--data", out, "--per-label", "2", "--split", "validation", "--outputs"]
+    assert commands.main([*argv, f"file://{bad}"], spark) == 2
+    assert commands.main([*argv, f"file://{outputs}"], spark) == 0
+    assert commands.main([*argv, f"file://{outputs}", "--base"], spark) == 0
+    first = run / "balanced_2_validation_evaluation.json"
+    assert json.loads(first.read_text())["response_tokens"] == 18 and (run / "balanced_2_base_validation_evaluation.json").exists()
+    assert commands.main(["compare", str(first), str(first), "--output", str(tmp_path / "report.md")], spark) == 0 and "+0.000" in (tmp_path / "report.md").read_text()
+    assert commands.main(["compare", str(first), str(first), "--first-base", str(first)], spark) == 2  # not a base
+    (tmp_path / "shape.json").write_text(json.dumps({"generation_metric": {"metric": "label_accuracy"}}))
+    (tmp_path / "broken.json").write_text("{")
+    for odd in ("shape.json", "broken.json"):
+        assert commands.main(["compare", str(first), str(tmp_path / odd)], spark) == 2
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "run_summary.json").write_text((run / "run_summary.json").read_text())
+    (tmp_path / "second.json").write_text(json.dumps(json.loads(first.read_text()) | {"run_dir": str(other), "training_seed": 2}))
+    assert commands.main(["compare", str(first), str(tmp_path / "second.json")], spark) == 2  # no base beside it
+    assert commands.main(["compare", str(first), str(tmp_path / "second.json"), "--second-base", str(run / "balanced_2_base_validation_evaluation.json")], spark) == 2  # another run's
+    # Seeds, and a training sample.
+    summary |= {"method": "full", "train_examples": 7, "validation_examples": 4}
+    for folder in (run, other):
+        (folder / "seeds_summary").mkdir()
+        (folder / "seeds_summary/run_summary.json").write_text(json.dumps(summary))
+    names = []
+    for folder, seed in ((run, 1), (other, 2)):
+        names.append(str(tmp_path / f"seed{seed}.json"))
+        (tmp_path / f"seed{seed}.json").write_text(json.dumps(json.loads(first.read_text()) | {"run_dir": str(folder / "seeds_summary"), "training_seed": seed}))
+    assert commands.main(["seeds", *names, "--output", str(tmp_path / "seeds.json")], spark) == 0
+    seeds = json.loads((tmp_path / "seeds.json").read_text())
+    assert seeds["metric"] == "label_accuracy" and seeds["training_seeds"] == [1, 2] and seeds["evaluations"] == names and seeds["aggregate"]["accuracy"]["sample_std"] == 0
+    assert commands.main(["seeds", names[0]], spark) == 2 and commands.main(["seeds", names[0], names[0]], spark) == 2
+    argv = ["sample", "--task", str(task_path), "--data", out, "--train", "7", "--validation", "4", "--balanced", "--output"]
+    assert commands.main([*argv, f"file://{tmp_path}/sample"], spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/sample/train").count() == 7 and json.loads((tmp_path / "sample/sample.json").read_text())["examples"] == {"train": 7, "validation": 4}
+    assert commands.main([*argv, f"file://{tmp_path}/sample"], spark) == 2  # there is one already
+    # The policy is that of the run's own task: no other file can loosen it.
+    argv = ["promote", "--run", str(run), "--registry", str(tmp_path / "reg")]
+    assert commands.main(argv, spark) == 2 and not (tmp_path / "reg").exists()
+    easy = json.loads((run / "task_config.json").read_text()) | {"promotion": TASK["promotion"] | {"minimum_metrics": {"accuracy": 0.5}, "maximum_invalid_label_outputs": 9, "minimum_lift": {"accuracy": 0.0}}}
+    (run / "task_config.json").write_text(json.dumps(easy))
+    assert commands.main(argv, spark) == 2 and not (tmp_path / "reg").exists()  # changed since the run
+    lineage.write_manifest(run, easy, json.loads((run / "run_summary.json").read_text()), tmp_path / "out")
+    assert commands.main(argv, spark) == 0
     (record,) = (tmp_path / "reg/emotion").iterdir()
     assert {"run_manifest_sha256", "evaluation_sha256", "base_evaluation_sha256"} <= {*json.loads(record.read_text())}
+    manifest = json.loads((tmp_path / "out/manifest.json").read_text())
+    old = {k: v for k, v in manifest.items() if k != "artifacts"}
+    for counts, stale in ((manifest["counts"], False), ({"train": 1}, True)):
+        (tmp_path / "out/manifest.json").write_text(json.dumps(old | {"counts": counts}))
+        (tmp_path / "out/.manifest.json.crc").unlink(missing_ok=True)
+        if stale:
+            with pytest.warns(UserWarning, match="train, validation, test"):
+                workflow.verified_artifacts(spark, out)
+        else:
+            workflow.verified_artifacts(spark, out)
+    (tmp_path / "out/manifest.json").write_text(json.dumps(manifest))
     part = next((tmp_path / "out/rows/split=test").glob("*.json"))
     lines = part.read_text().splitlines()
     part.write_text("\n".join([lines[0], json.dumps({"prompt": 5, "response": "joy"}), *lines[1:]]))
@@ -197,6 +253,21 @@ def test_training_arguments(bad):
         evaluation_plan.training_limits(TASK | {"evaluation": {}}, balanced=True)
 
 
+def test_rows_passed_over_before_a_label_is_full(spark):
+    """One label with nine tenths of the rows, of which few fit; no window or sort over a whole label."""
+    rows = [("joy" if i % 10 else "Love ", f"row {i}", i % 13 == 0 or i % 10 == 0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "response string, prompt string, _fits boolean").withColumn(evaluation_plan.workflow.KEY, F.md5(F.col("prompt").cast("binary")))
+    taken, skipped = evaluation_plan.balanced_fitting(df, {"joy": 40, "love": 7, "sadness": 0}, 3)
+    order = lambda r: hashlib.md5(f"3:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest()
+    want, passed = [], 0
+    for label, quota in (("joy", 40), ("love", 7)):
+        for r in sorted((r for r in rows if r[0].strip().lower() == label), key=order):
+            if not quota:
+                break
+            want, passed, quota = (want + [r[1]], passed, quota - 1) if r[2] else (want, passed + 1, quota)
+    assert sorted(r.prompt for r in taken.collect()) == sorted(want) and skipped == passed > 300
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text('{"text": "one", "label": 1}\n{"text": "two", "label": 2}\n')
