@@ -77,17 +77,19 @@ def category_counts(df: DataFrame, field: str) -> DataFrame:
 
 def cue_audit(df: DataFrame, output: Column, signs: Sequence[str] = SIGNS, cues: Mapping[str, str] = CUES) -> DataFrame:
     """df with requested_sign_mentioned, other_signs_mentioned, category_cue (null for a category without a pattern) and exact_date_mentioned."""
-    named = F.array_compact(F.array(*(F.when(F.regexp_like(output, F.lit(rf"(?U)(?iu)\b{s}\b")), s) for s in signs)))
+    # One pass finds all signs; upper and then lower case bring every spelling that the pattern takes for a letter to that letter.
+    found = F.transform(F.regexp_extract_all(output, F.lit(rf"(?U)(?iu)\b(?:{'|'.join(signs)})\b"), 0), lambda x: F.lower(F.upper(x)))
+    named = F.filter(F.array(*map(F.lit, signs)), lambda s: F.array_contains(F.col("_found"), F.lower(s)))
     cue = F.lit(None).cast("boolean")
     for category, pattern in cues.items():
         cue = F.when(F.col("category") == category, F.regexp_like(output, F.lit(f"(?U)(?iu){pattern}"))).otherwise(cue)
     date = F.contains(output, F.col("date")) | F.contains(output, F.replace(F.col("date"), F.lit("/"), F.lit("-")))
-    return df.withColumn("_named", named).withColumns({
+    return df.withColumn("_found", found).withColumn("_named", named).withColumns({
         "requested_sign_mentioned": F.array_contains("_named", F.col("sign")),
         "other_signs_mentioned": F.filter("_named", lambda s: s != F.col("sign")),
         "category_cue": cue,
         "exact_date_mentioned": date,
-    }).drop("_named")
+    }).drop("_named", "_found")
 
 
 def cue_summary(audited: DataFrame, *by: str) -> DataFrame:

@@ -15,10 +15,13 @@ from . import sampling
 IGNORED = -100
 
 
+def missing_columns(df: DataFrame, task: dict) -> list[str]:
+    return sorted({*task["input_fields"], task["response_field"]} - {*df.columns})
+
+
 def check_columns(df: DataFrame, task: dict, split: str) -> None:
-    missing = {*task["input_fields"], task["response_field"]} - {*df.columns}
-    if missing:
-        raise ValueError(f"{split}: no columns {', '.join(sorted(missing))}")
+    if missing := missing_columns(df, task):
+        raise ValueError(f"{split}: no columns {', '.join(missing)}")
 
 
 def field_value(df: DataFrame, task: dict, field: str) -> Column:
@@ -50,14 +53,27 @@ def response(df: DataFrame, task: dict) -> Column:
     return text.strip(raw)
 
 
+def field_fault(df: DataFrame, task: dict) -> Column:
+    """Which prompt field of a row is empty, or null."""
+    fault = F.lit(None).cast("string")
+    for field in reversed(task["input_fields"]):
+        fault = F.when(field_value(df, task, field) == "", f"empty prompt field: {field}").otherwise(fault)
+    return fault
+
+
+def field_faults(df: DataFrame, task: dict, *by: str) -> DataFrame:
+    """(by..., rows, fault) of the rows that have a response: the least of their faults, or null. One aggregate, so the same one at every run."""
+    rows = df.where(response(df, task) != "")
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.min(field_fault(df, task)).alias("fault"))
+
+
 def prepare_rows(df: DataFrame, task: dict, *keep: str) -> DataFrame:
     """(keep..., prompt, response, inputs) without rows of empty responses; a row with an empty prompt field stops the query."""
     check_columns(df, task, "source")
     inputs = F.struct(*(F.col(f) for f in task["input_fields"]))
     rows = df.withColumn("_response", response(df, task)).where("_response <> ''")
-    checked = prompt(df, task)
-    for field in task["input_fields"]:
-        checked = F.when(field_value(df, task, field) == "", F.raise_error(F.lit(f"empty prompt field: {field}"))).otherwise(checked)
+    fault = field_fault(df, task)
+    checked = F.when(fault.isNull(), prompt(df, task)).otherwise(F.raise_error(fault))
     return rows.select(*keep, checked.alias("prompt"), F.col("_response").alias("response"), inputs.alias("inputs"))
 
 

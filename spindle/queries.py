@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import analysis, compare, integrity, metrics, prompts, quality, sampling
-from .plans import gates
+from .plans import gates, lineage, workflow
 from .plans.config import check_task
 from .sources import tables
 
@@ -581,9 +581,8 @@ def category_counts(spark, sf_dir):
 
 @query("SELECT o_custkey, arg_max('checkpoint-' || o_orderkey, o_orderkey) AS newest FROM orders GROUP BY o_custkey")
 def newest_checkpoint(spark, sf_dir):
-    paths = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("path"))
-    step = F.coalesce(F.substring_index("path", "-", -1).try_cast("long"), F.lit(-1))
-    return paths.groupBy("o_custkey").agg(F.max_by("path", step).alias("newest"))
+    names = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("name"))
+    return lineage.newest(names, "o_custkey")
 
 
 @query("SELECT sha256(string_agg(n_name || chr(10) || CASE WHEN n_nationkey % 4 = 0 THEN chr(10) ELSE '' END, '' ORDER BY n_nationkey)) AS sha256, count(*)::BIGINT AS rows FROM nation")
@@ -670,3 +669,98 @@ def json_source_scan(spark, sf_dir):
 @query("SELECT p_partkey, p_brand FROM part WHERE p_retailprice < 1000")
 def parquet_source_scan(spark, sf_dir):
     return tables.scan(spark, {"dataset": "parquet", "data_files": f"{sf_dir}/part.parquet"}).where("p_retailprice < 1000").select("p_partkey", "p_brand")
+
+
+_ODD = ("\x1c abc \x1f", "中abc déF", "ﬁne ǆ x", "ΑΣ Σα", " o'neill 3rd\u3000", "ŉa İx")
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query(f"""WITH w AS (SELECT {_listed(x.title() for x in _ODD)} AS titled, {_listed(x.strip() for x in _ODD)} AS stripped)
+SELECT p_partkey, titled[p_partkey % 6 + 1] || p_size AS titled, stripped[p_partkey % 6 + 1] AS stripped FROM part, w""")
+def unicode_prompts(spark, sf_dir):
+    """Title case and strip of texts beyond ASCII, for every part."""
+    odd = F.array(*map(F.lit, _ODD))[(F.col("p_partkey") % 6).cast("int")]
+    return table(spark, sf_dir, "part").select("p_partkey", text.title(F.concat(odd, F.col("p_size").cast("string"))).alias("titled"), text.strip(odd).alias("stripped"))
+
+
+@query(f"""WITH x AS (SELECT {_SPLIT} AS split, text FROM documents), t AS (SELECT coalesce(sum(rows) FILTER (type IN ('email', 'phone')), 0)::BIGINT AS pii, coalesce(sum(rows) FILTER (type NOT IN ('email', 'phone')), 0)::BIGINT AS secrets FROM ({_SENSITIVE}))
+SELECT p.fail_on_pii, p.fail_on_secret, CASE WHEN p.fail_on_pii AND pii > 0 THEN pii || ' matches of personal data by split and type' WHEN p.fail_on_secret AND secrets > 0 THEN secrets || ' matches of secrets by split and type' END AS fault
+FROM t, (VALUES (TRUE, TRUE), (TRUE, FALSE), (FALSE, TRUE), (FALSE, FALSE)) p(fail_on_pii, fail_on_secret)""")
+def quality_gate_faults(spark, sf_dir):
+    """What the gate that prepare and audit run says of all documents under each policy."""
+    found = [tuple(r) for r in quality.sensitive_counts(texts(spark, sf_dir), F.col("prompt")).collect()]  # a row for each split and pattern
+    rows = []
+    for pii, secret in ((True, True), (True, False), (False, True), (False, False)):
+        fault = None
+        try:
+            gates.quality_gate({"data_quality": {"fail_on_pii": pii, "fail_on_secret": secret}}, {}, found)
+        except ValueError as e:
+            fault = str(e)
+        rows.append((pii, secret, fault))
+    return spark.createDataFrame(rows, "fail_on_pii boolean, fail_on_secret boolean, fault string")
+
+
+@query(f"""WITH {_TEXTS}, s AS (SELECT DISTINCT split, prompt FROM t), n AS (SELECT first, second, (SELECT count(*) FROM s a JOIN s b USING (prompt) WHERE a.split = first AND b.split = second) AS n FROM (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) v(first, second))
+SELECT strict, sum(n)::BIGINT AS prompts, CASE WHEN sum(n) = 0 THEN 'passed' WHEN strict THEN 'failed' ELSE 'warned' END AS status FROM n, (VALUES (TRUE), (FALSE)) x(strict) GROUP BY strict""")
+def overlap_gate(spark, sf_dir):
+    """The overlap gate over all documents, strict and not."""
+    found = workflow.overlap_report(texts(spark, sf_dir))  # three numbers
+    rows = []
+    for strict in (True, False):
+        try:
+            status = "warned" if gates.overlap_gate(found, strict) else "passed"
+        except ValueError:
+            status = "failed"
+        rows.append((strict, sum(found.values()), status))
+    return spark.createDataFrame(rows, "strict boolean, prompts long, status string")
+
+
+@query(rf"""WITH e AS (SELECT lang, CASE WHEN lang = 'de' AND doc_id % 50 = 0 THEN E' \t\n' ELSE text END AS text FROM documents)
+SELECT lang, count(*) AS rows, CASE WHEN count(*) FILTER ({_STRIP.format('text')} = '') > 0 THEN 'empty prompt field: text' END AS fault FROM e GROUP BY lang""")
+def empty_fields(spark, sf_dir):
+    """Which languages' documents cannot be prepared, as a field of one is empty; some are emptied first."""
+    emptied = F.when((F.col("lang") == "de") & (F.col("doc_id") % 50 == 0), " \t\n").otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", emptied.alias("text"), F.lit("0").alias("quality"))
+    return prompts.field_faults(docs, TASK, "lang")
+
+
+@query("SELECT split, missing FROM (VALUES ('documents', 'quality'), ('labels', 'text'), ('conversations', 'quality'), ('part', 'quality, text')) v(split, missing)")
+def missing_columns(spark, sf_dir):
+    """The columns that each table lacks for the task."""
+    names = ("documents", "labels", "conversations", "part")
+    lacks = [(n, ", ".join(prompts.missing_columns(table(spark, sf_dir, n), TASK))) for n in names]
+    return spark.createDataFrame(lacks, "split string, missing string").where("missing <> ''")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0")
+def jsonl_source_scan(spark, sf_dir):
+    """JSON lines with blank lines between, read as one local source."""
+    path, c = tables.scratch(spark), table(spark, sf_dir, "customer")
+    c.select(F.when(F.col("c_custkey") % 3 == 0, " \t").otherwise(F.to_json(F.struct("c_custkey", "c_name"))).alias("value")).write.text(path)
+    return tables.jsonl(spark, path).select("c_custkey", "c_name")
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'no metric' WHEN 2 THEN 'not label accuracy' WHEN 3 THEN 'no scores of labels' WHEN 4 THEN 'no examples' END AS fault FROM nation""")
+def evaluation_faults(spark, sf_dir):
+    """An evaluation file for each nation, most of them of a wrong shape."""
+    return tables.evaluations(spark, _evaluation_files(spark, sf_dir)).select(F.regexp_extract("file", r"nation=(\d+)", 1).cast("long").alias("n_nationkey"), "fault")
+
+
+@query("SELECT n_nationkey, label, n_nationkey + length(label) AS support, n_regionkey / 8.0::DOUBLE AS recall, 0.5::DOUBLE AS f1 FROM nation, (VALUES ('poor'), ('good'), ('unsure')) l(label) WHERE n_nationkey % 6 = 5")
+def evaluation_labels(spark, sf_dir):
+    """The labels of the evaluation files that are as they should be."""
+    found = tables.label_scores(tables.evaluations(spark, _evaluation_files(spark, sf_dir)))
+    return found.select(F.regexp_extract("file", r"nation=(\d+)", 1).cast("long").alias("n_nationkey"), "label", "support", "recall", "f1")
+
+
+def _evaluation_files(spark: SparkSession, sf_dir: str) -> str:
+    nation, path = table(spark, sf_dir, "nation"), tables.scratch(spark)
+    k = F.col("n_nationkey")
+    labels = [F.concat(F.lit(f'"{x}": {{"support": '), (k + len(x)).cast("string"), F.lit(', "recall": '), (F.col("n_regionkey") / 8).cast("string"), F.lit(', "f1": 0.5}')) for x in ("poor", "good", "unsure")]
+    metric = F.when(k % 6 == 2, '"metric": "rouge_l_f1", "per_label": {}').when(k % 6 == 3, '"metric": "label_accuracy", "per_label": 7').otherwise(F.concat(F.lit('"metric": "label_accuracy", "per_label": {'), F.concat_ws(", ", *labels), F.lit("}")))
+    whole = F.concat(F.lit('{"run_dir": "r", "task": "quality", '), F.when(k % 6 == 1, "").otherwise(F.concat(F.lit('"generation_metric": {'), metric, F.lit("}, "))), F.when(k % 6 == 4, '"examples": null').otherwise('"examples": []'), F.when(k % 6 == 0, "").otherwise("}"))
+    nation.select(k.alias("nation"), whole.alias("value")).repartition("nation").write.partitionBy("nation").text(path)
+    return path

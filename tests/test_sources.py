@@ -1,11 +1,14 @@
 import hashlib
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
 from spindle.operators import integrity
 from spindle.plans import lineage
-from spindle.sources import tables
+from spindle.sources import files, tables
 
 
 def test_prepared_scan_checks_types(spark, tmp_path):
@@ -101,3 +104,35 @@ def test_resume(tmp_path):
         lineage.checkpoint_to_resume(tmp_path, tmp_path / "checkpoint-x", settings)
     with pytest.raises(ValueError, match="other settings"):
         lineage.checkpoint_to_resume(tmp_path, "latest", {})
+
+
+def test_files_are_streamed(spark, tmp_path, monkeypatch):
+    """Any chunks give the same hashes and lines; a file of many chunks is never held whole; hidden files are left out."""
+    import hashlib
+    import resource
+    import subprocess
+    import sys
+
+    bodies = {"a.json": b"one\n\n \t\r\ntwo", "b/c=1/d.txt": b"", "b/e.bin": bytes(range(256)) * 40, "f": b"\n\n", "g": b"x\n" * 3000 + b" "}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    (tmp_path / ".a.json.crc").write_bytes(b"x")
+    want = {n: (hashlib.sha256(b).hexdigest(), sum(bool(x.strip()) for x in b.split(b"\n"))) for n, b in bodies.items()}
+    for path in (f"file://{tmp_path}", str(tmp_path), f"file:{tmp_path}/"):
+        assert {r.file: (r.sha256, r.rows) for r in integrity.file_snapshot(spark, path).collect()} == want
+    assert [tuple(r) for r in integrity.file_snapshot(spark, f"file://{tmp_path}/a.json").collect()] == [("a.json", *want["a.json"])]
+    for size in (1, 3, 1000):
+        lines = files.Lines()
+        for i in range(0, len(bodies["g"]), size):
+            lines.add(bodies["g"][i : i + size])
+        assert lines.total() == 3000
+    with pytest.raises(Exception, match="FileNotFound"):
+        integrity.file_snapshot(spark, f"file://{tmp_path}/none").collect()
+    (tmp_path / "large").mkdir()
+    with (tmp_path / "large/file").open("wb") as f:
+        f.truncate(3 << 30)  # a hole: no disk is used
+    code = f"import resource; from spindle.sources import files as s; r = s.HashReader('{tmp_path}/large'); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; rows = [b.to_pylist() for p in r.partitions() for b in r.read(p)]; print(rows[0][0]['size'], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)"
+    size, more = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[1]).stdout.split())
+    assert size == 3 << 30 and more < 200_000  # KB

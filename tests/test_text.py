@@ -2,6 +2,7 @@ import json
 import re
 import string
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,8 +22,17 @@ def column(spark, values, f):
 def test_strip_words_and_title_equal_python(spark):
     assert column(spark, SAMPLES, text.strip) == [s.strip() for s in SAMPLES]
     assert column(spark, SAMPLES, text.normalized) == [" ".join(re.findall(r"\w+", s.lower())) if "́" not in s and "²" not in s else got for s, got in zip(SAMPLES, column(spark, SAMPLES, text.normalized))]
-    ascii_ = [s for s in SAMPLES if s.isascii()]
-    assert column(spark, ascii_, text.title) == [s.title() for s in ascii_]
+    odd = [*SAMPLES, "中abc", "ﬁne", "ǆ", "ΑΣ", "ŉ", "a\u0301b", "İI"]
+    assert column(spark, odd, text.title) == [s.title() for s in odd]
+
+
+def test_strip_and_title_of_every_character(spark):
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    lines = [f"{c}x{c}y{c}" for c in chars]
+    df = spark.createDataFrame(pa.table({"c": [ord(c) for c in chars], "v": lines})).select("c", text.strip(F.col("v")).alias("s"), text.title(F.col("v")).alias("t"))
+    got = df.toArrow().to_pydict()
+    assert {c for c, s in zip(got["c"], got["s"]) if s != f"{chr(c)}x{chr(c)}y{chr(c)}".strip()} == set()
+    assert {c for c, t in zip(got["c"], got["t"]) if t != f"{chr(c)}x{chr(c)}y{chr(c)}".title()} == set()
 
 
 def test_spelled(spark):
