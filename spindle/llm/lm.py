@@ -12,14 +12,16 @@ token is also the context of the first word. Counts cover every training text:
    class matrix. A round that lowers the likelihood is undone, and the parts are halved. The search ends when every part
    in turn has raised it by less than CONVERGED of its value, or the parts are smaller than one in MOST_PARTS.
 4. All other words, however rare, are then exchanged once: one pass over the texts gives each word's contexts by class,
-   merged by word, and each word moves to its best class. Classes, word totals and transition counts follow; transitions
-   between two such words are spread over their classes in proportion to what each class has of them.
-5. p(word | previous) = MIX * p(class | previous class) * p(word | class) + (1 - MIX) * base(word), where class
+   which are added up over all tasks before the word is classed, so that classes do not depend on how texts are dealt to tasks. A word is
+   added to the class of frequent words from which the likelihood of its contexts gains most; it is in no class before that, so nothing of its
+   own is to be taken out. Words that have only each other for neighbours keep the class of their own.
+5. One more pass counts the class pairs of all transitions, each word's class being known by then; nothing is spread or estimated.
+6. p(word | previous) = MIX * p(class | previous class) * p(word | class) + (1 - MIX) * base(word), where class
    transitions have add-ALPHA smoothing and base is the add-0.1 unigram model that also holds one unseen word.
 
-Scoring deals rows to blocks of a bounded number of bytes by their place in the scan, so that equal rows are not one
-block. A block's distinct words, without those of step 2 (which are broadcast: 1 / FREQUENT words at most), are joined
-with the word table, and the block meets its own dictionary again; neither the vocabulary nor the texts are broadcast.
+Rows are dealt to blocks of a bounded number of bytes by their place in the scan, so that equal rows are not one block, and written
+so, once. A block's distinct words, without those of step 2 (which are broadcast: 1 / FREQUENT words at most), are joined with
+the word table, and steps 5 and 6 give each block its own dictionary; neither the vocabulary nor the texts are broadcast.
 
 Defined results: a null text is empty and has the end token alone; a null doc_id counts as the empty string when rows
 are held out; without training texts every token is unseen; repeated rows count and are scored each, very long texts
@@ -30,6 +32,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only
+from .common import only, written
 from .langid import held_out
 
 FREQUENT, CLASSES, MIX, ALPHA, ADD = 2e-5, 64, 0.6, 0.1, 0.1
@@ -226,7 +229,7 @@ def exchange(bigrams: DataFrame, words: int, classes: int = CLASSES) -> tuple[np
     best: tuple[float, np.ndarray, np.ndarray] | None = None
     found = None
     while True:
-        new = materialize(bigrams.mapInArrow(_contexts(share(of.tolist())), "word bigint, side bigint, class bigint, n bigint").groupBy("word", "side", "class").agg(F.sum("n").alias("n")))
+        new = written(bigrams.mapInArrow(_contexts(share(of.tolist())), "word bigint, side bigint, class bigint, n bigint").groupBy("word", "side", "class").agg(F.sum("n").alias("n")))
         pairs = np.zeros(width * width)
         for r in new.where("word = -1").collect():  # at most one row for each pair of classes
             pairs[r["class"]] = r["n"]
@@ -288,64 +291,93 @@ def _packed(words: pa.Array, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def best_rare_classes(pairs: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
-    """For each of words, given the sorted entries (word, code, n) of _rare_contexts, the class that gains most from it, the words' own among them.
+    """For each of words, given the sorted sums (word, code, n) of _rare_contexts, the class that gains most from it.
 
-    A class's gain is that of exchange, but the word's own counts are not first taken out of its class, whose size is many times theirs.
+    Gains are those of exchange for a word that is in no class yet, against the class pairs of frequent words and the end alone. A word
+    without a neighbour among these stays in the class of rare words. Classes without frequent words are no choice: a word that
+    were alone there would gain most, but all rare words are classed against the same counts and would go there together. All other
+    classes are heavier than any rare word.
     """
     width = len(pairs)
-    choices = width - 1
+    rare = width - 2
+    empty = pairs.sum(0)[:rare] == 0
+    pairs = pairs.copy()
+    pairs[rare] = pairs[:, rare] = 0
+    told = code % width != rare
+    word, code, n = word[told], code[told], n[told]
+    found, word = np.unique(word, return_inverse=True)
+    out = np.full(words, rare)
+    if not len(found):
+        return out
     # What an entry adds depends on its code and count alone, and few of these differ.
-    kinds, entry = np.unique(code << 24 | n, return_inverse=True)
-    other, many = kinds >> 24, (kinds & 0xFFFFFF).astype(np.float64)[:, None]
-    m = np.where((other >= width)[:, None], pairs[:choices, other % width].T, pairs[other % width, :choices])
-    firsts = np.searchsorted(word, np.arange(words))
-    gain = np.add.reduceat((_h(m + many) - _h(m))[entry], firsts)
-    after = code >= width
-    for side, margin in ((~after, pairs.sum(0)), (after, pairs.sum(1))):
-        totals, which = np.unique(np.bincount(word[side], n[side], words), return_inverse=True)
-        gain -= (_h(margin[:choices] + totals[:, None]) - _h(margin[:choices]))[which]
-    return np.argmax(gain, axis=1)
+    kinds, entry = np.unique(code << 48 | n, return_inverse=True)
+    other, many = kinds >> 48, (kinds & (1 << 48) - 1).astype(np.float64)[:, None]
+    m = np.where((other >= width)[:, None], pairs[:rare, other % width].T, pairs[other % width, :rare])
+    gain = np.add.reduceat((_h(m + many) - _h(m))[entry], np.searchsorted(word, np.arange(len(found))))
+    sides = np.zeros((2, len(found), width))
+    np.add.at(sides, (code // width, word, code % width), n)
+    before, after = sides[:, :, :rare]
+    both = np.nonzero((before > 0) & (after > 0))  # a class that stands on both sides: its pairs with itself gain from both at once
+    d, x, y = pairs[both[1], both[1]], before[both], after[both]
+    gain[both] += _h(d + x + y) - _h(d + x) - _h(d + y) + _h(d)
+    for counts, margin in ((sides[0].sum(1), pairs.sum(0)), (sides[1].sum(1), pairs.sum(1))):
+        totals, which = np.unique(counts, return_inverse=True)
+        gain -= (_h(margin[:rare] + totals[:, None]) - _h(margin[:rare]))[which]
+    out[found] = rare if empty.all() else np.argmax(np.where(empty, -np.inf, gain), axis=1)
+    return out
+
+
+def _added(words: pa.Array, blobs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, and their summed entries as number of the word, code and n) of sorted words with packed entries."""
+    lengths = pc.binary_length(blobs).to_numpy(zero_copy_only=False) // 4
+    packed = np.frombuffer(b"".join(blobs.to_pylist()), np.uint32)
+    same = pc.run_end_encode(words)
+    ends = same.run_ends.to_numpy()
+    number = np.repeat(np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), lengths)
+    key, back = np.unique(number << 8 | (packed >> 24).astype(np.int64), return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, back, (packed & 0xFFFFFF).astype(np.int64))
+    return same.values, key >> 8, key & 255, total
 
 
 def _rare_classes(held):
-    """(word, class, its count n) from (word, all of its entries), then, without word, sums (class, code, n) of a task's entries."""
+    """(word, class, its count n) from (word, entries), sorted by word: entries are added up, and the last word of a batch waits for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = held.value
         width = len(pairs)
-        sums = np.zeros((width, 2 * width))
+
+        def classed(words: pa.Array, number: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            to = best_rare_classes(pairs, number, code, n, len(words))
+            before = code < width  # one for each time that the word occurs
+            count = np.zeros(len(words), np.int64)
+            np.add.at(count, number[before], n[before])
+            return pa.RecordBatch.from_arrays([words, pa.array(to, pa.int64()), pa.array(count)], ["word", "class", "n"])
+
+        last: tuple[bytes, np.ndarray, np.ndarray] | None = None
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                blobs = [b"".join(x) for x in part.column("entries").to_pylist()]
-                if not blobs:
-                    continue
-                packed = np.frombuffer(b"".join(blobs), np.uint32)
-                word, code, n = np.repeat(np.arange(len(blobs)), [len(b) // 4 for b in blobs]), (packed >> 24).astype(np.int64), (packed & 0xFFFFFF).astype(np.int64)
-                to = best_rare_classes(pairs, word, code, n, len(blobs))
-                np.add.at(sums, (to[word], code), n)
-                before = code < width  # one for each time that the word occurs
-                count = np.bincount(word[before], n[before], len(blobs)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(to, pa.int64()), pa.nulls(len(to), pa.int64()), pa.array(count)], ["word", "class", "code", "n"])
-        kind, code = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(kind), pa.binary()), pa.array(kind), pa.array(code), pa.array(sums[kind, code].astype(np.int64))], ["word", "class", "code", "n"])
+                words, number, code, n = _added(part.column("word"), part.column("entries"))
+                if last is not None:
+                    if words[0].as_py() == last[0]:
+                        mine = number == 0
+                        summed, back = np.unique(np.r_[last[1], code[mine]], return_inverse=True)
+                        total = np.zeros(len(summed), np.int64)
+                        np.add.at(total, back, np.r_[last[2], n[mine]])
+                        number, code, n = np.r_[np.zeros(len(summed), np.int64), number[~mine]], np.r_[summed, code[~mine]], np.r_[total, n[~mine]]
+                    else:
+                        yield classed(pa.array([last[0]], pa.binary()), np.zeros(len(last[1]), np.int64), *last[1:])
+                final = number == len(words) - 1
+                last = words[-1].as_py(), code[final], n[final]
+                if len(words) > 1:
+                    yield classed(words[:-1], number[~final], code[~final], n[~final])
+        if last is not None:
+            yield classed(pa.array([last[0]], pa.binary()), np.zeros(len(last[1]), np.int64), *last[1:])
 
     return run
 
 
-def spread(pairs: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """The class pair counts once the words of the last but one class have classes of their own; sums: of the contexts of those words by their new class."""
-    width = len(pairs)
-    rare = width - 2
-    before, after = sums[:, :width], sums[:, width:]
-    out = pairs.copy()
-    out[rare] = out[:, rare] = 0
-    keep = np.arange(width) != rare
-    out[:, keep] += after[:, keep]
-    out[keep] += before[:, keep].T
-    return out + np.outer(after[:, rare], before[:, rare]) / max(1.0, pairs[rare, rare])
-
-
 class Model:
     """Everything but the counts and classes of words that are not frequent."""
 
@@ -387,10 +419,22 @@ class Model:
         return [sizes + 1, np.add.reduceat((count > 0).astype(np.int64)[ids], starts), np.add.reduceat(np.log10(b), starts), score, 10.0 ** (-score / (sizes + 1))]
 
 
-def learn(training: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of training(text), whose word counts are counts, and (word, n, class) of the words that are not frequent."""
-    spark = training.sparkSession
-    share = spark.sparkContext.broadcast
+class Classes(NamedTuple):
+    """Frequent words with their counts and classes, and (word, n, class) of all others; n tokens, distinct ones and ends of texts."""
+
+    frequent: list[bytes]
+    counts: np.ndarray
+    of: np.ndarray
+    width: int
+    others: DataFrame
+    n: int
+    distinct: int
+    ends: int
+
+
+def learn(training: DataFrame, counts: DataFrame) -> Classes:
+    """The classes of the words of training(text), whose word counts are counts."""
+    share = training.sparkSession.sparkContext.broadcast
     ends = training.count()
     sums = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     n, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
@@ -398,28 +442,68 @@ def learn(training: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
     top = counts.where(often).collect() if n else []  # at most 1 / FREQUENT rows
     top.sort(key=lambda r: (-r["n"], bytes(r["word"])))
     frequent, totals_of = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
-    bigrams = materialize(training.select("text").mapInArrow(_count_pairs(share(frequent)), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    bigrams = written(training.select("text").mapInArrow(_count_pairs(share(frequent)), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
     of, pairs = exchange(bigrams, len(frequent))
-    width, of = len(pairs), of[: len(frequent)]
-    contexts = training.select("text").mapInArrow(_rare_contexts(share((frequent, of, width))), "word binary, entries binary")
-    merged = contexts.groupBy("word").agg(F.collect_list("entries").alias("entries"))  # one entry for each task that has the word, which is rare
-    found = materialize(merged.mapInArrow(_rare_classes(share(pairs)), "word binary, class bigint, code bigint, n bigint"))
-    moved = np.zeros((width, 2 * width))
-    for r in found.where("word is null").groupBy("class", "code").agg(F.sum("n").alias("n")).collect():  # at most 2 * width ** 2 rows
-        moved[r["class"], r["code"]] = r["n"]
-    rare = found.where("word is not null").select("word", "n", "class")
-    totals = np.bincount(of, totals_of, width)
-    for r in rare.groupBy("class").agg(F.sum("n").alias("n")).collect():
-        totals[r["class"]] += r["n"]
-    totals[-1] = ends
-    return Model(frequent, totals_of, of, spread(pairs, moved), totals, n, distinct, ends), rare
+    of = of[: len(frequent)]
+    contexts = training.select("text").mapInArrow(_rare_contexts(share((frequent, of, len(pairs)))), "word binary, entries binary")
+    sorted_words = contexts.repartition("word").sortWithinPartitions("word")
+    others = written(sorted_words.mapInArrow(_rare_classes(share(pairs)), "word binary, class bigint, n bigint"))
+    return Classes(frequent, totals_of, of, len(pairs), others, n, distinct, ends)
 
 
 def _distinct_words(held):
-    def run(key: tuple, docs: pa.Table) -> pa.Table:
-        words = pa.chunked_array([split_words(t)[0].unique() for t in pieces(docs.to_batches())], pa.binary()).unique()
-        words = words.filter(pc.invert(pc.is_in(words, value_set=pa.array(list(held.value.number), pa.binary()))))
-        return pa.table({"block": pa.array([key[0].as_py()] * len(words), pa.int64()), "word": words})
+    """(block, word) of the words that are not frequent, once for each run of rows of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = pa.array(held.value, pa.binary())
+        for block, rows in runs(batches):
+            words = pa.chunked_array([split_words(t)[0].unique() for t in pieces(rows)], pa.binary()).unique()
+            words = words.filter(pc.invert(pc.is_in(words, value_set=frequent)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), words], ["block", "word"])
+
+    return run
+
+
+def runs(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(block, rows) of rows that stand together; those of a block in several parts if they have more than most bytes."""
+    held: list[pa.RecordBatch] = []
+    now, size = None, 0
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        cuts = np.r_[0, np.flatnonzero(np.diff(blocks)) + 1, len(blocks)].tolist()
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            if first == last:
+                continue
+            if held and (int(blocks[first]) != now or size > most):
+                yield now, held
+                held, size = [], 0
+            now = int(blocks[first])
+            held.append(batch.slice(first, last - first))
+            size += held[-1].nbytes
+    if held:
+        yield now, held
+
+
+def _listed(held, words: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """The words of a block's dictionary, the frequent ones first, and the classes of all and of the end token."""
+    frequent, of, width = held
+    listed = pa.concat_arrays([pa.array(frequent, pa.binary()), *words.column("word").chunks])
+    return listed, np.r_[of, words.column("class").to_numpy(), width - 1].astype(np.int64)
+
+
+def _count_classes(held):
+    """(code, n): how often the class code // width stands before code % width in a block's texts."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        width = held.value[2]
+        listed, kind = _listed(held.value, words)
+        total = np.zeros(width * width, np.int64)
+        for texts in pieces(docs.to_batches(), PIECE_BYTES // 4):
+            found, sizes = split_words(texts)
+            k = kind[with_ends(numbers(found, listed, -1), sizes, len(listed))]
+            total += np.bincount(np.r_[width - 1, k[:-1]] * width + k, minlength=width * width)
+        code = np.flatnonzero(total)
+        return pa.table([pa.array(code), pa.array(total[code])], names=["code", "n"])
 
     return run
 
@@ -439,22 +523,42 @@ def _score_block(held):
     return run
 
 
-def score(docs: DataFrame, held: Column) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of docs(doc_id, text), learnt from the rows where held is false."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id"), F.col("text"), held.alias("held_out"))
-    training = rows.where(~F.col("held_out"))
-    counts = materialize(word_counts(training))
-    model, rare = learn(training, counts)
-    shared = spark.sparkContext.broadcast(model)
+class Fitted(NamedTuple):
+    """A model, all rows dealt to blocks (block, doc_id, text, held_out), and each block's words (block, word, n, class)."""
+
+    model: Model
+    dealt: DataFrame
+    words: DataFrame
+
+
+def fit(docs: DataFrame, held: Column, block_bytes: int = BLOCK_BYTES) -> Fitted:
+    """What the rows of docs(doc_id, text) where held is false teach."""
+    share = docs.sparkSession.sparkContext.broadcast
+    rows = docs.select("doc_id", "text", held.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = size // BLOCK_BYTES + 1
-    # Both sides below read the same shuffle of dealt, so a row's block is one and the same.
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).repartition(blocks, "block")
-    words = dealt.groupBy("block").applyInArrow(_distinct_words(shared), "block bigint, word binary")
-    known = words.join(rare, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("class", F.lit(model.rare)).cast("long").alias("class"))
+    blocks = size // block_bytes + 1
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    dealt = written(rows.withColumn("block", place).repartition(blocks, "block").sortWithinPartitions("block"))
+    training = dealt.where(~F.col("held_out"))
+    counts = written(word_counts(training))
+    c = learn(training, counts)
+    listed = dealt.select("block", "text").mapInArrow(_distinct_words(share(c.frequent)), "block bigint, word binary")
+    known = listed.join(c.others, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(c.width - 2)).alias("class"))
+    known = written(known)
+    found = training.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_count_classes(share((c.frequent, c.of, c.width))), "code bigint, n bigint")
+    pairs = np.zeros(c.width * c.width)
+    for r in written(found.groupBy("code").agg(F.sum("n").alias("n"))).collect():  # at most width ** 2 rows
+        pairs[r["code"]] = r["n"]
+    pairs = pairs.reshape(c.width, c.width)
+    return Fitted(Model(c.frequent, c.counts, c.of, pairs, pairs.sum(0), c.n, c.distinct, c.ends), dealt, known)
+
+
+def score(docs: DataFrame, held: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of docs(doc_id, text), learnt from the rows where held is false."""
+    model, dealt, known = fit(docs, held, block_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, perplexity double"
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score_block(shared), schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 

@@ -318,25 +318,34 @@ def test_scores_equal_a_plain_model(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     training = df.where(~F.col("doc_id").isin(*(i for i, _ in rows if held(i))))
-    counts = lm.word_counts(training)
-    model, rare = lm.learn(training, counts)
-    kind = {bytes(r.word): r["class"] for r in rare.collect()}
+    fitted = lm.fit(df, ~F.col("doc_id").isin(*(r.doc_id for r in training.collect())))
+    kind = {bytes(r.word): r["class"] for r in fitted.words.collect() if r.n}
     assert kind and len({*kind.values()}) > 1
-    common = dict(zip(model.number, model.of.tolist()))
+    common = dict(zip(fitted.model.number, fitted.model.of.tolist()))
     tokens = lambda t: lm.words_of(t) + [None]
     of = lambda w: 6 if w is None else common.get(w, kind.get(w, 5))
-    n, c, both, out, into = np.zeros((7, 7)), Counter(), 0, np.zeros(7), np.zeros(7)
+    n, c, told = np.zeros((7, 7)), Counter(), np.zeros((7, 7))
+    near = {w: np.zeros((2, 7)) for w in kind}
     for i, t in rows:
         if not held(i):
             for a, b in zip([None, *tokens(t)], tokens(t)):
                 c[b] += 1
-                if a in kind and b in kind:
-                    both += 1
-                    out[of(a)] += 1
-                    into[of(b)] += 1
-                else:
-                    n[of(a), of(b)] += 1
-    n += np.outer(out, into) / max(1, both)
+                n[of(a), of(b)] += 1
+                if a not in kind and b not in kind:
+                    told[of(a), of(b)] += 1
+                elif a not in kind:
+                    near[b][0, of(a)] += 1
+                elif b not in kind:
+                    near[a][1, of(b)] += 1
+    for w, (before, after) in near.items():  # the class of each rare word is one that gains most
+        values = []
+        for k in range(5):
+            m = told.copy()
+            m[:, k] += before
+            m[k] += after
+            values.append(lm.likelihood(m))
+        values = [v if k in common.values() else -math.inf for k, v in enumerate(values)]  # a class without frequent words is no choice
+        assert values[kind[w]] == pytest.approx(max(values)) if before.sum() + after.sum() else kind[w] == 5
     totals = Counter()
     for w, x in c.items():
         totals[of(w)] += x
@@ -349,14 +358,40 @@ def test_scores_equal_a_plain_model(spark, monkeypatch):
         assert got[i].score == pytest.approx(want) and got[i].perplexity == pytest.approx(10 ** (-want / len(tokens(t))))
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 0.004)
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice("abcdefgh") + str(min(rng.randrange(1, 60), rng.randrange(1, 60))) for _ in range(rng.randrange(0, 60)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = lambda parts, block: {r.doc_id: tuple(r) for r in lm.score(df.repartition(parts), lm.held_out(F.col("doc_id"), 10), block).collect()}
+    one, many = by(1, lm.BLOCK_BYTES), by(12, 2000)
+    assert all(many[i] == pytest.approx(r, rel=1e-12) for i, r in one.items()) and len(one) == 400
+
+
+def test_sums_of_a_word_that_stands_in_many_batches():
+    """Entries of a word, in batches cut anywhere, are added up before it is classed."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(1, 500, (7, 7)).astype(float)
+    entries = sorted((bytes([97 + w]), int(c) << 24 | int(n)) for w, c, n in zip(rng.integers(0, 5, 300), rng.integers(0, 14, 300), rng.integers(1, 9, 300)))
+    held = type("Held", (), {"value": pairs})()
+    results = []
+    for size in (1, 7, 300):
+        batches = [pa.record_batch({"word": pa.array([w for w, _ in entries[i : i + size]], pa.binary()), "entries": pa.array([np.uint32(e).tobytes() for _, e in entries[i : i + size]], pa.binary())}) for i in range(0, 300, size)]
+        results.append([r for b in lm._rare_classes(held)(iter(batches)) for r in b.to_pylist()])
+    assert results[0] == results[1] == results[2] and len(results[0]) == 5
+    assert [r["n"] for r in results[0]] == [sum((e & 0xFFFFFF) for w, e in entries if w == bytes([97 + k]) and e >> 24 < 7) for k in range(5)]
+
+
 def test_probabilities_sum_to_one(spark, monkeypatch):
     texts = [(i, t) for i, t in enumerate(["a b a c", "b a", "c c d"])]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    counts = lm.word_counts(df)
     monkeypatch.setattr(lm, "FREQUENT", 0.2)
-    model, rare = lm.learn(df, counts)
-    words = {bytes(r.word): r.n for r in counts.collect()}
-    rare = {bytes(r.word): (r.n, r["class"]) for r in rare.collect()}
+    fitted = lm.fit(df, F.lit(False))
+    model = fitted.model
+    words = Counter(w for _, t in texts for w in lm.words_of(t))
+    rare = {bytes(r.word): (r.n, r["class"]) for r in fitted.words.collect()}
     assert rare and model.number and {*rare} | {*model.number} == {*words}
     assert model.totals.sum() == model.n and model.step.sum(1) == pytest.approx(np.ones(len(model.step)))
     known = model.dictionary([*rare, b"unseen"], np.array([*(n for n, _ in rare.values()), 0]), np.array([*(c for _, c in rare.values()), model.rare]))
