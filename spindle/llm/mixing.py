@@ -3,9 +3,12 @@
 One aggregate gives the size of each source. Targets are set by water filling: each source gets its weight's part of
 the wanted total, none more than a multiple of its own size, and what is cut off is shared again by weight. The water
 level comes from running sums over the sources in the order in which they fill up: one row for each source, in one task,
-with no loop. A source's rate is target / size; each document is emitted floor(rate) times and once more if a hash of
-the seed, its id and its text falls below the fraction. Rates reach documents by a broadcast of the source table while
-its measured bytes are few, else by a salted join, so a source with a third of all rows is no hot task.
+with no loop. A source's rate is target / size; each document is emitted floor(rate) times and once more if a number in
+[0, 1) from a hash of the seed, its id and its text falls below the fraction. For sources of few documents, whose sum could miss
+the target by far, TURNS seeds are tried: turn i adds i / TURNS to all numbers of the source, modulo 1, and the turn whose sum of sizes
+is nearest to the target, the lowest of equals, is the source's. All turns are summed in one aggregate over sizes and numbers,
+which the first pass over the texts writes. Rates reach documents by a broadcast of the source table while its measured bytes
+are few, else by a salted join, so a source with a third of all rows is no hot task.
 
 Defined results: a null text has size 0; null is a source of its own, ranked last; a null doc_id hashes as the empty
 string, as a null text does; rows of equal id and text make the same decision each; a source of size 0 has target 0 and
@@ -26,6 +29,8 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hexadecimal digits of the hash: 52 bits, which a double holds exactly.
 DIGITS = 13
+#: Seeds of which each source gets the one whose sum is nearest to its target.
+TURNS = 64
 
 
 def size_of(text: Column) -> Column:
@@ -63,15 +68,25 @@ def decide(docs: DataFrame, names: Sequence[str] = ("size", "source_size", "targ
     if {n.lower() for n in names} & {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has one of the columns {', '.join(names)}; give other names")
     size, source_size, target, copies = names
-    key = fresh("_key", docs, names)
+    key, number, turn = (fresh(n, docs, names) for n in ("_key", "_number", "_turn"))
     of = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
-    sized = docs.withColumn(size, size_of(F.col("text"))).withColumn(key, of)
-    t = targets(sized.select("source", F.col(size).alias("size")), **how)
+    sized = docs.withColumn(size, size_of(F.col("text"))).withColumn(number, draw(seed, F.col("doc_id"), F.col("text"))).withColumn(key, of)
+    slim = materialize(sized.select("source", *(F.col(c) for c in (key, size, number))))
+    t = targets(slim.select("source", F.col(size).alias("size")), **how)
     rates = materialize(t.select(of.alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target)))
-    joined = lookup_join(sized, rates, key).drop(key)
     rate = F.coalesce(F.try_divide(F.col(target), F.col(source_size)), F.lit(0.0))
-    extra = (draw(seed, F.col("doc_id"), F.col("text")) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn(copies, F.floor(rate) + extra)
+    whole = F.floor(rate)
+    more = lambda by: _turned(F.col(number), by) < rate - whole
+    sums = [F.sum(F.when(more(F.lit(i / TURNS)), F.col(size)).otherwise(0)).alias(f"{turn}{i}") for i in range(TURNS)]
+    summed = lookup_join(slim.drop("source"), rates, key).groupBy(key, source_size, target).agg(*sums)
+    missed = [F.struct(F.abs((whole * F.col(source_size) + F.col(f"{turn}{i}")).cast("double") - F.col(target)).alias("by"), F.lit(i / TURNS).alias("turn")) for i in range(TURNS)]
+    chosen = materialize(summed.select(key, source_size, target, F.array_min(F.array(*missed))["turn"].alias(turn)))
+    joined = lookup_join(sized, chosen, key)
+    return joined.withColumn(copies, whole + more(F.col(turn)).cast("long")).drop(key, number, turn)
+
+
+def _turned(number: Column, by: Column) -> Column:
+    return number + by - F.floor(number + by)
 
 
 def mix(docs: DataFrame, seed: int = 7, **how) -> DataFrame:

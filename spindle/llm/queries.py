@@ -148,8 +148,10 @@ t AS (SELECT 1.5::DOUBLE * sum(source_size)::DOUBLE AS wanted, sum(weight) AS we
 levels AS (SELECT 0 AS nth, wanted / weights AS level FROM t UNION ALL SELECT nth, (wanted - cut::DOUBLE) / (weights - gone) FROM c, t WHERE weights > gone),
 chosen AS (SELECT level FROM levels l WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.nth > l.nth AND l.level * c.weight > 2 * c.source_size) ORDER BY nth LIMIT 1),
 r AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, (SELECT level FROM chosen) * weight) AS target FROM s),
-m AS (SELECT doc_id, text, size, source_size, target, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN {_DRAW} < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size)::BIGINT AS taken FROM m""",
+m AS (SELECT doc_id, size, d.source, source_size, target, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate, {_DRAW} AS number FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+turns AS (SELECT source, i / {mixing.TURNS}.0::DOUBLE AS turn, abs((floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN number + turn - floor(number + turn) < rate - floor(rate) THEN size ELSE 0 END))::DOUBLE - any_value(target)) AS missed FROM m, range({mixing.TURNS}) t(i) GROUP BY source, i),
+best AS (SELECT source, turn FROM turns QUALIFY row_number() OVER (PARTITION BY source ORDER BY missed, turn) = 1)
+SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN number + turn - floor(number + turn) < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size)::BIGINT AS taken FROM m JOIN best ON m.source IS NOT DISTINCT FROM best.source""",
     "op11_fill_in_middle": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 u AS (SELECT *, regexp_extract_all(t, '(?s)[A-Za-z]+|[^A-Za-z]') AS u FROM d),

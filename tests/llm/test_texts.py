@@ -448,8 +448,12 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         if not over:
             break
         capped |= over
-    for r in kept:
-        rate = min(2.0, level * weight[r[3]] / sizes[r[3]])
-        u = int(hashlib.md5(f"7:{r[0]}:{texts[r[0]]}".encode()).hexdigest()[:13], 16) / 16**13
-        assert copies[r[0]] == math.floor(rate) + (u < rate - math.floor(rate))
+    number = {r[0]: int(hashlib.md5(f"7:{r[0]}:{texts[r[0]]}".encode()).hexdigest()[:13], 16) / 16**13 for r in kept}
+    for source, total in sizes.items():
+        target, mine = min(2.0 * total, level * weight[source]), [r[0] for r in kept if r[3] == source]
+        rate = target / total
+        more = lambda i, turn: (number[i] + turn / 64) % 1 < rate - math.floor(rate)
+        taken = lambda turn: sum(size[i] * (math.floor(rate) + more(i, turn)) for i in mine)
+        turn = min(range(64), key=lambda t: (abs(taken(t) - target), t))
+        assert [copies[i] for i in mine] == [math.floor(rate) + more(i, turn) for i in mine]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontaminate", "redact_secrets", "mix_sources"]
