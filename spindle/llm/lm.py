@@ -46,7 +46,7 @@ from .langid import held_out
 FREQUENT, CLASSES, MIX, ALPHA, ADD = 2e-5, 64, 0.6, 0.1, 0.1
 CONVERGED, MOST_PARTS = 1e-4, 16
 #: Bytes of text in a block, bytes that are split into words at once, and distinct words or bigrams that a task holds before it sends their sums.
-BLOCK_BYTES, PIECE_BYTES, HELD = 16_000_000, 16_000_000, 400_000
+BLOCK_BYTES, PIECE_BYTES, HELD = 16_000_000, 8_000_000, 400_000
 #: The largest count of a packed entry.
 MOST = (1 << 24) - 1
 
@@ -498,7 +498,7 @@ def _count_classes(held):
         width = held.value[2]
         listed, kind = _listed(held.value, words)
         total = np.zeros(width * width, np.int64)
-        for texts in pieces(docs.to_batches(), PIECE_BYTES // 4):
+        for texts in pieces(docs.to_batches(), PIECE_BYTES // 2):
             found, sizes = split_words(texts)
             k = kind[with_ends(numbers(found, listed, -1), sizes, len(listed))]
             total += np.bincount(np.r_[width - 1, k[:-1]] * width + k, minlength=width * width)
@@ -516,7 +516,7 @@ def _score_block(held):
         model = held.value
         known = model.known(words.column("n").to_numpy(), words.column("class").to_numpy())
         listed = pa.concat_arrays([pa.array(list(model.number), pa.binary()), *words.column("word").chunks])
-        parts = [model.scores(t, listed, known) for t in pieces(docs.to_batches(), PIECE_BYTES // 4)]
+        parts = [model.scores(t, listed, known) for t in pieces(docs.to_batches(), PIECE_BYTES // 2)]
         cols = [pa.array(np.concatenate([[], *(p[i] for p in parts)]).astype(f.type.to_pandas_dtype())) for i, f in enumerate(_SCORED)]
         return pa.table([docs.column("doc_id"), docs.column("held_out"), *cols], names=["doc_id", "held_out", *_SCORED.names])
 
