@@ -1,4 +1,4 @@
-"""Commands: python -m spindle prepare|audit|sample|evaluate|compare|seeds|promote ... A failed check ends with exit code 2 and writes nothing."""
+"""Commands: python -m spindle prepare|audit|analyze|sample|evaluate|compare|seeds|promote ... A failed check ends with exit code 2 and writes nothing."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .plans import config, evaluation, workflow
+from .plans import config, evaluation, reports, workflow
 from .sources import tables
 
 
@@ -29,6 +29,9 @@ def _parser() -> argparse.ArgumentParser:
     for flag in ("overlap", "near-duplicate", "pii"):
         audit.add_argument(f"--fail-on-{flag}", action="store_true")
     audit.add_argument("--output", type=Path)
+    analyze = sub.add_parser("analyze", help="report lengths, limits, mentions and categories of marked texts")
+    analyze.add_argument("sets", nargs="+", metavar="name=path", help="JSON lines with a column text")
+    analyze.add_argument("--output", type=Path, help="without its ending: a .json and a .md file")
     compare = sub.add_parser("compare", help="compare two evaluations")
     compare.add_argument("first", type=Path)
     compare.add_argument("second", type=Path)
@@ -76,6 +79,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         print(json.dumps(report, indent=2))
         if args.output:
             tables.report(args.output, report)
+    elif args.command == "analyze":
+        sets = {name: tables.jsonl(spark, path) for name, path in tables.inference_inputs(args.sets).items()}
+        found = reports.analysis_report(sets)
+        print(reports.analysis_markdown(found), end="")
+        if args.output:
+            tables.report(args.output.with_suffix(".json"), found)
+            args.output.with_suffix(".md").write_text(reports.analysis_markdown(found), encoding="utf-8")
     elif args.command == "sample":
         sample = evaluation.training_sample(spark, config.load_task(args.task), args.data, train=args.train, validation=args.validation, save_steps=args.save_steps, max_steps=args.max_steps, balanced=args.balanced, seed=args.seed, allow_overlap=args.allow_overlap)
         report = {k: v for k, v in sample.items() if k not in ("train", "validation")}

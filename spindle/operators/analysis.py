@@ -19,6 +19,7 @@ CUES = {
     "Love": r"\b(?:love|loving|romance|romantic|relationship|partner|dating|affection|intimacy|intimate|crush)\b",
     "Wellness": r"\b(?:health|healthy|wellness|diet|exercise|rest|sleep|stress|body|breathe|breathing|relax\w*|illness)\b",
 }
+# The token limits and percentiles of a report.
 LIMITS, PERCENTS = (128, 256, 384, 512), (50, 90, 95, 99, 100)
 
 

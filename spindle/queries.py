@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import analysis, compare, integrity, metrics, prompts, quality, sampling
-from .plans import gates, lineage, workflow
+from .plans import gates, lineage, reports, workflow
 from .plans.config import check_task
 from .sources import tables
 
@@ -764,3 +764,18 @@ def _evaluation_files(spark: SparkSession, sf_dir: str) -> str:
     whole = F.concat(F.lit('{"run_dir": "r", "task": "quality", '), F.when(k % 6 == 1, "").otherwise(F.concat(F.lit('"generation_metric": {'), metric, F.lit("}, "))), F.when(k % 6 == 4, '"examples": null').otherwise('"examples": []'), F.when(k % 6 == 0, "").otherwise("}"))
     nation.select(k.alias("nation"), whole.alias("value")).repartition("nation").write.partitionBy("nation").text(path)
     return path
+
+
+@query(f"""WITH {_MARKED}, n AS (SELECT *, {_TOKENS.format('prompt')} AS p, {_TOKENS.format('response')} + 1 AS r FROM m), u AS (SELECT 'prompt' AS name, p AS v FROM n UNION ALL SELECT 'response', r FROM n UNION ALL SELECT 'total', p + r FROM n),
+l AS (SELECT name, list_sort(list(v)) AS v FROM u GROUP BY name),
+k AS (SELECT k, count(*) FILTER (p + r > k) AS cut, count(*) AS n, sum(least(r, greatest(0, k - p))) AS kept, sum(r) AS r, count(*) FILTER (p >= k) AS none FROM n, (VALUES (128), (256), (384), (512)) l(k) GROUP BY k),
+f AS (SELECT count(*) AS n, count(*) FILTER (regexp_matches(response, '(?i)\\b' || sign || '\\b')) AS sign, count(*) FILTER (regexp_matches(response, '(?i)\\b' || category || '\\b')) AS category, count(*) FILTER (contains(response, date)) AS exact_date, count(*) FILTER (contains(response, date[1:4])) AS year FROM n),
+g AS (SELECT n, name, v FROM f, (VALUES ('sign'), ('category'), ('exact_date'), ('year')) x(name), LATERAL (SELECT CASE name WHEN 'sign' THEN sign WHEN 'category' THEN category WHEN 'exact_date' THEN exact_date ELSE year END AS v))
+SELECT 'length' AS part, name, percent::VARCHAR AS measure, round(v[greatest(1, ceil(percent * len(v) / 100))::INT]::DOUBLE, 6) AS value FROM l, (SELECT unnest([50, 90, 95, 99, 100]) AS percent)
+UNION ALL SELECT 'limit', k::VARCHAR, 'truncated', cut FROM k UNION ALL SELECT 'limit', k::VARCHAR, 'truncated_percent', round(100.0::DOUBLE * cut / n, 6) FROM k
+UNION ALL SELECT 'limit', k::VARCHAR, 'response_retained_percent', round(100.0::DOUBLE * kept / r, 6) FROM k UNION ALL SELECT 'limit', k::VARCHAR, 'without_response', none FROM k
+UNION ALL SELECT 'mention', name, 'rows', v FROM g UNION ALL SELECT 'mention', name, 'percent', round(100.0::DOUBLE * v / n, 6) FROM g
+UNION ALL SELECT 'category', category, 'rows', count(*) FROM n GROUP BY category UNION ALL SELECT 'examples', 'all', 'rows', count(*) FROM n""")
+def training_report(spark, sf_dir):
+    """The whole report on marked training texts, as rows."""
+    return reports.analysis_rows(marked(spark, sf_dir)).withColumn("value", F.round("value", 6))

@@ -33,6 +33,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df, written as Parquet and reread: what made it runs once, and every later read takes the columns that it needs alone."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan(spark: SparkSession, source: dict, split: str | None = None) -> DataFrame:
     """The table that a task's source names. dataset is a Spark format (parquet, json, csv, orc, text) or a path of Parquet files; there is no download.
 
@@ -163,13 +170,21 @@ def report(path: str | Path, value: Any) -> None:
     Path(path).write_text(json.dumps(value, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
 
 
-def register(folder: str | Path, run: str, digest: str, record: dict) -> Path:
-    """A new record <run>-<first 12 of digest>.json; one that exists is never replaced."""
-    path = Path(folder) / f"{run}-{digest[:12]}.json"
+def register(spark: SparkSession, folder: str | Path, run: str, digest: str, record: dict) -> str:
+    """A new record <run>-<first 12 of digest>.json; one that exists is never replaced. folder may be on any file system, whose own create-if-absent decides between two at once."""
+    name, body = f"{run}-{digest[:12]}.json", json.dumps(record, indent=2) + "\n"
+    if "://" in str(folder) and not str(folder).startswith("file://"):
+        path = f"{str(folder).rstrip('/')}/{name}"
+        fs, p = _fs(spark, path)
+        if fs.exists(p):
+            raise FileExistsError(path)
+        write_text(spark, path, body)
+        return path
+    path = Path(str(folder).removeprefix("file://")) / name
     path.parent.mkdir(parents=True, exist_ok=True)
     with path.open("x", encoding="utf-8") as f:
-        f.write(json.dumps(record, indent=2) + "\n")
-    return path
+        f.write(body)
+    return str(path)
 
 
 def inference_inputs(items: list[str], file: str | Path | None = None) -> dict[str, str]:

@@ -59,9 +59,9 @@ def test_sources(spark, tmp_path):
     assert tables.inference_inputs(["b=x=y"], tmp_path / "in.json") == {"a": "1", "b": "x=y"}
     with pytest.raises(ValueError):
         tables.inference_inputs(["b"])
-    tables.register(tmp_path / "reg", "run", "f" * 64, {"a": 1})
+    tables.register(spark, tmp_path / "reg", "run", "f" * 64, {"a": 1})
     with pytest.raises(FileExistsError):
-        tables.register(tmp_path / "reg", "run", "f" * 64, {})
+        tables.register(spark, tmp_path / "reg", "run", "f" * 64, {})
 
 
 def test_lineage(tmp_path):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spindle import __main__ as commands
 from spindle.plans import evaluation as evaluation_plan
-from spindle.plans import lineage, workflow
+from spindle.plans import lineage, reports, workflow
 from spindle.plans.config import check_task
 from spindle.streaming import prepare as streams
 
@@ -268,6 +268,34 @@ def test_rows_passed_over_before_a_label_is_full(spark):
     assert sorted(r.prompt for r in taken.collect()) == sorted(want) and skipped == passed > 300
 
 
+def test_reports(spark, tmp_path):
+    def said(sign, category, date, response):
+        return f"### Sign:\n{sign}\n\n### Category:\n{category}\n\n### Date:\n{date}\n\n### Horoscope:\n{response}"
+
+    texts = [said("Leo", "Love", "2024/01/02", "leo finds love in 2024 "), said("Aries", "Career", "2024/05/06", "w " * 300), said("Aries", "Love", "2023/05/06", "on 2023/05/06 aries | rests")]
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps({"text": t}) for t in texts))
+    assert commands.main(["analyze", f"first=file://{tmp_path}/a.jsonl", f"second=file://{tmp_path}/a.jsonl", "--output", str(tmp_path / "report")], spark) == 0
+    found = json.loads((tmp_path / "report.json").read_text())
+    one = found["first"]
+    assert one == found["second"] and one["examples"] == 3 and one["category"] == {"Career": 1, "Love": 2}
+    assert one["length"]["response"] == {"50": 6, "90": 301, "95": 301, "99": 301, "100": 301} and one["length"]["total"]["100"] == 301 + one["length"]["prompt"]["50"]
+    assert one["limit"]["256"] == {"truncated": 1, "truncated_percent": pytest.approx(100 / 3), "response_retained_percent": pytest.approx(100 * (6 + 6 + 256 - one["length"]["prompt"]["50"]) / 313), "without_response": 0}
+    assert {k: v["rows"] for k, v in one["mention"].items()} == {"sign": 2, "category": 1, "exact_date": 1, "year": 2}
+    text = (tmp_path / "report.md").read_text()
+    assert "## second: 3 examples" in text and "| sign | 2 | 66.7 |" in text and "| Love | 2 |" in text
+    (tmp_path / "bad.jsonl").write_text(json.dumps({"text": "no marker"}))
+    cases = reports.one_field_changed({"sign": "Aries", "date": "2026/10/04"}, sign="Taurus", date="2026/11/04")
+    assert [c["case"] for c in cases] == ["baseline", "change-sign", "change-date"] and cases[1]["sign"] == "Taurus" and cases[2]["sign"] == "Aries"
+    with pytest.raises(ValueError, match="no fields"):
+        reports.one_field_changed({"sign": "Aries"}, house="x")
+    rows = [(c["case"], m, c["sign"], "same" if m == "a" else c["case"]) for c in cases for m in ("a", "b")] + [("change-date", "c", "x", "")]
+    df = spark.createDataFrame(rows, "case string, model string, sign string, output string")
+    assert {(r.case, r.model): r.changed for r in reports.same_as_baseline(df).collect()} == {("change-sign", "a"): False, ("change-date", "a"): False, ("change-sign", "b"): True, ("change-date", "b"): True}
+    losses = spark.createDataFrame([("a", 1.0, 2), ("a", 2.0, 2), ("b", 0.5, 4)], "model string, loss double, tokens int")
+    page = reports.generations_markdown("Inputs", {"seed": 42}, losses, df, ["sign"])
+    assert "| a | 4 | 1.5000 | 4.48 |" in page and "## change-sign\n\nsign: Taurus" in page and "c: (no text)" in page
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text('{"text": "one", "label": 1}\n{"text": "two", "label": 2}\n')
