@@ -41,7 +41,7 @@ from .common import only, written
 
 SIZE, DEPTH = 20, 2
 #: Bytes of text in a block, cells of a range of the sketch, bits of a word's number in a place and of a block's number in its partition.
-BLOCK_BYTES, RANGE_CELLS, WORD_BITS, BLOCK_BITS = 16_000_000, 1 << 23, 30, 12
+BLOCK_BYTES, RANGE_CELLS, WORD_BITS, BLOCK_BITS = 8_000_000, 1 << 23, 30, 12
 KEYS = ("spindle repeat 0", "spindle repeat 1")
 _BASE = 0x9E3779B97F4A7C15  # odd
 
