@@ -23,11 +23,11 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spindle-")
     path = f"{base.rstrip('/')}/spindle-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         fs, p = _fs(spark, path)
         fs.delete(p, True)
