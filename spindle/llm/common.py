@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import scratch
+from ..sources.tables import remove, scratch
 
 #: Estimated bytes of a lookup table that may be broadcast; larger ones go through a salted shuffle join.
 BROADCAST_BYTES = 8_000_000
@@ -36,6 +36,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the table that materialize or written made df from, if it is one; nothing may read it again."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("spindle-"):
+            remove(df.sparkSession, folder)
+
+
 def fresh(name: str, *taken: DataFrame | Sequence[str]) -> str:
     """name, with as many underscores before it as it takes to differ from all columns taken, in either case."""
     used = {c.lower() for t in taken for c in (t.columns if isinstance(t, DataFrame) else t)}

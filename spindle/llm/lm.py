@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import discard, only, written
 from .langid import held_out
 
 FREQUENT, CLASSES, MIX, ALPHA, ADD = 2e-5, 64, 0.6, 0.1, 0.1
@@ -236,11 +236,14 @@ def exchange(bigrams: DataFrame, words: int, classes: int = CLASSES) -> tuple[np
         pairs = pairs.reshape(width, width)
         value = likelihood(pairs)
         if best and value < best[0]:
+            discard(new)
             parts, turn, quiet = 2 * parts, turn + 1, 0
             if parts > MOST_PARTS:
                 break
         else:
             quiet = quiet + 1 if best and value - best[0] < CONVERGED * abs(value) else 0
+            if found is not None:
+                discard(found)
             best, found, turn = (value, of, pairs), new, turn + 1
             if quiet >= parts or not words:
                 break
@@ -251,6 +254,7 @@ def exchange(bigrams: DataFrame, words: int, classes: int = CLASSES) -> tuple[np
         of = of.copy()
         for r in moves:
             of[r["word"]] = r["to"]
+    discard(found)
     return best[1], best[2]
 
 
@@ -444,6 +448,7 @@ def learn(training: DataFrame, counts: DataFrame) -> Classes:
     frequent, totals_of = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
     bigrams = written(training.select("text").mapInArrow(_count_pairs(share(frequent)), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
     of, pairs = exchange(bigrams, len(frequent))
+    discard(bigrams)
     of = of[: len(frequent)]
     contexts = training.select("text").mapInArrow(_rare_contexts(share((frequent, of, len(pairs)))), "word binary, entries binary")
     sorted_words = contexts.repartition("word").sortWithinPartitions("word")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -358,6 +359,25 @@ def test_scores_equal_a_plain_model(spark, monkeypatch):
         assert got[i].score == pytest.approx(want) and got[i].perplexity == pytest.approx(10 ** (-want / len(tokens(t))))
 
 
+def test_scratch_tables_go(spark, tmp_path):
+    """The tables of exchange's rounds are removed as they are replaced; only scratch tables ever are."""
+    from spindle.llm import common
+
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    rows = [(i % 7, i % 5, 3 + i % 4) for i in range(60)]
+    bigrams = common.written(spark.createDataFrame(rows, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    before = {*base.glob("spindle-*")}
+    lm.exchange(bigrams, 5, 2)
+    assert {*base.glob("spindle-*")} == before
+    common.discard(bigrams)
+    assert len({*base.glob("spindle-*")}) == len(before) - 1
+    bigrams = spark.createDataFrame(rows, "a bigint, b bigint, n bigint")
+    bigrams.write.parquet(f"{tmp_path}/kept")
+    common.discard(spark.read.parquet(f"{tmp_path}/kept"))
+    common.discard(bigrams)
+    assert (tmp_path / "kept").exists()
+
+
 def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 0.004)
     rng = random.Random(21)
