@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.llm import decontam, langid, mixing, neardup, secrets
-from spindle.llm.common import materialize
+from spindle.llm.common import discard, materialize
 
 FOLDS = 5
 #: DuckDB cannot compress with dictionaries, so the first stage has no SQL; tests hold run() against a brute-force version.
@@ -58,5 +58,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        done = materialize(stage(spark, docs, sf_dir))
+        discard(docs)  # of the stage before; the table that was read is none of ours
+        docs = done
     return docs
