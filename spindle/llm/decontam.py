@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma in diagonal bands, verified by banded alignment.
 
-Texts are lower-cased and every run of characters other than letters, digits and underscores becomes one space. Each
-benchmark item is cut into overlapping windows (a short item is one window). A window of w characters that occurs with
+Texts are lower-cased and every run of characters other than letters, marks, digits and underscores, those of all scripts, becomes
+one space. Each benchmark item is cut into overlapping windows (a short item is one window). A window of w characters that occurs with
 at most k edits shares at least w - q + 1 - k * q of its q-grams with the text, all within k + 1 neighbouring diagonals
 (place in the text less place in the window). So, for each text:
 
@@ -19,20 +19,22 @@ a group takes one scan; a benchmark beyond that (16 million characters) takes an
 never shuffled or broadcast. Items of fewer than q characters take no part.
 
 Defined results: a null or empty text or item has no hits; every row is judged by its own text, whatever its doc_id, and
-repeated rows are reported each; so are repeated items; of several regions of one item in a text the one with the fewest
+repeated rows are reported each; so are repeated items; ids are of any type, and null ids are ids; of several regions of one item in a text the one with the fewest
 edits counts, then the first; an empty table gives no rows; extra columns are ignored (and kept by clean).
 """
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from .common import materialize, only
 
@@ -42,8 +44,6 @@ Q, WINDOW, STEP, EDITS = 10, 128, 64, 0.08
 BLOCK_CHARS, BLOCK_ITEMS, GROUP = 2_000_000, 20_000, 8
 #: Hits held at once, and bands aligned together.
 HITS, RUN = 1_000_000, 256
-_WORD = np.zeros(128, bool)
-_WORD[[*range(48, 58), *range(97, 123), 95]] = True
 B, B2, B4 = (np.uint32(pow(0x9E3779B1, e, 1 << 32)) for e in (1, 2, 4))
 
 
@@ -53,10 +53,16 @@ def folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
+@cache
+def _word() -> np.ndarray:
+    """For each code point whether it belongs to a word."""
+    return np.array([unicodedata.category(chr(c))[0] in "LMN" or c == ord("_") for c in range(0x110000)])
+
+
 def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(code points, their places in text) after case folding and joining separators."""
     codes = np.frombuffer(folded(text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    word = _WORD[np.minimum(codes, 127)] & (codes < 128) | (codes >= 128)
+    word = _word()[codes]
     keep = word.copy()
     keep[1:] |= word[:-1]  # the first separator after a word
     codes = np.where(word, codes, 32)[keep]
@@ -223,7 +229,7 @@ def align(w: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -> t
     return (int(cost[end]), a, b) if cost[end] <= edits and b > a else None
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
     """The items, a bounded block at a time."""
     block, size = [], 0
     for r in only(benchmark, "item_id", "text").where("text is not null").toLocalIterator():
@@ -248,10 +254,10 @@ def _groups(benchmark: DataFrame) -> Iterator[list]:
         yield group
 
 
-_windows: OrderedDict[str, tuple[Windows, list[int]]] = OrderedDict()
+_windows: OrderedDict[str, tuple[Windows, list]] = OrderedDict()
 
 
-def _index(held) -> tuple[Windows, list[int]]:
+def _index(held) -> tuple[Windows, list]:
     """The index and item ids of a block; a worker keeps those of one group."""
     key, ids, texts = held.value
     if key not in _windows:
@@ -280,10 +286,12 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, start, end): the best region of each item in each text that holds one; offsets in code points."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id bigint, edits bigint, start bigint, end bigint"
+    item = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {kind}, item_id {item.simpleString()}, edits bigint, start bigint, end bigint"
+    types = [to_arrow_type(item), *[pa.int64()] * 3]
 
     def listed(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
-        cols = [pa.array([r[c] for r in found], pa.int64()) for c in range(1, 5)]
+        cols = [pa.array([r[c] for r in found], t) for c, t in enumerate(types, 1)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in found], pa.int64())), *cols], ["doc_id", "item_id", "edits", "start", "end"])
 
     texts, out, last = only(docs, "doc_id", "text"), None, []

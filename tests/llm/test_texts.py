@@ -359,6 +359,17 @@ def test_scores_equal_a_plain_model(spark, monkeypatch):
         assert got[i].score == pytest.approx(want) and got[i].perplexity == pytest.approx(10 ** (-want / len(tokens(t))))
 
 
+def test_punctuation_of_all_scripts_and_ids_of_any_type(spark):
+    item = "the quick brown fox, which jumps over a lazy dog: it is \"never\" tired - so far"
+    said = ["the quick brown fox\u2014which jumps over a lazy dog\u2026it is \u201cnever\u201d tired\u2014so far", item.replace(" ", "\u3001"), item.replace(" ", "\u00a0 \u2022"), "Пёс\u2013и кот " + item.upper(), "the quick brown fox of something else altogether, and no more than that"]
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(said)] + [(None, item)], "doc_id string, text string")
+    bench = spark.createDataFrame([("a-1", item), (None, item), ("b", "ёлка и кот\u2014и пёс, и снова ёлка")], "item_id string, text string")
+    got = decontam.find(df, bench).collect()
+    assert sorted(((r.doc_id, r.item_id, r.edits) for r in got), key=str) == sorted(((d, i, 0) for d in ("d0", "d1", "d2", "d3", None) for i in ("a-1", None)), key=str)
+    assert [r.doc_id for r in decontam.clean(df, bench).collect()] == ["d4"]
+    assert decontam.normal("Ёлка\u2014и x\u0301_1")[0].tolist() == [*map(ord, "ёлка и x\u0301_1")]
+
+
 def test_scratch_tables_go(spark, tmp_path):
     """The tables of exchange's rounds are removed as they are replaced; only scratch tables ever are."""
     from spindle.llm import common
