@@ -5,7 +5,8 @@ training and gives code-point offsets. The array of a text's offsets has one ent
 its length gives n, and the offsets at two drawn ranks are where the text is cut. No token reaches over a space, so a
 batch's texts are split at spaces, the library sees each distinct piece once (a task forgets all beyond MEMO of them),
 and a text's offsets are those of its pieces, moved to where they stand. The library gets some PIECE code points at a
-time, cut before characters that stand alone; this bounds its memory and changes no offset.
+time, cut before characters that stand alone; this bounds its memory and changes no offset. So does the cutting of a text of more
+than LONG code points, whose parts are counted one by one, and of which those that hold the drawn ranks are looked at again.
 
 The draws are four unsigned 32-bit integers from the sha256 of seed, colon and doc_id. Ranks are two of them modulo
 n + 1, the smaller first. A text stays plain if it is empty, holds one of the three marks, or is drawn to; of the others
@@ -21,7 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,22 @@ from .common import only
 PATTERN, PREFIX, SUFFIX, MIDDLE = "[A-Za-z]+|[^A-Za-z]", "<P>", "<S>", "<M>"
 #: Shares in percent: of all texts that stay plain, and of the others that become spm.
 PLAIN, SPM = 10, 20
-MEMO, PIECE, ROWS = 400_000, 1 << 16, 1024
+MEMO, PIECE = 400_000, 1 << 16
+#: Bytes of texts, and code points of one text, whose offsets are held at once.
+BYTES, LONG = 4_000_000, 4_000_000
 _ALONE = re.compile("[^A-Za-z]")
 
 
+def parts(text: str, most: int) -> Iterator[tuple[int, str]]:
+    """(start, part) of a text cut before characters that stand alone, after most code points or as soon as there is one."""
+    first = 0
+    while first < len(text):
+        cut = _ALONE.search(text, first + most) if len(text) - first > most else None
+        last = cut.start() if cut else len(text)
+        yield first, text[first:last]
+        first = last
+
+
 class Splitter:
     """Offsets of the tokens of texts; those of pieces between spaces are remembered."""
 
@@ -55,13 +69,8 @@ class Splitter:
 
     def starts(self, text: str) -> np.ndarray:
         """Where each token of a text starts."""
-        parts, first = [np.empty(0, np.int64)], 0
-        while first < len(text):
-            cut = _ALONE.search(text, first + PIECE) if len(text) - first > PIECE else None
-            last = cut.start() if cut else len(text)
-            parts.append(first + np.array([a for _, (a, _) in self.split(text[first:last])], np.int64))
-            first = last
-        return np.concatenate(parts)
+        found = [first + np.array([a for _, (a, _) in self.split(part)], np.int64) for first, part in parts(text, PIECE)]
+        return np.concatenate([np.empty(0, np.int64), *found])
 
     def learn(self, pieces: list[str]) -> None:
         """Remember the offsets of new pieces: where each token starts, and where the piece ends."""
@@ -94,37 +103,66 @@ class Splitter:
         return self.flat[own] + np.repeat(stands, sizes), np.r_[0, np.cumsum(sizes)][ends]
 
 
+    def of_long(self, text: str, most: int) -> tuple[int, Callable[[int], int]]:
+        """(n, the offset at a rank from 0 to n) of a text, of which no more than a part is held at once."""
+        sizes = [len(self.all_offsets(pa.array([part]))[0]) - 1 for _, part in parts(text, most)]
+        upto = np.cumsum(sizes)
+
+        def offset(rank: int) -> int:
+            if rank == upto[-1]:
+                return len(text)
+            i = int(np.searchsorted(upto, rank, "right"))
+            first, part = next(islice(parts(text, most), i, None))
+            return first + int(self.all_offsets(pa.array([part]))[0][rank - upto[i] + sizes[i]])
+
+        return int(upto[-1]), offset
+
+
 def draws(seed: str, doc_id: str) -> list[int]:
     digest = hashlib.sha256(f"{seed}:{doc_id}".encode()).hexdigest()
     return [int(digest[i : i + 8], 16) for i in range(0, 32, 8)]
 
 
-def arranged(text: str, doc_id: str, offsets: np.ndarray, seed: str) -> tuple[str, int | None, int | None, str]:
-    """(form, code points of the prefix, of the middle, the output) of a text whose tokens start, and which ends, at offsets."""
+def arranged(text: str, doc_id: str, n: int, offset: Callable[[int], int], seed: str) -> tuple[int, str, int | None, int | None, str]:
+    """(n, form, code points of the prefix, of the middle, the output) of a text of n tokens; offset tells where each rank starts, and for n where the text ends."""
     a, b, plain, spm = draws(seed, doc_id)
     if not text or plain % 100 >= 100 - PLAIN or any(m in text for m in (PREFIX, SUFFIX, MIDDLE)):
-        return "plain", None, None, text
-    cuts = sorted((a % len(offsets), b % len(offsets)))
-    first, last = (int(offsets[c]) for c in cuts)
+        return n, "plain", None, None, text
+    first, last = map(offset, sorted((a % (n + 1), b % (n + 1))))
     prefix, middle, suffix = text[:first], text[first:last], text[last:]
     if spm % 100 < SPM:
-        return "spm", first, last - first, f"{SUFFIX}{suffix}{PREFIX}{prefix}{MIDDLE}{middle}"
-    return "psm", first, last - first, f"{PREFIX}{prefix}{SUFFIX}{suffix}{MIDDLE}{middle}"
+        return n, "spm", first, last - first, f"{SUFFIX}{suffix}{PREFIX}{prefix}{MIDDLE}{middle}"
+    return n, "psm", first, last - first, f"{PREFIX}{prefix}{SUFFIX}{suffix}{MIDDLE}{middle}"
+
+
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """batch in slices of most bytes of texts at most; a longer text stands alone."""
+    ends = np.r_[0, np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 8)]
+    first = 0
+    while first < batch.num_rows:
+        upto = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+        yield batch.slice(first, upto - first)
+        first = upto
 
 
-def transform(docs: DataFrame, seed: str = "1") -> DataFrame:
+def transform(docs: DataFrame, seed: str = "1", long: int = LONG) -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output) of docs(doc_id, text). prefix_chars and middle_chars are null where form is plain."""
     rows = only(docs, "doc_id", "text").select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter()
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            texts = pa.concat_arrays([batch.column("text")])  # without the rows that were sliced off
-            flat, at = splitter.all_offsets(texts)
-            made = [arranged(t, i, flat[a:b], seed) for t, i, a, b in zip(texts.to_pylist(), batch.column("id").to_pylist(), at[:-1], at[1:])]
-            form, prefix, middle, output = zip(*made)
-            cols = [batch.column("doc_id"), pa.array(np.diff(at) - 1, pa.int64()), pa.array(form), pa.array(prefix, pa.int64()), pa.array(middle, pa.int64()), pa.array(output)]
+        for batch in (b for whole in batches for b in _slices(whole, BYTES)):
+            texts, ids = pa.concat_arrays([batch.column("text")]), batch.column("id").to_pylist()  # without the rows that were sliced off
+            made = []
+            if batch.num_rows == 1 and len(text := texts[0].as_py()) > long:
+                made.append(arranged(text, ids[0], *splitter.of_long(text, long), seed))
+            else:
+                flat, at = splitter.all_offsets(texts)
+                for text, doc_id, a, b in zip(texts.to_pylist(), ids, at[:-1].tolist(), at[1:].tolist()):
+                    made.append(arranged(text, doc_id, b - a - 1, lambda rank, a=a: int(flat[a + rank]), seed))
+            n, form, prefix, middle, output = zip(*made)
+            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(form), pa.array(prefix, pa.int64()), pa.array(middle, pa.int64()), pa.array(output)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -38,6 +38,13 @@ def test_offsets_of_long_pieces(splitter, monkeypatch):
         assert flat[at[0] : at[1]].tolist() == want == flat[at[2] : at[3]].tolist()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("ab Z\n1é"), min_size=1, max_size=60), st.integers(1, 9))
+def test_offsets_of_long_texts_part_by_part(text, most):
+    n, offset = fim.Splitter().of_long(text, most)
+    assert [offset(r) for r in range(n + 1)] == [*(m.start() for m in TOKEN.finditer(text)), len(text)]
+
+
 def plain_fim(i, t):
     t = t or ""
     h = hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()
@@ -62,6 +69,9 @@ def test_fim_and_back(spark):
     back = made.select("doc_id", fim.restored(F.col("output"), F.col("form")).alias("t")).collect()
     assert sorted(((r["doc_id"], r["t"]) for r in back), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
     assert fim.transform(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    alone = [(1000 + i, "word, " * 900_000 + "a" * i) for i in range(6)]  # each longer than a slice
+    got = fim.transform(spark.createDataFrame(alone, "doc_id long, text string"), long=1_000_000).collect()
+    assert sorted(map(tuple, got)) == sorted(plain_fim(*r) for r in alone)
 
 
 @settings(max_examples=100, deadline=None)
