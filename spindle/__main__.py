@@ -95,7 +95,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
                 sample[split].write.parquet(f"{staging}/{split}")
             tables.write_text(spark, f"{staging}/sample.json", json.dumps(report, indent=2))
 
-        tables.atomically(spark, args.output, fill)
+        tables.atomically(spark, args.output, fill, "sample.json")
         print(json.dumps(report["examples"]))
     elif args.command == "evaluate":
         result = evaluation.evaluate(spark, args.run, args.data, evaluation.given_outputs(tables.jsonl(spark, args.outputs)), split=args.split, per_label=args.per_label, rows=args.rows, generated=args.generated, max_new_tokens=args.max_new_tokens, seed=args.seed, base=args.base, output=args.output)

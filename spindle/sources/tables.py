@@ -137,22 +137,36 @@ def _fs(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def atomically(spark: SparkSession, path: str, fill: Callable[[str], None]) -> None:
-    """Let fill write a sibling folder, then rename it to path. path may only be missing or empty; a failure leaves nothing."""
+#: File systems on which a folder is renamed at once. Object stores copy file by file instead.
+RENAMES = ("file", "hdfs", "viewfs", "webhdfs")
+
+
+def atomically(spark: SparkSession, path: str, fill: Callable[[str], None], last: str = "manifest.json") -> None:
+    """Let fill write a folder that appears whole or not at all. path may only be missing or empty; a failure leaves nothing.
+
+    Where folders are renamed at once, fill writes a sibling that is renamed to path. Elsewhere it writes to path itself, and
+    the file last, which it must write after all others and without which readers refuse a folder, commits the rest.
+    """
     fs, target = _fs(spark, path)
     if fs.exists(target) and len(fs.listStatus(target)):
         raise FileExistsError(f"not empty: {path}")
-    parent = target.getParent().toString()
-    staging = f"{parent}/.{target.getName()}.tmp-{uuid.uuid4().hex}"
+    renames = fs.getUri().getScheme() in RENAMES
+    staging = f"{target.getParent().toString()}/.{target.getName()}.tmp-{uuid.uuid4().hex}" if renames else path
     _, source = _fs(spark, staging)
+    done = False
     try:
         fill(staging)
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(source, target):
-            raise OSError(f"cannot rename {staging} to {path}")
+        if renames:
+            if fs.exists(target):
+                fs.delete(target, False)
+            if not fs.rename(source, target):
+                raise OSError(f"cannot rename {staging} to {path}")
+        elif not fs.exists(_fs(spark, f"{path.rstrip('/')}/{last}")[1]):
+            raise OSError(f"{path} has no {last}")
+        done = True
     finally:
-        fs.delete(source, True)
+        if renames or not done:
+            fs.delete(source, True)
 
 
 def write_text(spark: SparkSession, path: str, content: str, replace: bool = False) -> None:

@@ -38,6 +38,29 @@ def test_atomic_folder(spark, tmp_path):
         tables.atomically(spark, out, fill)
 
 
+def test_folders_on_stores_without_renames(spark, tmp_path, monkeypatch):
+    """There a folder is written in place: it holds its last file if it is whole, and a failure removes it."""
+    monkeypatch.setattr(tables, "RENAMES", ())
+    out = f"file://{tmp_path}/out"
+
+    def fill(staging, whole=True, fails=False):
+        assert staging == out
+        spark.range(3).write.json(f"{staging}/rows")
+        if fails:
+            raise RuntimeError("half-way")
+        if whole:
+            tables.write_text(spark, f"{staging}/manifest.json", "{}")
+
+    for kw, error in (({"fails": True}, RuntimeError), ({"whole": False}, OSError)):
+        with pytest.raises(error):
+            tables.atomically(spark, out, lambda s, kw=kw: fill(s, **kw))
+        assert not (tmp_path / "out").exists()
+    tables.atomically(spark, out, fill)
+    assert (tmp_path / "out/manifest.json").exists() and spark.read.json(f"{out}/rows").count() == 3
+    with pytest.raises(FileExistsError):
+        tables.atomically(spark, out, fill)
+
+
 def test_snapshot(spark, tmp_path):
     (tmp_path / "d/sub").mkdir(parents=True)
     (tmp_path / "d/a.jsonl").write_bytes(b"x\n\n \ny")
