@@ -16,27 +16,40 @@ from spindle.llm import decontam, langid, mixing, neardup, secrets
 from spindle.llm.common import discard, materialize
 
 FOLDS = 5
+#: Rows of a batch that Spark hands to Python. Ten thousand, its default, are 30 MB of texts and more, held several times on both sides.
+BATCH_ROWS = 512
 #: DuckDB cannot compress with dictionaries, so the first stage has no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """No more than BATCH_ROWS rows to a batch from now on; what is set lower stays. The setting counts when a stage's result is written, so it is left as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that the operator rejects go."""
+    small_batches(spark)
     return langid.recognised(docs, docs.where(~langid.held_out(F.col("doc_id"), FOLDS)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that with the smallest id."""
+    small_batches(spark)
     return neardup.distinct(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
+    small_batches(spark)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret replaced by its kind in brackets; n_chars follows the text."""
+    small_batches(spark)
     done = secrets.redact(docs)
     return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else done
 

@@ -488,3 +488,18 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         turn = min(range(64), key=lambda t: (abs(taken(t) - target), t))
         assert [copies[i] for i in mine] == [math.floor(rate) + more(i, turn) for i in mine]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontaminate", "redact_secrets", "mix_sources"]
+
+
+def test_stages_hand_small_batches_to_python(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    try:
+        for was, want in ((before, "512"), ("7", "7"), ("0", "512")):
+            spark.conf.set(key, was)
+            corpus_pipeline.redact_secrets(spark, docs, "")
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
